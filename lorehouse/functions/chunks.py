@@ -27,7 +27,7 @@ def paragraphs(text: Column) -> Column:
 
 def has_table(block: Column) -> Column:
     """Whether a line of the block starts with a pipe."""
-    return block.rlike(rf"(?:\A|{LINE_BREAK}){SPACE}*\|")
+    return F.contains(block, F.lit("|")) & block.rlike(rf"(?:\A|{LINE_BREAK}){SPACE}*\|")
 
 
 def wrap_words(block: Column, size: int) -> Column:

@@ -16,6 +16,13 @@ WORD = r"[\p{L}\p{N}_]+"
 TOPIC_WORD = r"[\p{L}\p{N}_-]+"
 BLANK_LINE = rf"\n{SPACE}*\n"
 
+# The same white space as plain characters, for trimming without a regex.
+_SPACE_CODES = (
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+    0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+)
+SPACE_CHARACTERS = "".join(map(chr, _SPACE_CODES))
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it several times inside ``body``."""
@@ -24,7 +31,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(value: Column) -> Column:
     """Trim all Unicode white space at both ends."""
-    return F.regexp_replace(value, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(value, F.lit(SPACE_CHARACTERS))
 
 
 def is_blank(value: Column) -> Column:

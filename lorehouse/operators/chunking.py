@@ -19,6 +19,7 @@ def chunk_documents(
     chunks = chunk_text(
         F.col("raw_content"), F.col("doc_type"), F.col("attributes"), size, overlap
     )
+    # the outer form keeps the optimizer from adding a filter that evaluates the array again
     return documents.select(
-        F.col("id").alias("document_id"), F.posexplode(chunks).alias("chunk_index", "content")
-    )
+        F.col("id").alias("document_id"), F.posexplode_outer(chunks).alias("chunk_index", "content")
+    ).filter(F.col("content").isNotNull())
