@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
@@ -42,6 +43,21 @@ def build_session(app: str, cpus: int | str = "*", **extra: str) -> SparkSession
     return builder.getOrCreate()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a table read from too few splits; others pass unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that is computed in one place.
+
+    The optimizer copies plain expressions into filters and branches that use
+    them; it does not copy the output of a generator.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder for lineage cuts: the one the cluster names, else (local mode only) a fresh one."""
     folder = spark.conf.get(CHECKPOINT_SETTING, None)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorehouse.functions.text import SPACE, is_blank, strip
+from lorehouse.session import once
 from lorehouse.sources.urls import canonical_url
 
 DROPPED_ELEMENTS = ("script", "style", "noscript", "nav", "header", "footer", "aside", "title")
@@ -42,27 +43,37 @@ def _raw_title(html: Column) -> Column:
 
 def page_title(html: Column, url: Column) -> Column:
     """First ``<title>``, else the canonical URL."""
-    title = strip(unescape(_raw_title(html)))
-    return F.coalesce(F.nullif(title, F.lit("")), canonical_url(url))
+    return _title_or_url(_raw_title(html), url)
+
+
+def _title_or_url(raw: Column, url: Column) -> Column:
+    return F.coalesce(F.nullif(strip(unescape(raw)), F.lit("")), canonical_url(url))
 
 
 def readable_markup(html: Column) -> Column:
     """Page text with entities still escaped: one block per line, navigation dropped."""
     text = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    for element in DROPPED_ELEMENTS:
-        text = F.regexp_replace(text, rf"(?is)<{element}\b[^>]*>.*?</{element}\s*>", "\n")
+    dropped = "|".join(DROPPED_ELEMENTS)
+    text = F.regexp_replace(text, rf"(?is)<({dropped})\b[^>]*>.*?</\1\s*>", "\n")
     text = F.regexp_replace(text, rf"(?i)</?(?:{BLOCK_TAGS})\b[^>]*>", "\n")
     text = F.regexp_replace(text, r"(?s)<[A-Za-z/!][^>]*>", "")
     text = F.regexp_replace(text, r"[ \t]+", " ")
     return strip(F.regexp_replace(text, rf" ?\n{SPACE}*", "\n"))
 
 
+def with_text(pages: DataFrame, html: str, text: str = "text") -> DataFrame:
+    """Add the readable text of an HTML column."""
+    staged = once(pages, "_markup", readable_markup(F.col(html)))
+    return staged.withColumn(text, strip(unescape(F.col("_markup")))).drop("_markup")
+
+
 def extract_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split ``(url, html)`` rows into loaded documents and rejects with a reason."""
-    loaded = pages.select(
+    staged = with_text(once(pages, "_title", _raw_title(F.col("html"))), "html")
+    loaded = staged.select(
         canonical_url(F.col("url")).alias("source_path"),
-        page_title(F.col("html"), F.col("url")).alias("title"),
-        strip(unescape(readable_markup(F.col("html")))).alias("text"),
+        _title_or_url(F.col("_title"), F.col("url")).alias("title"),
+        "text",
         F.lit("url").alias("source_kind"),
         *[F.col(c) for c in pages.columns if c not in ("url", "html")],
     )

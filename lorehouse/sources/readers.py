@@ -54,10 +54,10 @@ def read_html_documents(spark: SparkSession, path: str | list[str]) -> tuple[Dat
     """HTML files as readable text; files without text come back as rejects."""
     files = _whole_files(spark, path)
     html = files.filter(file_suffix(F.col("source_path")).isin(*fixed.HTML_EXTENSIONS))
-    loaded = html.select(
+    loaded = page_rules.with_text(html.withColumnRenamed("text", "html"), "html").select(
         "source_path",
         file_stem(F.col("source_path")).alias("title"),
-        page_rules.unescape(page_rules.readable_markup(F.col("text"))).alias("text"),
+        "text",
         F.lit("file").alias("source_kind"),
     )
     blank = is_blank(F.col("text"))
@@ -141,10 +141,9 @@ def bulk_load(inputs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     html = F.col("is_url") | file_suffix(F.col("path")).isin(*fixed.HTML_EXTENSIONS)
     office = ~F.col("is_url") & file_suffix(F.col("path")).isin(*fixed.OFFICE_EXTENSIONS)
-    text = F.when(
-        html, page_rules.unescape(page_rules.readable_markup(F.col("body")))
-    ).otherwise(F.col("body"))
-    loaded = checked.withColumn("text", text).withColumn(
+    staged = page_rules.with_text(checked.withColumn("_html", F.when(html, F.col("body"))), "_html")
+    text = F.when(html, F.col("text")).otherwise(F.col("body"))
+    loaded = staged.withColumn("text", text).withColumn(
         "reject_reason",
         F.coalesce(
             "reject_reason",
