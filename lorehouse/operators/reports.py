@@ -31,7 +31,9 @@ def corpus_stats(
         F.explode(
             F.array(
                 F.struct(F.lit("documents by type").alias("section"), F.col("doc_type").alias("label")),
-                F.struct(F.lit("documents by status"), F.col("extraction_status")),
+                F.struct(
+                    F.lit("documents by status").alias("section"), F.col("extraction_status").alias("label")
+                ),
             )
         ).alias("row")
     ).groupBy("row.section", "row.label").agg(F.count(F.lit(1)).alias("n"))

@@ -1 +1,186 @@
+"""Embeddings, nearest neighbours, full-text and hybrid search."""
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lorehouse.functions.embedding import embed, truncate_and_renormalize
+from lorehouse.operators import lexical as L
+from lorehouse.operators import vector_search as V
+from lorehouse.operators.filters import filter_documents
+from lorehouse.operators.hybrid import fused_top, search_chunks
+from lorehouse.operators.topics import assign_topics
+from lorehouse.plans.catalog import query
+from lorehouse.plans.prelude import PRELUDE
+from lorehouse.plans.views import Tables
+from lorehouse.session import cut_lineage
+
+DIM = 256
+
+
+def embedded_chunks(t: Tables) -> DataFrame:
+    """The stored chunk table: written once, then read by both search branches."""
+    return cut_lineage(embed(t.chunks(), "content", dim=DIM), "chunks")
+
+
+@query(PRELUDE + "SELECT chunk_id, CAST(bucket AS INTEGER) AS bucket, weight FROM kb_vectors")
+def embed_chunks(t: Tables) -> DataFrame:
+    vectors = embed(t.chunks(), "content", dim=DIM)
+    cells = vectors.select("chunk_id", F.posexplode_outer("embedding").alias("bucket", "weight"))
+    return cells.filter(F.col("weight") > 0).withColumn("weight", F.col("weight").cast("double"))
+
+
+@query(PRELUDE + "SELECT query_id, CAST(bucket AS INTEGER) AS bucket, weight FROM kb_query_vectors")
+def embed_queries(t: Tables) -> DataFrame:
+    vectors = embed(t.questions(), "query", dim=DIM, is_query=True)
+    cells = vectors.select("query_id", F.posexplode_outer("embedding").alias("bucket", "weight"))
+    return cells.filter(F.col("weight") > 0).withColumn("weight", F.col("weight").cast("double"))
+
+
+@query(
+    """SELECT vec_id, i - 1 AS place, CAST(CAST(CAST(embedding[i] AS DOUBLE) / sqrt(norm) AS FLOAT) AS DOUBLE) AS weight FROM (
+    SELECT vec_id, embedding, list_sum(list_transform(embedding[1:16], lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) AS norm FROM embeddings),
+    unnest(range(1, 17)) r(i)"""
+)
+def truncated_vectors(t: Tables) -> DataFrame:
+    short = truncate_and_renormalize(F.col("embedding"), 16)
+    return t.raw("embeddings").select("vec_id", F.posexplode(short).alias("place", "weight")).withColumn(
+        "weight", F.col("weight").cast("double")
+    )
+
+
+@query(
+    """SELECT query_id, item_id, round(score, 6) AS score, rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM (
+      SELECT a.vec_id AS query_id, b.vec_id AS item_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS score
+      FROM embeddings a, embeddings b)) WHERE rank <= 20"""
+)
+def cosine_top_k(t: Tables) -> DataFrame:
+    e = t.raw("embeddings")
+    queries = e.select(F.col("vec_id").alias("query_id"), "embedding")
+    items = e.select(F.col("vec_id").alias("item_id"), "embedding")
+    return V.cosine_top_k(queries, items, 20).withColumn("score", F.round("score", 6))
+
+
+@query(
+    """SELECT query_id, item_id, rank FROM (
+    SELECT a.vec_id AS query_id, b.vec_id AS item_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY
+      round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) DESC, b.vec_id) AS rank
+    FROM embeddings a, embeddings b) WHERE rank <= 5"""
+)
+def cosine_top_k_by_cells(t: Tables) -> DataFrame:
+    """The path for query tables beyond the broadcast bound."""
+    e = t.raw("embeddings")
+    queries = e.select(F.col("vec_id").alias("query_id"), "embedding")
+    items = e.select(F.col("vec_id").alias("item_id"), "embedding")
+    return V.cosine_top_k(queries, items, 5, broadcast_bytes=0).drop("score")
+
+
+@query()
+def approximate_top_k(t: Tables) -> DataFrame:
+    e = t.raw("embeddings")
+    queries = e.select(F.col("vec_id").alias("query_id"), "embedding")
+    items = e.select(F.col("vec_id").alias("item_id"), "embedding")
+    return V.lsh_top_k(queries, items, 10, bits=6, tables=8)
+
+
+@query("SELECT len(embedding) AS stored_dim, count(*) AS n, len(embedding) = 64 AS matches FROM embeddings GROUP BY 1")
+def dimension_report(t: Tables) -> DataFrame:
+    return V.dimension_report(V.require_dimension(t.raw("embeddings"), 64), 64)
+
+
+@query(PRELUDE + "SELECT term, count(*) AS n, count(DISTINCT chunk_id) AS chunks, CAST(sum(position) AS BIGINT) AS positions FROM kb_tokens GROUP BY 1")
+def lexical_index(t: Tables) -> DataFrame:
+    # one row per chunk and term first, so a frequent term is counted before it meets one task
+    per_chunk = L.positions(L.token_table(t.chunks())).groupBy("term", "chunk_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("position").alias("positions")
+    )
+    return per_chunk.groupBy("term").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("chunks"), F.sum("positions").alias("positions")
+    )
+
+
+_COMPOSED = r"""
+, words AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM benchmark),
+has AS (SELECT chunk_id, list(term ORDER BY position) AS terms, chr(1) || string_agg(term, chr(1) ORDER BY position) || chr(1) AS line FROM kb_tokens GROUP BY 1)
+SELECT query_id, chunk_id FROM words, has
+WHERE (w[1] <> 'or' AND w[2] <> 'or' AND w[3] <> 'or') AND ((list_contains(terms, w[1]) AND list_contains(terms, w[len(w)])) OR
+  (contains(line, chr(1) || w[2] || chr(1) || w[3] || chr(1)) AND NOT list_contains(terms, w[len(w) - 1])))
+"""
+
+
+@query(PRELUDE + _COMPOSED)
+def websearch_match(t: Tables) -> DataFrame:
+    return L.match(t.composed_queries(), L.token_table(t.chunks()))
+
+
+@query(PRELUDE + "SELECT query_id, chunk_id FROM kb_and_matches")
+def passage_match(t: Tables) -> DataFrame:
+    return L.match(t.questions(), L.token_table(t.chunks()))
+
+
+@query(PRELUDE + "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM kb_lexical_top")
+def lexical_top_k(t: Tables) -> DataFrame:
+    return L.lexical_top_k(t.questions(), L.token_table(t.chunks())).withColumn("score", F.round("score", 6))
+
+
+@query(PRELUDE + "SELECT query_id, chunk_id AS item_id, round(score, 6) AS score, rank FROM kb_vector_top")
+def vector_candidates(t: Tables) -> DataFrame:
+    chunks = embed(t.chunks(), "content", dim=DIM).select(F.col("chunk_id").alias("item_id"), "embedding")
+    queries = embed(t.questions(), "query", dim=DIM, is_query=True)
+    return V.cosine_top_k(queries, chunks, 20).withColumn("score", F.round("score", 6))
+
+
+@query(PRELUDE + "SELECT query_id, chunk_id, score, place FROM kb_found")
+def rank_fusion(t: Tables) -> DataFrame:
+    chunks = embedded_chunks(t)
+    vector = V.cosine_top_k(
+        embed(t.questions(), "query", dim=DIM, is_query=True),
+        chunks.select(F.col("chunk_id").alias("item_id"), "embedding"), 20,
+    )
+    return fused_top(vector, L.lexical_top_k(t.questions(), L.token_table(chunks.select("chunk_id", "content"))))
+
+
+@query(
+    PRELUDE + """SELECT query_id, place, c.document_id, 'Doc ' || c.document_id AS document, f.score, c.content AS fragment
+  FROM kb_found f JOIN kb_chunks c USING (chunk_id)"""
+)
+def hybrid_search(t: Tables) -> DataFrame:
+    return search_chunks(t.questions(), embedded_chunks(t), t.documents(), dim=DIM)
+
+
+@query()
+def hybrid_search_filtered(t: Tables) -> DataFrame:
+    inside = filter_documents(t.documents(), {"doc_type": "faq", "created_after": "2024-01-05"})
+    return search_chunks(t.questions(), embedded_chunks(t), inside, dim=DIM)
+
+
+@query(
+    PRELUDE + rf""", texts AS (
+    SELECT conv_id * 1000 + turn AS content_id, text FROM conversations WHERE role = 'user'
+  ), facts_kb AS (SELECT 'topic-' || lpad(CAST(item_id AS VARCHAR), 6, '0') AS topic, text FROM benchmark),
+  cells AS (
+    SELECT kind, id, bucket, CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY kind, id)) AS FLOAT) AS DOUBLE) AS weight FROM (
+      SELECT kind, id, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % 256 AS bucket, count(*) AS n FROM (
+        SELECT 'q' AS kind, CAST(content_id AS VARCHAR) AS id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS term FROM texts
+        UNION ALL SELECT 'f', topic, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) FROM facts_kb) GROUP BY 1, 2, 3)),
+  norms AS (SELECT kind, id, sqrt(sum(weight * weight)) AS norm FROM cells GROUP BY 1, 2),
+  best AS (SELECT q.id, f.id AS topic, round(sum(q.weight * f.weight) / any_value(nq.norm * nf.norm), 9) AS score
+    FROM cells q JOIN cells f ON q.kind = 'q' AND f.kind = 'f' AND q.bucket = f.bucket
+    JOIN norms nq ON nq.kind = 'q' AND nq.id = q.id JOIN norms nf ON nf.kind = 'f' AND nf.id = f.id GROUP BY 1, 2
+    HAVING score > 0.75 QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY score DESC, f.id) = 1)
+  SELECT content_id, coalesce(b.topic, coalesce(nullif(array_to_string((CASE WHEN len(good) > 0 THEN good ELSE words END)[1:4], '-'), ''), 'fakt')) AS topic
+  FROM (SELECT content_id, words, list_filter(words, lambda w: length(w) >= 3 AND NOT list_contains(
+    ['и','в','во','на','с','со','по','о','об','из','к','у','за','от','до','для','что','как','это','наш','наша','наши','мы','нас','the','a','an','of','to','and','or','for'], w)) AS good
+    FROM (SELECT content_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_-]+') AS words FROM texts)) s
+  LEFT JOIN best b ON b.id = CAST(s.content_id AS VARCHAR)"""
+)
+def assigned_topics(t: Tables) -> DataFrame:
+    """Topics for user messages among the benchmark passages as facts."""
+    contents = t.raw("conversations").filter("role = 'user'").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("content_id"), F.col("text").alias("content")
+    )
+    facts = t.raw("benchmark").select(
+        F.concat(F.lit("topic-"), F.lpad(F.col("item_id").cast("string"), 6, "0")).alias("topic"),
+        F.col("text").alias("content"),
+    )
+    return assign_topics(contents, facts, dim=DIM).select("content_id", "topic")
