@@ -46,10 +46,12 @@ def current_flags(t: Tables) -> DataFrame:
 
 @query(
     PRELUDE + """SELECT e.id, e.name FROM kb_entities e WHERE NOT EXISTS (SELECT 1 FROM kb_mentions m WHERE m.entity_id = e.id)
-  AND e.id NOT IN (SELECT source_id FROM kb_relations) AND e.id NOT IN (SELECT target_id FROM kb_relations)"""
+  AND e.id NOT IN (SELECT source_id FROM kb_relations WHERE relation = 'related_to')
+  AND e.id NOT IN (SELECT target_id FROM kb_relations WHERE relation = 'related_to')"""
 )
 def orphans(t: Tables) -> DataFrame:
-    return find_orphans(t.entities(), t.mentions(), t.relations()).select("id", "name")
+    sold = t.relations().filter("relation = 'related_to'")
+    return find_orphans(t.entities(), t.mentions(), sold).select("id", "name")
 
 
 _WALK = """
