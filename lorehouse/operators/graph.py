@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lorehouse import fixed_values as fixed
-from lorehouse.functions.text import canonical_name, literal_contains
+from lorehouse.functions.text import canonical_name, let, literal_contains
 from lorehouse.operators.filters import active
 from lorehouse.operators.rare_key import candidates
 from lorehouse.session import cut_lineage
@@ -21,20 +21,11 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return forward.unionByName(backward).distinct()
 
 
-def _first_near(pairs: DataFrame, limit: int) -> DataFrame:
-    order = Window.partitionBy("vertex").orderBy("near")
-    return pairs.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit).drop("_n")
-
-
-def walk(roots: DataFrame, edges: DataFrame, depth: int, limit: int | None = None) -> DataFrame:
-    """``(root, id, depth)``: vertices within ``depth`` steps, each at its smallest depth.
+def walk(roots: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """``(root, id, depth)``: all vertices within ``depth`` steps, each at its smallest depth.
 
-    ``roots``: one column, root. With ``limit`` only the first nodes of each root
-    by (depth, id) are kept, and the work stays bounded without losing any of
-    them: a root holding v < limit nodes still lacks limit - v, a neighbour ranked
-    after ``limit`` in its vertex's own id order has at least limit - v unvisited
-    neighbours before it, so the first ``limit`` neighbours of each vertex suffice;
-    and a root that is full needs no further round.
+    ``roots``: one column, root. The visited vertices of a round are written once,
+    so a lost executor costs one round at most.
     """
     depth = max(0, min(depth, fixed.MAX_DEPTH))
     reached = roots.select("root").distinct().select(
@@ -42,35 +33,76 @@ def walk(roots: DataFrame, edges: DataFrame, depth: int, limit: int | None = Non
     )
     if depth == 0:
         return reached
-    pairs = both_ways(edges)
-    if limit is not None:
-        pairs = _first_near(pairs, limit)
-    pairs = cut_lineage(pairs, "neighbours")
+    pairs = cut_lineage(both_ways(edges), "neighbours")
     reached = cut_lineage(reached, "walk-0")
     for step in range(1, depth + 1):
         frontier = reached.filter(F.col("depth") == step - 1)
-        if limit is not None:
-            open_roots = reached.groupBy("root").agg(F.count(F.lit(1)).alias("_held"))
-            open_roots = open_roots.filter(F.col("_held") < limit)
-            frontier = frontier.join(open_roots, "root")
-        else:
-            frontier = frontier.withColumn("_held", F.lit(0))
         found = (
             frontier.join(pairs, frontier["id"] == pairs["vertex"])
-            .groupBy("root", F.col("near").alias("id"))
-            .agg(F.first("_held").alias("_held"))
+            .select("root", F.col("near").alias("id"))
+            .distinct()
             .join(reached.select("root", "id"), ["root", "id"], "left_anti")
+            .withColumn("depth", F.lit(step))
         )
-        if limit is not None:
-            order = Window.partitionBy("root").orderBy("id")
-            found = found.withColumn("_n", F.row_number().over(order)).filter(
-                (F.col("_n") <= limit) & (F.col("_n") <= limit - F.col("_held"))
-            )
-        found = found.select("root", "id", F.lit(step).alias("depth"))
         reached = cut_lineage(reached.unionByName(found), f"walk-{step}")
     return reached
 
 
+def first_neighbours(edges: DataFrame, limit: int) -> DataFrame:
+    """``(vertex, nears)``: the ``limit`` smallest neighbour ids of each vertex, in order.
+
+    The rank filter prunes each map task's rows first, so a hub sends at most
+    ``limit`` ids per task.
+    """
+    order = Window.partitionBy("vertex").orderBy("near")
+    ranked = both_ways(edges).withColumn("_n", F.row_number().over(order))
+    kept = ranked.filter(F.col("_n") <= limit)
+    return kept.groupBy("vertex").agg(F.array_sort(F.collect_list("near")).alias("nears"))
+
+
+def first_reached(roots: DataFrame, edges: DataFrame, depth: int, limit: int) -> DataFrame:
+    """``(root, id, depth)``: the first ``limit`` vertices of each root by (depth, id).
+
+    Exact with bounded work. Say a root holds v < limit vertices, so limit - v are
+    still to come. A vertex that ranks after ``limit`` among one neighbour's ids
+    has at least limit - v unvisited ones before it there, so the first ``limit``
+    ids of each neighbour hold all that can come next; and a full root is done.
+    A root is one row with at most ``limit`` ids, and a round brings at most
+    ``limit`` lists of ``limit`` ids together.
+    """
+    depth = max(0, min(depth, fixed.MAX_DEPTH))
+    empty = F.array().cast("array<bigint>")
+    start = roots.select(F.col("root").cast("bigint").alias("root")).distinct()
+    state = start.select("root", F.array("root").alias("seen"), F.array("root").alias("level_0"))
+    if depth:
+        nears = cut_lineage(first_neighbours(edges, limit), "neighbours")
+        state = cut_lineage(state, "reached-0")
+    for step in range(1, depth + 1):
+        frontier = state.filter(F.size("seen") < limit).select(
+            "root", F.explode(f"level_{step - 1}").alias("vertex")
+        )
+        offered = (
+            frontier.join(nears, "vertex").groupBy("root").agg(F.collect_list("nears").alias("_lists"))
+        )
+        fresh = F.array_sort(F.array_except(F.flatten("_lists"), "seen"))
+        room = F.lit(limit) - F.size("seen")
+        state = (
+            state.join(offered, "root", "left")
+            .withColumn(f"level_{step}", F.coalesce(F.slice(fresh, F.lit(1), room), empty))
+            .withColumn("seen", F.concat("seen", f"level_{step}"))
+            .drop("_lists")
+        )
+        state = cut_lineage(state, f"reached-{step}")
+    levels = F.concat(*[_with_depth(step) for step in range(depth + 1)])
+    return state.select("root", F.explode(levels).alias("_node")).select("root", "_node.*")
+
+
+def _with_depth(step: int) -> Column:
+    return F.transform(
+        F.col(f"level_{step}"), lambda id: F.struct(id.alias("id"), F.lit(step).alias("depth"))
+    )
+
+
 def induced_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(root, source, target, relation)``: active edges with both ends among a root's nodes.
 
@@ -109,7 +141,7 @@ def neighbors(
     limit: int = fixed.MAX_NODES,
 ) -> tuple[DataFrame, DataFrame]:
     """Nodes ``(root, id, type, name, depth)`` around each root, and their edges."""
-    reached = walk(roots, relations, depth, min(limit, fixed.MAX_NODES))
+    reached = first_reached(roots, relations, depth, min(limit, fixed.MAX_NODES))
     described = entities.select("id", F.col("entity_type").alias("type"), "name")
     nodes = reached.join(described, "id").select("root", "id", "type", "name", "depth")
     return nodes, induced_edges(nodes, relations)
@@ -142,7 +174,11 @@ GRAM = 3
 
 
 def _grams(text: Column) -> Column:
-    """Distinct character runs of length 3, 2, 1 and 0 of a lower-case text."""
+    """Distinct character runs of length 3, 2, 1 and 0 of a text."""
+    return let(text, _runs)
+
+
+def _runs(text: Column) -> Column:
     size = F.length(text)
     runs = [F.array(F.lit(""))]
     for n in range(1, GRAM + 1):

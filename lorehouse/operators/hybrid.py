@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from lorehouse import fixed_values as fixed
 from lorehouse.functions.embedding import embed
-from lorehouse.operators.lexical import Analyzer, lexical_top_k, token_table
+from lorehouse.operators.lexical import Analyzer, lexical_top_k
 from lorehouse.operators.vector_search import cosine_top_k
 
 
@@ -62,8 +62,8 @@ def search_chunks(
     """Answer a table of questions: document_id, document, score, fragment per place.
 
     ``queries``: query_id, query. ``chunks``: chunk_id, document_id, content,
-    embedding. ``documents``: id, title, already filtered; both lists only see
-    chunks of these documents.
+    embedding and tokens, as stored. ``documents``: id, title, already filtered;
+    both lists only see chunks of these documents.
     """
     titles = documents.select(F.col("id").alias("document_id"), F.col("title").alias("document"))
     inside = chunks.join(titles.select("document_id"), "document_id", "left_semi")
@@ -73,7 +73,7 @@ def search_chunks(
         candidates,
     )
     lexical = lexical_top_k(
-        queries, token_table(inside.select("chunk_id", "content"), analyzer), candidates, analyzer
+        queries, inside.select("chunk_id", "tokens"), candidates, analyzer
     )
     best = fused_top(vector, lexical, limit)
     return (

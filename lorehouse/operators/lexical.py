@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lorehouse import fixed_values as fixed
-from lorehouse.functions.text import SPACE, terms
+from lorehouse.functions.text import SPACE, let, terms
 from lorehouse.operators.rare_key import EVERYTHING, candidates
 
 Analyzer = Callable[[Column], Column]
@@ -36,12 +36,17 @@ def plain_words(stop_words: Sequence[str] = (), stem: Analyzer | None = None) ->
     return analyze
 
 
-def token_table(
+def with_tokens(
     chunks: DataFrame, analyzer: Analyzer | None = None, content: str = "content"
 ) -> DataFrame:
-    """Replace the text of each chunk by its tokens in order."""
+    """Add the tokens of each chunk in order; stored with the chunks, they are the index."""
     analyze = analyzer or plain_words()
-    return chunks.withColumn("tokens", analyze(F.col(content))).drop(content)
+    return chunks.withColumn("tokens", analyze(F.col(content)))
+
+
+def token_table(chunks: DataFrame, analyzer: Analyzer | None = None) -> DataFrame:
+    """``(chunk_id, tokens)`` of a chunk table."""
+    return with_tokens(chunks, analyzer).select("chunk_id", "tokens")
 
 
 def postings(tokens: DataFrame) -> DataFrame:
@@ -144,37 +149,61 @@ def cover_density(tokens: Column, query_terms: Column, clauses: Column) -> Colum
 
     ``query_terms``: distinct words. ``clauses``: arrays of 0-based indexes into them.
     """
-    entries = F.filter(
-        F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("at"))),
-        lambda e: F.array_contains(query_terms, e["term"]),
+    places = F.transform(
+        tokens,
+        lambda t, i: F.struct(
+            (F.array_position(query_terms, t) - 1).cast("int").alias("term"), i.alias("at")
+        ),
     )
+    entries = F.filter(places, lambda e: e["term"] >= 0)
+    # bound once: a lambda would evaluate the expressions anew for every element
+    return let(entries, lambda found: let(found["term"], lambda ids: _cover_score(found, ids, clauses)))
+
 
-    def add(s: Column, entry: Column) -> Column:
+def _cover_score(entries: Column, ids: Column, clauses: Column) -> Column:
+    """One pass over the entries; ``latest`` holds the last entry of each word of a clause, ascending."""
+
+    def step(s: Column, entry: Column) -> Column:
         number = s["number"] + 1
-        last = F.transform(
-            s["last"], lambda seen, i: F.when(F.get(query_terms, i) == entry["term"], number).otherwise(seen)
+        back = F.array_position(F.reverse(F.slice(ids, F.lit(1), s["number"])), entry["term"])
+        before = F.when(back > 0, number - back.cast("int")).otherwise(0)
+        latest = let(
+            before,
+            lambda old: F.transform(
+                s["latest"],
+                lambda have, i: F.when(
+                    F.array_contains(F.get(clauses, i), entry["term"]),
+                    F.array_append(F.array_remove(have, old), number),
+                ).otherwise(have),
+            ),
         )
+        return let(latest, lambda held: moved(s, entry, number, held))
+
+    def moved(s: Column, entry: Column, number: Column, latest: Column) -> Column:
         start = F.array_max(
-            F.transform(clauses, lambda c: F.array_min(F.transform(c, lambda i: F.get(last, i))))
+            F.transform(
+                latest,
+                lambda have, i: F.when(F.size(have) == F.size(F.get(clauses, i)), F.get(have, F.lit(0))),
+            )
         )
         opened = F.coalesce(start, F.lit(0)) > s["start"]
-        span = entry["at"] - F.get(entries, start - 1)["at"]
-        noise = span - (number - start)
-        gain = F.lit(fixed.COVER_WEIGHT) / (1 + noise)
+        noise = entry["at"] - F.get(entries, start - 1)["at"] - (number - start)
         return F.struct(
             number.alias("number"),
-            last.alias("last"),
+            latest.alias("latest"),
             F.when(opened, start).otherwise(s["start"]).alias("start"),
-            F.when(opened, s["score"] + gain).otherwise(s["score"]).alias("score"),
+            F.when(opened, s["score"] + F.lit(fixed.COVER_WEIGHT) / (1 + noise))
+            .otherwise(s["score"])
+            .alias("score"),
         )
 
     zero = F.struct(
         F.lit(0).alias("number"),
-        F.transform(query_terms, lambda _: F.lit(0)).alias("last"),
+        F.transform(clauses, lambda _: F.array().cast("array<int>")).alias("latest"),
         F.lit(0).alias("start"),
         F.lit(0.0).alias("score"),
     )
-    return F.aggregate(entries, zero, add, lambda s: s["score"])
+    return F.aggregate(entries, zero, step, lambda s: s["score"])
 
 
 def lexical_top_k(

@@ -19,7 +19,12 @@ DIM = 256
 
 def embedded_chunks(t: Tables) -> DataFrame:
     """The stored chunk table: written once, then read by both search branches."""
-    return cut_lineage(embed(t.chunks(), "content", dim=DIM), "chunks")
+    return cut_lineage(embed(L.with_tokens(t.chunks()), "content", dim=DIM), "chunks")
+
+
+def token_index(t: Tables) -> DataFrame:
+    """The stored full-text index."""
+    return cut_lineage(L.token_table(t.chunks()), "tokens")
 
 
 @query(PRELUDE + "SELECT chunk_id, CAST(bucket AS INTEGER) AS bucket, weight FROM kb_vectors")
@@ -110,17 +115,17 @@ WHERE (w[1] <> 'or' AND w[2] <> 'or' AND w[3] <> 'or') AND ((list_contains(terms
 
 @query(PRELUDE + _COMPOSED)
 def websearch_match(t: Tables) -> DataFrame:
-    return L.match(t.composed_queries(), L.token_table(t.chunks()))
+    return L.match(t.composed_queries(), token_index(t))
 
 
 @query(PRELUDE + "SELECT query_id, chunk_id FROM kb_and_matches")
 def passage_match(t: Tables) -> DataFrame:
-    return L.match(t.questions(), L.token_table(t.chunks()))
+    return L.match(t.questions(), token_index(t))
 
 
 @query(PRELUDE + "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM kb_lexical_top")
 def lexical_top_k(t: Tables) -> DataFrame:
-    return L.lexical_top_k(t.questions(), L.token_table(t.chunks())).withColumn("score", F.round("score", 6))
+    return L.lexical_top_k(t.questions(), token_index(t)).withColumn("score", F.round("score", 6))
 
 
 @query(PRELUDE + "SELECT query_id, chunk_id AS item_id, round(score, 6) AS score, rank FROM kb_vector_top")
@@ -137,7 +142,7 @@ def rank_fusion(t: Tables) -> DataFrame:
         embed(t.questions(), "query", dim=DIM, is_query=True),
         chunks.select(F.col("chunk_id").alias("item_id"), "embedding"), 20,
     )
-    return fused_top(vector, L.lexical_top_k(t.questions(), L.token_table(chunks.select("chunk_id", "content"))))
+    return fused_top(vector, L.lexical_top_k(t.questions(), chunks.select("chunk_id", "tokens")))
 
 
 @query(

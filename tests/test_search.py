@@ -107,7 +107,7 @@ def knowledge(spark):
         ],
         "id long, title string, raw_content string, doc_type string, attributes string, created_at timestamp",
     ).withColumn("version", F.lit(1))
-    chunks = embed(chunk_documents(documents), "content", dim=64).withColumn(
+    chunks = embed(lexical.with_tokens(chunk_documents(documents)), "content", dim=64).withColumn(
         "chunk_id", F.col("document_id") * 1000 + F.col("chunk_index")
     )
     return documents, chunks
