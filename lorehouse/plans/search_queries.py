@@ -153,7 +153,12 @@ def hybrid_search(t: Tables) -> DataFrame:
     return search_chunks(t.questions(), embedded_chunks(t), t.documents(), dim=DIM)
 
 
-@query()
+@query(
+    # documents of type faq created after 2024-01-05, both search branches inside them
+    PRELUDE.replace("FROM documents WHERE length(text)", "FROM documents WHERE doc_id % 5 = 3 AND doc_id >= 120 AND length(text)")
+    + """SELECT query_id, place, c.document_id, 'Doc ' || c.document_id AS document, f.score, c.content AS fragment
+  FROM kb_found f JOIN kb_chunks c USING (chunk_id)"""
+)
 def hybrid_search_filtered(t: Tables) -> DataFrame:
     inside = filter_documents(t.documents(), {"doc_type": "faq", "created_after": "2024-01-05"})
     return search_chunks(t.questions(), embedded_chunks(t), inside, dim=DIM)
