@@ -76,7 +76,6 @@ def first_reached(roots: DataFrame, edges: DataFrame, depth: int, limit: int) ->
     state = start.select("root", F.array("root").alias("seen"), F.array("root").alias("level_0"))
     if depth:
         nears = cut_lineage(first_neighbours(edges, limit), "neighbours")
-        state = cut_lineage(state, "reached-0")
     for step in range(1, depth + 1):
         frontier = state.filter(F.size("seen") < limit).select(
             "root", F.explode(f"level_{step - 1}").alias("vertex")

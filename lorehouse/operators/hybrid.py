@@ -10,6 +10,7 @@ from lorehouse import fixed_values as fixed
 from lorehouse.functions.embedding import embed
 from lorehouse.operators.lexical import Analyzer, lexical_top_k
 from lorehouse.operators.vector_search import cosine_top_k
+from lorehouse.session import cut_lineage
 
 
 def reciprocal_rank_fusion(ranked: DataFrame, k: int = fixed.RRF_K) -> DataFrame:
@@ -54,6 +55,7 @@ def search_chunks(
     chunks: DataFrame,
     documents: DataFrame,
     *,
+    within: DataFrame | None = None,
     limit: int = fixed.SEARCH_LIMIT,
     candidates: int = fixed.CANDIDATES_PER_LIST,
     dim: int = fixed.EMBED_DIM,
@@ -62,22 +64,26 @@ def search_chunks(
     """Answer a table of questions: document_id, document, score, fragment per place.
 
     ``queries``: query_id, query. ``chunks``: chunk_id, document_id, content,
-    embedding and tokens, as stored. ``documents``: id, title, already filtered;
-    both lists only see chunks of these documents.
+    embedding and tokens, as stored. ``documents``: id, title. ``within``:
+    filtered documents; both lists then only see chunks of these, before any
+    ranking. Without it no join touches the chunk table but for the few results.
     """
-    titles = documents.select(F.col("id").alias("document_id"), F.col("title").alias("document"))
-    inside = chunks.join(titles.select("document_id"), "document_id", "left_semi")
+    inside = chunks
+    if within is not None:
+        ids = within.select(F.col("id").alias("document_id"))
+        inside = chunks.join(ids, "document_id", "left_semi")
     vector = cosine_top_k(
         embed(queries, "query", is_query=True, dim=dim),
         inside.select(F.col("chunk_id").alias("item_id"), "embedding"),
         candidates,
     )
-    lexical = lexical_top_k(
-        queries, inside.select("chunk_id", "tokens"), candidates, analyzer
-    )
-    best = fused_top(vector, lexical, limit)
+    lexical = lexical_top_k(queries, inside.select("chunk_id", "tokens"), candidates, analyzer)
+    # a few rows per query: with their true size they are broadcast to the large tables
+    best = cut_lineage(fused_top(vector, lexical, limit), "best")
+    fragments = chunks.select("chunk_id", "document_id", F.col("content").alias("fragment"))
+    titles = documents.select(F.col("id").alias("document_id"), F.col("title").alias("document"))
     return (
-        best.join(chunks.select("chunk_id", "document_id", F.col("content").alias("fragment")), "chunk_id")
+        best.join(fragments, "chunk_id")
         .join(titles, "document_id")
         .select("query_id", "place", "document_id", "document", "score", "fragment")
     )

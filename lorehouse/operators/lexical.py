@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from lorehouse import fixed_values as fixed
 from lorehouse.functions.text import SPACE, let, terms
 from lorehouse.operators.rare_key import EVERYTHING, candidates
+from lorehouse.session import cut_lineage
 
 Analyzer = Callable[[Column], Column]
 
@@ -115,7 +116,8 @@ def _clause_holds(tokens: Column, atoms: Column) -> Column:
 
 def match(queries: DataFrame, tokens: DataFrame, analyzer: Analyzer | None = None) -> DataFrame:
     """``(query_id, chunk_id)`` of all chunks that satisfy a query."""
-    return _verified(parse_queries(queries, analyzer), tokens).select("query_id", "chunk_id").distinct()
+    clauses = cut_lineage(parse_queries(queries, analyzer), "clauses")
+    return _verified(clauses, tokens).select("query_id", "chunk_id").distinct()
 
 
 def _positive_terms(atoms: Column) -> Column:
@@ -135,7 +137,8 @@ def _verified(clauses: DataFrame, tokens: DataFrame) -> DataFrame:
         # a clause of exclusions only starts from every chunk
         F.explode(F.when(F.size(keys) > 0, keys).otherwise(F.array(F.lit(EVERYTHING)))).alias("key"),
     )
-    found = candidates(needs, postings(tokens), ["query_id", "clause"])
+    # written, so that few candidates are broadcast to the token table instead of shuffling it
+    found = cut_lineage(candidates(needs, postings(tokens), ["query_id", "clause"]), "candidates")
     return (
         found.withColumnRenamed("item", "chunk_id")
         .join(tokens.select("chunk_id", "tokens"), "chunk_id")
@@ -216,7 +219,7 @@ def lexical_top_k(
 
     ``queries``: query_id, query. Equal scores go by chunk id.
     """
-    clauses = parse_queries(queries, analyzer)
+    clauses = cut_lineage(parse_queries(queries, analyzer), "clauses")
     shape = (
         clauses.withColumn("_terms", F.array_distinct(_positive_terms(F.col("atoms"))))
         .groupBy("query_id")

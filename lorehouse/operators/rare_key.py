@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorehouse.session import cut_lineage
+
 EVERYTHING = ""
 
 
@@ -16,7 +18,7 @@ def rarest_key(needs: DataFrame, postings: DataFrame, group: list[str]) -> DataF
     rarest one keeps frequent keys out of the join. Keys absent from the
     postings count zero and leave the group without candidates.
     """
-    wanted = needs.select("key").distinct()
+    wanted = needs.select("key")
     counts = (
         postings.select("key").join(wanted, "key", "left_semi").groupBy("key").agg(
             F.count(F.lit(1)).alias("_n")
@@ -29,8 +31,11 @@ def rarest_key(needs: DataFrame, postings: DataFrame, group: list[str]) -> DataF
 def candidates(needs: DataFrame, postings: DataFrame, group: list[str]) -> DataFrame:
     """``(group…, item)`` pairs that hold the rarest key of the group.
 
-    The posting side may be skewed towards one key; it is the streamed side, and
-    adaptive execution splits its partitions.
+    The small tables are written first: with their true sizes the planner
+    broadcasts them while they fit and never shuffles all postings for a few
+    questions. Beyond the bound the postings are shuffled once, filtered, and
+    adaptive execution splits the partition of a frequent key.
     """
-    drivers = rarest_key(needs, postings, group)
+    needs = cut_lineage(needs, "needs")
+    drivers = cut_lineage(rarest_key(needs, postings, group), "drivers")
     return postings.join(drivers, "key").select(*group, "item")

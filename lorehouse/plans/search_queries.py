@@ -161,7 +161,7 @@ def hybrid_search(t: Tables) -> DataFrame:
 )
 def hybrid_search_filtered(t: Tables) -> DataFrame:
     inside = filter_documents(t.documents(), {"doc_type": "faq", "created_after": "2024-01-05"})
-    return search_chunks(t.questions(), embedded_chunks(t), inside, dim=DIM)
+    return search_chunks(t.questions(), embedded_chunks(t), t.documents(), within=inside, dim=DIM)
 
 
 @query(

@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from lorehouse.functions.text import canonical_name, content_hash
 from lorehouse.operators.chunking import chunk_documents
+from lorehouse.operators.versions import close_intervals
 from lorehouse.session import spread
 
 TYPES = ("generic", "regulation", "instruction", "faq", "meeting_notes")
@@ -294,17 +294,16 @@ class Tables:
         return self.as_messages(self.events())
 
     def facts(self) -> DataFrame:
-        topic = F.concat_ws("-", "event_type", F.col("user_id") % 10)
-        following = F.lead("ts").over(Window.partitionBy("topic").orderBy("ts", "event_id"))
-        return self.events().withColumn("topic", topic).withColumn("invalid_at", following).select(
+        versions = self.events().select(
             F.col("event_id").alias("id"),
-            "topic",
+            F.concat_ws("-", "event_type", F.col("user_id") % 10).alias("topic"),
             F.col("props").alias("content"),
             F.col("ts").alias("valid_from"),
-            "invalid_at",
+            F.lit(None).cast("timestamp").alias("invalid_at"),
             F.col("user_id").alias("created_by"),
             F.floor(F.col("event_id") / 20).alias("session_id"),
         )
+        return close_intervals(versions)
 
     def buffered(self) -> DataFrame:
         return self.events().select(

@@ -120,7 +120,7 @@ def test_hybrid_search(spark, knowledge):
     first = {r.query_id: r for r in rows if r.place == 1}
     assert first[1].document == "Отпуска" and "ZX-991" in first[1].fragment
     only = filters.filter_documents(documents, {"doc_type": "generic", "title_contains": "скид"})
-    rows = search_chunks(queries, chunks, only, dim=64).collect()
+    rows = search_chunks(queries, chunks, documents, within=only, dim=64).collect()
     assert {r.document_id for r in rows} == {2}
 
 
