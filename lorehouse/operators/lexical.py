@@ -234,9 +234,13 @@ def lexical_top_k(
         )
         .select("query_id", "query_terms", "clauses")
     )
-    matched = _verified(clauses, tokens).select("query_id", "chunk_id", "tokens")
-    matched = matched.dropDuplicates(["query_id", "chunk_id"])
     score = F.round(cover_density(F.col("tokens"), F.col("query_terms"), F.col("clauses")), 9)
-    scored = matched.join(shape, "query_id").select("query_id", "chunk_id", score.alias("score"))
+    # scored where the tokens are; a chunk that holds several clauses is dropped to one row after
+    scored = (
+        _verified(clauses, tokens)
+        .join(shape, "query_id")
+        .select("query_id", "chunk_id", score.alias("score"))
+        .distinct()
+    )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

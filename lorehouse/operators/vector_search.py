@@ -81,7 +81,11 @@ def _first_k(pairs: pd.DataFrame, k: int) -> pd.DataFrame:
 
 
 def _ids(column: pa.Array) -> np.ndarray:
-    return np.asarray(column.to_pylist(), dtype=object if pa.types.is_string(column.type) else None)
+    return column.to_numpy(zero_copy_only=False)
+
+
+def _arrow_pairs(query_type: pa.DataType, item_type: pa.DataType) -> pa.Schema:
+    return pa.schema([("query_id", query_type), ("item_id", item_type), ("score", pa.float64())])
 
 
 def _unit(column: pa.Array) -> np.ndarray:
@@ -106,22 +110,24 @@ def _by_broadcast(
     ids = _ids(table.column("query_id").combine_chunks())
     matrix = _unit(table.column("embedding").combine_chunks())
     shared = queries.sparkSession.sparkContext.broadcast((ids, matrix))
+    query_type = table.schema.field("query_id").type
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, query_matrix = shared.value
-        best = None
+        best, item_type = None, None
         for batch in batches:
-            if not len(batch):
-                continue
-            vectors = unit_rows(np.vstack(batch["embedding"].to_numpy()).astype(np.float64))
+            item_type = batch.schema.field("item_id").type
             block = best_pairs(
-                query_ids, query_matrix, batch["item_id"].to_numpy(), vectors, k, above
+                query_ids, query_matrix, _ids(batch.column("item_id")),
+                _unit(batch.column("embedding")), k, above,
             )
             best = block if best is None else _first_k(pd.concat([best, block]), k)
         if best is not None:
-            yield best
+            yield pa.RecordBatch.from_pandas(
+                best, schema=_arrow_pairs(query_type, item_type), preserve_index=False
+            )
 
-    return items.select("item_id", "embedding").mapInPandas(scan, schema)
+    return items.select("item_id", "embedding").mapInArrow(scan, schema)
 
 
 def _cells(rows: DataFrame, id_column: str, keys: list[str], rows_per_cell: int) -> DataFrame:
@@ -177,12 +183,8 @@ def _by_cells(
             )
         else:
             found = pd.DataFrame({"query_id": [], "item_id": [], "score": []})
-        target = pa.schema(
-            [
-                ("query_id", one.schema.field("query_id").type),
-                ("item_id", other.schema.field("item_id").type),
-                ("score", pa.float64()),
-            ]
+        target = _arrow_pairs(
+            one.schema.field("query_id").type, other.schema.field("item_id").type
         )
         return pa.Table.from_pandas(found, schema=target, preserve_index=False)
 

@@ -175,22 +175,22 @@ def apply_documents(t: Tables) -> DataFrame:
 
 
 @query(
-    PRELUDE + _PLAN + """SELECT CAST(source_path AS BIGINT) AS document_id, CAST(i AS INTEGER) AS chunk_index, md5(substr(text, 1 + i * 1500, 1500)) AS content
-  FROM plan, unnest(range(0, 1)) r(i) WHERE length(text) <= 1500 AND action <> 'created'"""
+    # the chunks of all documents as they read after the second load
+    PRELUDE.replace(
+        "FROM documents WHERE length(text)",
+        "FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || '!' ELSE text END AS text FROM documents) WHERE length(text)",
+    )
+    + "SELECT document_id, chunk_index, md5(content) AS content FROM kb_chunks"
 )
 def replace_chunks(t: Tables) -> DataFrame:
-    """Chunks after the second load, shown for the one-chunk documents that were loaded before."""
     current = chunk_documents(t.current_documents())
     planned = V.plan_ingest(t.incoming_documents(), t.current_documents())
-    changed = planned.filter("action = 'updated'")
+    changed = planned.filter("action <> 'unchanged'").withColumn("id", F.col("source_path").cast("bigint"))
     fresh = chunk_documents(
         changed.select("id", F.col("text").alias("raw_content"), F.lit("generic").alias("doc_type"), F.lit("{}").alias("attributes"))
     )
     after = V.replace_chunks(current, changed.select(F.col("id").alias("document_id")), fresh)
-    short = planned.filter((F.length("text") <= 1500) & (F.col("action") != "created"))
-    return after.join(short.select(F.col("id").alias("document_id")), "document_id", "left_semi").withColumn(
-        "content", F.md5("content")
-    )
+    return after.withColumn("content", F.md5("content"))
 
 
 # --- mentions, relations, links ------------------------------------------------------------------
