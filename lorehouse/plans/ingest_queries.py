@@ -28,7 +28,7 @@ def _moment():
   CASE WHEN with_attributes AND doc_type = 'meeting_notes' THEN '2024-02-0' || (document_id % 9 + 1) END AS meeting_date,
   CASE WHEN with_attributes AND doc_type = 'instruction' THEN '["a","' || lang || '"]' END AS systems,
   CASE WHEN with_attributes AND doc_type = 'generic' THEN lang END AS language,
-  CAST(NULL AS VARCHAR) AS extra FROM kb_extractions"""
+  CAST(NULL AS VARCHAR) AS extra FROM base_extractions"""
 )
 def normalize_extractions(t: Tables) -> DataFrame:
     out = X.normalize_extractions(t.raw_extractions())
@@ -39,9 +39,9 @@ def normalize_extractions(t: Tables) -> DataFrame:
 
 
 _NAMED = """, named AS (
-  SELECT document_id, 0 AS pos, 'person' AS entity_type, ' Ann ' || (document_id % 50) || ' ' AS name, 'owner' AS role FROM kb_extractions WHERE with_envelope
-  UNION ALL SELECT document_id, 1, 'product', source, NULL FROM kb_extractions WHERE with_envelope
-  UNION ALL SELECT document_id, 2, 'process', lang, NULL FROM kb_extractions WHERE with_envelope)"""
+  SELECT document_id, 0 AS pos, 'person' AS entity_type, ' Ann ' || (document_id % 50) || ' ' AS name, 'owner' AS role FROM base_extractions WHERE with_envelope
+  UNION ALL SELECT document_id, 1, 'product', source, NULL FROM base_extractions WHERE with_envelope
+  UNION ALL SELECT document_id, 2, 'process', lang, NULL FROM base_extractions WHERE with_envelope)"""
 
 
 @query(PRELUDE + _NAMED + "SELECT * FROM named")
@@ -50,16 +50,16 @@ def extracted_entities(t: Tables) -> DataFrame:
 
 
 @query(
-    PRELUDE + """SELECT document_id, 0 AS pos, 'ANN ' || (document_id % 50) AS source, source AS target, 'owns' AS relation FROM kb_extractions WHERE with_envelope
-  UNION ALL SELECT document_id, 1, source, 'missing', 'owns' FROM kb_extractions WHERE with_envelope"""
+    PRELUDE + """SELECT document_id, 0 AS pos, 'ANN ' || (document_id % 50) AS source, source AS target, 'owns' AS relation FROM base_extractions WHERE with_envelope
+  UNION ALL SELECT document_id, 1, source, 'missing', 'owns' FROM base_extractions WHERE with_envelope"""
 )
 def extracted_relations(t: Tables) -> DataFrame:
     return X.extracted_relations(X.normalize_extractions(t.raw_extractions()))
 
 
 @query(
-    PRELUDE + """SELECT document_id AS source_id, 'doc ' || (document_id // 2) AS name FROM kb_extractions WHERE with_envelope
-  UNION ALL SELECT document_id, 'doc ' || (document_id + 1) FROM kb_extractions WHERE with_envelope"""
+    PRELUDE + """SELECT document_id AS source_id, 'doc ' || (document_id // 2) AS name FROM base_extractions WHERE with_envelope
+  UNION ALL SELECT document_id, 'doc ' || (document_id + 1) FROM base_extractions WHERE with_envelope"""
 )
 def extracted_links(t: Tables) -> DataFrame:
     return X.extracted_links(X.normalize_extractions(t.raw_extractions()))
@@ -95,7 +95,7 @@ def upsert_entities(t: Tables) -> DataFrame:
 
 
 @query(
-    PRELUDE + _UPSERTED + """SELECT e.document_id, a.id AS source_id, b.id AS target_id, 'owns' AS relation FROM kb_extractions e
+    PRELUDE + _UPSERTED + """SELECT e.document_id, a.id AS source_id, b.id AS target_id, 'owns' AS relation FROM base_extractions e
   JOIN upserted a ON a.entity_type = 'person' AND a.canonical = 'ann ' || (e.document_id % 50)
   JOIN upserted b ON b.entity_type = 'product' AND b.canonical = lower(e.source) WHERE e.with_envelope"""
 )
@@ -110,7 +110,7 @@ def resolve_relations(t: Tables) -> DataFrame:
 
 _PLAN = """, plan AS (SELECT s.source_path, s.text, sha256(s.text) AS content_hash, CAST(f.source_path AS BIGINT) AS id,
   CASE WHEN f.source_path IS NULL THEN 'created' WHEN sha256(f.text) = sha256(s.text) THEN 'unchanged' ELSE 'updated' END AS action
-  FROM kb_second_load s LEFT JOIN kb_first_load f USING (source_path))"""
+  FROM base_second_load s LEFT JOIN base_first_load f USING (source_path))"""
 
 
 @query(
@@ -124,7 +124,7 @@ def plan_ingest(t: Tables) -> DataFrame:
 
 @query(
     PRELUDE + """, chain AS (SELECT *, lag(hash) OVER (PARTITION BY source_path ORDER BY seq) AS before FROM (
-    SELECT source_path, seq, sha256(text) AS hash FROM kb_first_load UNION ALL SELECT source_path, seq, sha256(text) FROM kb_second_load))
+    SELECT source_path, seq, sha256(text) AS hash FROM base_first_load UNION ALL SELECT source_path, seq, sha256(text) FROM base_second_load))
   SELECT source_path, seq, hash AS content_hash, CAST(sum(CASE WHEN hash IS DISTINCT FROM before THEN 1 ELSE 0 END)
     OVER (PARTITION BY source_path ORDER BY seq) AS BIGINT) AS version,
     CASE WHEN before IS NULL THEN 'created' WHEN hash = before THEN 'unchanged' ELSE 'updated' END AS action FROM chain"""
@@ -180,7 +180,7 @@ def apply_documents(t: Tables) -> DataFrame:
         "FROM documents WHERE length(text)",
         "FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || '!' ELSE text END AS text FROM documents) WHERE length(text)",
     )
-    + "SELECT document_id, chunk_index, md5(content) AS content FROM kb_chunks"
+    + "SELECT document_id, chunk_index, md5(content) AS content FROM base_chunks"
 )
 def replace_chunks(t: Tables) -> DataFrame:
     current = chunk_documents(t.current_documents())
@@ -205,7 +205,7 @@ _URGENT = "(SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')"
 
 @query(
     PRELUDE + f"""SELECT entity_id, document_id, role, valid_from,
-    CASE WHEN invalid_at IS NULL AND document_id IN {_URGENT} THEN {AS_OF} ELSE invalid_at END AS invalid_at FROM kb_mentions
+    CASE WHEN invalid_at IS NULL AND document_id IN {_URGENT} THEN {AS_OF} ELSE invalid_at END AS invalid_at FROM base_mentions
   UNION ALL SELECT DISTINCT l_suppkey * 8 + 3, l_orderkey, CASE WHEN l_linenumber > 3 THEN 'owner' END, {AS_OF}, CAST(NULL AS TIMESTAMP)
   FROM lineitem WHERE l_orderkey IN {_URGENT}"""
 )
@@ -225,8 +225,8 @@ def replace_mentions(t: Tables) -> DataFrame:
   w AS (SELECT * FROM wanted WHERE source_id <> target_id)
   SELECT r.source_id, r.target_id, r.relation, r.document_id, CASE WHEN w.source_id IS NOT NULL THEN {AS_OF} ELSE r.valid_from END AS valid_from,
     CASE WHEN w.source_id IS NOT NULL THEN NULL WHEN r.invalid_at IS NULL AND r.document_id IN {_URGENT} THEN {AS_OF} ELSE r.invalid_at END AS invalid_at
-  FROM kb_relations r LEFT JOIN w USING (source_id, target_id, relation, document_id)
-  UNION ALL SELECT w.*, {AS_OF}, NULL FROM w ANTI JOIN kb_relations USING (source_id, target_id, relation, document_id)"""
+  FROM base_relations r LEFT JOIN w USING (source_id, target_id, relation, document_id)
+  UNION ALL SELECT w.*, {AS_OF}, NULL FROM w ANTI JOIN base_relations USING (source_id, target_id, relation, document_id)"""
 )
 def replace_relations(t: Tables) -> DataFrame:
     supplier = F.col("l_suppkey") * 8 + 3
@@ -240,12 +240,12 @@ def replace_relations(t: Tables) -> DataFrame:
     return V.replace_relations(t.relations(), _changed_orders(t), wanted, _moment())
 
 
-_RELINKED = f""", ch AS (SELECT id FROM kb_documents WHERE doc_type IN ('faq', 'generic')),
-closed AS (SELECT source_id, target_id, kind, valid_from, CASE WHEN invalid_at IS NULL AND source_id IN (SELECT id FROM ch) THEN {AS_OF} ELSE invalid_at END AS invalid_at FROM kb_links),
-names AS (SELECT * FROM kb_link_names WHERE source_id IN (SELECT id FROM ch)),
-matched AS (SELECT DISTINCT n.source_id, n.name, (SELECT min(d.id) FROM kb_documents d WHERE d.source_path = n.name OR lower(d.title) = lower(n.name)) AS target_id FROM names n),
-waiting AS (SELECT p.*, (SELECT min(d.id) FROM kb_documents d WHERE d.id IN (SELECT id FROM ch) AND (d.source_path = p.target_name OR lower(d.title) = lower(p.target_name))) AS target_id
-  FROM kb_pending p WHERE p.source_id NOT IN (SELECT id FROM ch)),
+_RELINKED = f""", ch AS (SELECT id FROM base_documents WHERE doc_type IN ('faq', 'generic')),
+closed AS (SELECT source_id, target_id, kind, valid_from, CASE WHEN invalid_at IS NULL AND source_id IN (SELECT id FROM ch) THEN {AS_OF} ELSE invalid_at END AS invalid_at FROM base_links),
+names AS (SELECT * FROM base_link_names WHERE source_id IN (SELECT id FROM ch)),
+matched AS (SELECT DISTINCT n.source_id, n.name, (SELECT min(d.id) FROM base_documents d WHERE d.source_path = n.name OR lower(d.title) = lower(n.name)) AS target_id FROM names n),
+waiting AS (SELECT p.*, (SELECT min(d.id) FROM base_documents d WHERE d.id IN (SELECT id FROM ch) AND (d.source_path = p.target_name OR lower(d.title) = lower(p.target_name))) AS target_id
+  FROM base_pending p WHERE p.source_id NOT IN (SELECT id FROM ch)),
 w AS (SELECT DISTINCT source_id, target_id, 'reference' AS kind FROM (SELECT source_id, target_id FROM matched UNION ALL SELECT source_id, target_id FROM waiting) WHERE target_id <> source_id)"""
 
 
@@ -273,8 +273,8 @@ def pending_after_links(t: Tables) -> DataFrame:
 
 
 @query(
-    PRELUDE + """SELECT id FROM kb_entities WHERE id IN (SELECT entity_id FROM kb_mentions)
-  OR id IN (SELECT source_id FROM kb_relations) OR id IN (SELECT target_id FROM kb_relations)"""
+    PRELUDE + """SELECT id FROM base_entities WHERE id IN (SELECT entity_id FROM base_mentions)
+  OR id IN (SELECT source_id FROM base_relations) OR id IN (SELECT target_id FROM base_relations)"""
 )
 def drop_orphans(t: Tables) -> DataFrame:
     return V.drop_orphans(t.entities(), t.mentions(), t.relations()).select("id")
@@ -297,7 +297,7 @@ def _new_facts(t: Tables) -> DataFrame:
 @query(
     PRELUDE + f""", {_NEW_FACTS}
   SELECT id, topic, content, valid_from, least(invalid_at, lead(valid_from) OVER (PARTITION BY topic ORDER BY valid_from, id)) AS invalid_at
-  FROM (SELECT id, topic, content, valid_from, invalid_at FROM kb_facts UNION ALL SELECT id, topic, content, valid_from, NULL FROM new_facts)"""
+  FROM (SELECT id, topic, content, valid_from, invalid_at FROM base_facts UNION ALL SELECT id, topic, content, valid_from, NULL FROM new_facts)"""
 )
 def upsert_facts(t: Tables) -> DataFrame:
     return V.upsert_facts(t.facts(), _new_facts(t)).select("id", "topic", "content", "valid_from", "invalid_at")
@@ -305,7 +305,7 @@ def upsert_facts(t: Tables) -> DataFrame:
 
 @query(
     PRELUDE + f"""SELECT id, topic, CASE WHEN invalid_at IS NULL AND starts_with(topic, 'click') THEN {AS_OF} ELSE invalid_at END AS invalid_at
-  FROM kb_facts WHERE NOT starts_with(topic, 'error')"""
+  FROM base_facts WHERE NOT starts_with(topic, 'error')"""
 )
 def delete_facts(t: Tables) -> DataFrame:
     """Soft deletion of one family of topics and hard deletion of another."""
@@ -314,7 +314,7 @@ def delete_facts(t: Tables) -> DataFrame:
     return V.hard_delete(soft, topics.filter(F.col("topic").startswith("error"))).select("id", "topic", "invalid_at")
 
 
-@query(PRELUDE + f"SELECT id, topic FROM kb_facts WHERE valid_from <= {AS_OF} AND (invalid_at IS NULL OR invalid_at > {AS_OF})")
+@query(PRELUDE + f"SELECT id, topic FROM base_facts WHERE valid_from <= {AS_OF} AND (invalid_at IS NULL OR invalid_at > {AS_OF})")
 def facts_as_of(t: Tables) -> DataFrame:
     return V.as_of(t.facts(), _moment()).select("id", "topic")
 
@@ -327,7 +327,7 @@ def _extracted(t: Tables) -> DataFrame:
 
 
 @query(
-    PRELUDE + f"""SELECT document_id AS id, doc_type, status AS extraction_status, 'm2' AS extraction_model, {AS_OF} AS extracted_at FROM kb_extractions"""
+    PRELUDE + f"""SELECT document_id AS id, doc_type, status AS extraction_status, 'm2' AS extraction_model, {AS_OF} AS extracted_at FROM base_extractions"""
 )
 def reextract(t: Tables) -> DataFrame:
     return V.reextract(t.documents(), _extracted(t), _moment()).select(
@@ -340,7 +340,7 @@ def reextract(t: Tables) -> DataFrame:
     CASE WHEN l.doc_id IS NULL THEN extraction_status WHEN e.doc_type = 'faq' THEN e.status ELSE 'skipped' END AS extraction_status,
     CASE WHEN l.doc_id IS NULL THEN extraction_model WHEN e.doc_type = 'faq' THEN 'm2' END AS extraction_model,
     CASE WHEN l.doc_id IS NOT NULL AND e.doc_type <> 'faq' THEN '{{}}' END AS cleared
-  FROM kb_documents d JOIN kb_extractions e ON e.document_id = d.id LEFT JOIN labels l ON l.doc_id = d.id"""
+  FROM base_documents d JOIN base_extractions e ON e.document_id = d.id LEFT JOIN labels l ON l.doc_id = d.id"""
 )
 def set_type(t: Tables) -> DataFrame:
     overrides = t.raw("labels").select(F.col("doc_id").alias("document_id"), F.lit("faq").alias("doc_type"))
@@ -351,16 +351,16 @@ def set_type(t: Tables) -> DataFrame:
 
 
 @query(
-    PRELUDE + """SELECT 'documents: one row per source path' AS rule, count(*) - count(DISTINCT source_path) AS violations FROM kb_documents
+    PRELUDE + """SELECT 'documents: one row per source path' AS rule, count(*) - count(DISTINCT source_path) AS violations FROM base_documents
   UNION ALL SELECT 'documents: status', 0 UNION ALL SELECT 'documents: source kind', 0
-  UNION ALL SELECT 'entities: one row per name', (SELECT count(*) FROM (SELECT 1 FROM kb_entities GROUP BY entity_type, canonical HAVING count(*) > 1))
-  UNION ALL SELECT 'mentions: one active row per role', (SELECT count(*) FROM (SELECT 1 FROM kb_mentions WHERE invalid_at IS NULL GROUP BY entity_id, document_id, role HAVING count(*) > 1))
-  UNION ALL SELECT 'relations: one row per edge', (SELECT count(*) FROM (SELECT 1 FROM kb_relations GROUP BY source_id, target_id, relation, document_id HAVING count(*) > 1))
-  UNION ALL SELECT 'relations: no self edges', (SELECT count(*) FROM kb_relations WHERE source_id = target_id)
-  UNION ALL SELECT 'links: one active row per kind', (SELECT count(*) FROM (SELECT 1 FROM kb_links WHERE invalid_at IS NULL GROUP BY source_id, target_id, kind HAVING count(*) > 1))
+  UNION ALL SELECT 'entities: one row per name', (SELECT count(*) FROM (SELECT 1 FROM base_entities GROUP BY entity_type, canonical HAVING count(*) > 1))
+  UNION ALL SELECT 'mentions: one active row per role', (SELECT count(*) FROM (SELECT 1 FROM base_mentions WHERE invalid_at IS NULL GROUP BY entity_id, document_id, role HAVING count(*) > 1))
+  UNION ALL SELECT 'relations: one row per edge', (SELECT count(*) FROM (SELECT 1 FROM base_relations GROUP BY source_id, target_id, relation, document_id HAVING count(*) > 1))
+  UNION ALL SELECT 'relations: no self edges', (SELECT count(*) FROM base_relations WHERE source_id = target_id)
+  UNION ALL SELECT 'links: one active row per kind', (SELECT count(*) FROM (SELECT 1 FROM base_links WHERE invalid_at IS NULL GROUP BY source_id, target_id, kind HAVING count(*) > 1))
   UNION ALL SELECT 'links: no self links', 0
-  UNION ALL SELECT 'facts: one active version per topic', (SELECT count(*) FROM (SELECT 1 FROM kb_facts WHERE invalid_at IS NULL GROUP BY topic HAVING count(*) > 1))
-  UNION ALL SELECT 'sessions: one active per user', (SELECT count(*) FROM (SELECT 1 FROM kb_sessions WHERE active GROUP BY user_id HAVING count(*) > 1))
+  UNION ALL SELECT 'facts: one active version per topic', (SELECT count(*) FROM (SELECT 1 FROM base_facts WHERE invalid_at IS NULL GROUP BY topic HAVING count(*) > 1))
+  UNION ALL SELECT 'sessions: one active per user', (SELECT count(*) FROM (SELECT 1 FROM base_sessions WHERE active GROUP BY user_id HAVING count(*) > 1))
   UNION ALL SELECT 'messages: role', (SELECT count(*) FROM conversations WHERE role NOT IN ('user', 'assistant'))"""
 )
 def integrity_report(t: Tables) -> DataFrame:

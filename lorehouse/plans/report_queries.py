@@ -22,43 +22,43 @@ def _moment():
 
 
 @query(
-    PRELUDE + """SELECT 'documents by type' AS section, doc_type AS label, count(*) AS n FROM kb_documents GROUP BY 2
-  UNION ALL SELECT 'documents by status', extraction_status, count(*) FROM kb_documents GROUP BY 2
-  UNION ALL SELECT 'entities by type', entity_type, count(*) FROM kb_entities GROUP BY 2
-  UNION ALL SELECT 'chunks', NULL, count(*) FROM kb_chunks
-  UNION ALL SELECT 'active facts', NULL, count(*) FROM kb_facts WHERE invalid_at IS NULL"""
+    PRELUDE + """SELECT 'documents by type' AS section, doc_type AS label, count(*) AS n FROM base_documents GROUP BY 2
+  UNION ALL SELECT 'documents by status', extraction_status, count(*) FROM base_documents GROUP BY 2
+  UNION ALL SELECT 'entities by type', entity_type, count(*) FROM base_entities GROUP BY 2
+  UNION ALL SELECT 'chunks', NULL, count(*) FROM base_chunks
+  UNION ALL SELECT 'active facts', NULL, count(*) FROM base_facts WHERE invalid_at IS NULL"""
 )
 def corpus_stats(t: Tables) -> DataFrame:
     return R.corpus_stats(t.documents(), t.entities(), t.chunks(), t.facts())
 
 
 @query(
-    PRELUDE + """SELECT 'nodes by type' AS section, entity_type AS label, count(*) AS n FROM kb_entities GROUP BY 2
-  UNION ALL SELECT 'edges by relation', relation, count(*) FROM kb_relations WHERE invalid_at IS NULL GROUP BY 2"""
+    PRELUDE + """SELECT 'nodes by type' AS section, entity_type AS label, count(*) AS n FROM base_entities GROUP BY 2
+  UNION ALL SELECT 'edges by relation', relation, count(*) FROM base_relations WHERE invalid_at IS NULL GROUP BY 2"""
 )
 def graph_stats(t: Tables) -> DataFrame:
     return R.graph_stats(t.entities(), t.relations())
 
 
-_ENDS = """(SELECT source_id AS id FROM kb_relations WHERE invalid_at IS NULL
-  UNION ALL SELECT target_id FROM kb_relations WHERE invalid_at IS NULL)"""
+_ENDS = """(SELECT source_id AS id FROM base_relations WHERE invalid_at IS NULL
+  UNION ALL SELECT target_id FROM base_relations WHERE invalid_at IS NULL)"""
 
 
 @query(
     PRELUDE + f"""SELECT id, count(*) AS degree, any_value(name) AS name, any_value(entity_type) AS entity_type
-  FROM {_ENDS} JOIN kb_entities USING (id) GROUP BY id ORDER BY degree DESC, id LIMIT 10"""
+  FROM {_ENDS} JOIN base_entities USING (id) GROUP BY id ORDER BY degree DESC, id LIMIT 10"""
 )
 def degree_top_k(t: Tables) -> DataFrame:
     return R.degree_top_k(t.entities(), t.relations())
 
 
-@query(PRELUDE + f"SELECT count(*) AS isolated FROM kb_entities WHERE id NOT IN {_ENDS}")
+@query(PRELUDE + f"SELECT count(*) AS isolated FROM base_entities WHERE id NOT IN {_ENDS}")
 def isolated_count(t: Tables) -> DataFrame:
     return R.isolated_count(t.entities(), t.relations())
 
 
 @query(
-    PRELUDE + f"""SELECT round(sum(value), 4) AS cost, sum(value) >= 20.0 AS limited FROM kb_messages
+    PRELUDE + f"""SELECT round(sum(value), 4) AS cost, sum(value) >= 20.0 AS limited FROM base_messages
   WHERE event_type NOT IN ('view', 'error') AND created_at >= date_trunc('month', {AS_OF})"""
 )
 def month_budget(t: Tables) -> DataFrame:
@@ -68,7 +68,7 @@ def month_budget(t: Tables) -> DataFrame:
 @query(
     PRELUDE + """SELECT CASE WHEN event_type <> 'signup' THEN event_type END AS model,
   round(sum(CASE WHEN event_type <> 'error' THEN value END), 4) AS cost, count(*) AS calls
-  FROM kb_messages WHERE event_type <> 'view' GROUP BY 1"""
+  FROM base_messages WHERE event_type <> 'view' GROUP BY 1"""
 )
 def cost_by_model(t: Tables) -> DataFrame:
     return R.cost_by_model(t.messages()).withColumn("cost", F.round("cost", 4))
@@ -76,7 +76,7 @@ def cost_by_model(t: Tables) -> DataFrame:
 
 @query(
     PRELUDE + """SELECT u.name, round(sum(CASE WHEN event_type <> 'error' THEN value END), 4) AS cost
-  FROM kb_messages m JOIN kb_users u ON u.id = m.conversation_id WHERE event_type <> 'view' GROUP BY 1"""
+  FROM base_messages m JOIN base_users u ON u.id = m.conversation_id WHERE event_type <> 'view' GROUP BY 1"""
 )
 def cost_by_user(t: Tables) -> DataFrame:
     return R.cost_by_user(t.messages(), t.owners(), t.users()).withColumn("cost", F.round("cost", 4))
@@ -87,33 +87,33 @@ def cost_by_user(t: Tables) -> DataFrame:
   CAST(sum(k + id % 100) AS BIGINT) AS total_tokens, CAST(sum(k % 10) AS BIGINT) AS cached_tokens,
   CAST(sum(CASE WHEN k % 3 <> 0 THEN k % 3 ELSE k % 5 END) AS BIGINT) AS cache_write_tokens,
   round(sum(CASE WHEN event_type IN ('view', 'error') THEN 0 ELSE value END), 4) AS cost
-  FROM kb_messages GROUP BY 1"""
+  FROM base_messages GROUP BY 1"""
 )
 def usage_totals(t: Tables) -> DataFrame:
     return R.usage_totals(t.messages()).withColumn("cost", F.round("cost", 4))
 
 
-@query(PRELUDE + "SELECT document_id, count(*) AS chunks FROM kb_chunks GROUP BY 1")
+@query(PRELUDE + "SELECT document_id, count(*) AS chunks FROM base_chunks GROUP BY 1")
 def chunk_counts(t: Tables) -> DataFrame:
     return R.chunk_counts(t.chunks())
 
 
 @query(
     PRELUDE + """SELECT s.id AS session_id, u.name, s.started_at, s.last_active_at,
-    (SELECT count(*) FROM kb_buffered b WHERE b.session_id = s.id) AS buffered,
-    (SELECT count(*) FROM kb_documents d WHERE d.ingest_session_id = s.id) AS docs
-  FROM kb_sessions s JOIN kb_users u ON u.id = s.user_id WHERE s.active"""
+    (SELECT count(*) FROM base_buffered b WHERE b.session_id = s.id) AS buffered,
+    (SELECT count(*) FROM base_documents d WHERE d.ingest_session_id = s.id) AS docs
+  FROM base_sessions s JOIN base_users u ON u.id = s.user_id WHERE s.active"""
 )
 def session_report(t: Tables) -> DataFrame:
     return R.session_report(t.sessions(), t.users(), t.buffered(), t.documents())
 
 
-@query(PRELUDE + "SELECT topic, valid_from AS updated_at, length(content) AS length FROM kb_facts WHERE invalid_at IS NULL")
+@query(PRELUDE + "SELECT topic, valid_from AS updated_at, length(content) AS length FROM base_facts WHERE invalid_at IS NULL")
 def fact_topics(t: Tables) -> DataFrame:
     return R.fact_topics(t.facts())
 
 
-@query(PRELUDE + "SELECT topic, content, valid_from FROM kb_facts WHERE invalid_at IS NULL")
+@query(PRELUDE + "SELECT topic, content, valid_from FROM base_facts WHERE invalid_at IS NULL")
 def active_facts(t: Tables) -> DataFrame:
     return R.list_facts(t.facts())
 
@@ -121,20 +121,20 @@ def active_facts(t: Tables) -> DataFrame:
 @query(
     PRELUDE + """SELECT left(block, 1000) AS block, length(block) > 1000 AS truncated FROM (
     SELECT 'АКТУАЛЬНЫЕ ФАКТЫ:' || chr(10) || string_agg('[' || topic || ']: ' || content, chr(10) ORDER BY topic) AS block
-    FROM kb_facts WHERE invalid_at IS NULL)"""
+    FROM base_facts WHERE invalid_at IS NULL)"""
 )
 def facts_block(t: Tables) -> DataFrame:
     return R.facts_block(t.facts(), 1000)
 
 
-@query(PRELUDE + "SELECT session_id, string_agg(text, chr(10) || chr(10) ORDER BY seq) AS content FROM kb_buffered GROUP BY 1")
+@query(PRELUDE + "SELECT session_id, string_agg(text, chr(10) || chr(10) ORDER BY seq) AS content FROM base_buffered GROUP BY 1")
 def session_contents(t: Tables) -> DataFrame:
     return R.close_buffer(t.buffered())
 
 
 @query(
-    PRELUDE + """SELECT session_id, max(ts) AS last_active_at FROM (SELECT session_id, ts FROM kb_buffered
-  UNION ALL SELECT ingest_session_id, created_at FROM kb_documents WHERE ingest_session_id IS NOT NULL) GROUP BY 1"""
+    PRELUDE + """SELECT session_id, max(ts) AS last_active_at FROM (SELECT session_id, ts FROM base_buffered
+  UNION ALL SELECT ingest_session_id, created_at FROM base_documents WHERE ingest_session_id IS NOT NULL) GROUP BY 1"""
 )
 def last_activity(t: Tables) -> DataFrame:
     attached = t.documents().filter(F.col("ingest_session_id").isNotNull()).select(
@@ -144,9 +144,9 @@ def last_activity(t: Tables) -> DataFrame:
 
 
 @query(
-    PRELUDE + """SELECT f.id AS fact_id, f.topic, x.kind, x.number, x.text FROM kb_facts f LEFT JOIN (
-    SELECT session_id, 'message' AS kind, seq AS number, text FROM kb_buffered
-    UNION ALL SELECT ingest_session_id, 'document', id, title FROM kb_documents WHERE ingest_session_id IS NOT NULL) x
+    PRELUDE + """SELECT f.id AS fact_id, f.topic, x.kind, x.number, x.text FROM base_facts f LEFT JOIN (
+    SELECT session_id, 'message' AS kind, seq AS number, text FROM base_buffered
+    UNION ALL SELECT ingest_session_id, 'document', id, title FROM base_documents WHERE ingest_session_id IS NOT NULL) x
   ON x.session_id = f.session_id"""
 )
 def trace_facts(t: Tables) -> DataFrame:
@@ -155,7 +155,7 @@ def trace_facts(t: Tables) -> DataFrame:
 
 @query(
     PRELUDE + """SELECT d.id AS document_id, d.ingest_session_id AS session_id, f.id AS fact_id, f.topic
-  FROM kb_documents d LEFT JOIN kb_facts f ON f.session_id = d.ingest_session_id"""
+  FROM base_documents d LEFT JOIN base_facts f ON f.session_id = d.ingest_session_id"""
 )
 def trace_documents(t: Tables) -> DataFrame:
     return R.trace_documents(t.documents(), t.facts()).select("document_id", "session_id", "fact_id", "topic")
@@ -166,7 +166,7 @@ def trace_documents(t: Tables) -> DataFrame:
 
 @query(
     PRELUDE + """SELECT id, conversation_id, row_number() OVER (PARTITION BY conversation_id ORDER BY id) AS place FROM (
-  SELECT id, conversation_id FROM kb_messages QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY id DESC) <= 8)"""
+  SELECT id, conversation_id FROM base_messages QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY id DESC) <= 8)"""
 )
 def last_messages(t: Tables) -> DataFrame:
     return H.last_messages(t.messages()).select("id", "conversation_id", "place")
@@ -195,7 +195,7 @@ def keep_newest_active(t: Tables) -> DataFrame:
 
 @query(
     PRELUDE + """SELECT id, topic, row_number() OVER (PARTITION BY topic ORDER BY valid_from, id) AS number, valid_from,
-  invalid_at AS until FROM kb_facts"""
+  invalid_at AS until FROM base_facts"""
 )
 def fact_history(t: Tables) -> DataFrame:
     return H.fact_history(t.facts().withColumn("invalid_at", F.lit(None).cast("timestamp"))).select(
@@ -216,13 +216,13 @@ def rank_in_list(t: Tables) -> DataFrame:
 
 # --- evaluation --------------------------------------------------------------------------
 
-_LABELS = """labels_kb AS (SELECT doc_id, ['generic','regulation','instruction','faq','meeting_notes'][(doc_id + CASE WHEN toxic = 1 THEN 1 ELSE 0 END) % 5 + 1] AS label_type,
+_LABELS = """labels_base AS (SELECT doc_id, ['generic','regulation','instruction','faq','meeting_notes'][(doc_id + CASE WHEN toxic = 1 THEN 1 ELSE 0 END) % 5 + 1] AS label_type,
   quality FROM labels)"""
 
 
 @query(
     PRELUDE + f""", {_LABELS} SELECT 'DOC ' || doc_id AS title, label_type, doc_id AS document_id, doc_type
-  FROM labels_kb JOIN kb_documents ON id = doc_id"""
+  FROM labels_base JOIN base_documents ON id = doc_id"""
 )
 def label_lookup(t: Tables) -> DataFrame:
     return E.label_lookup(t.labels(), t.documents()).select("title", "label_type", "document_id", "doc_type")
@@ -230,7 +230,7 @@ def label_lookup(t: Tables) -> DataFrame:
 
 @query(
     PRELUDE + f""", {_LABELS} SELECT round(avg(CASE WHEN label_type = doc_type THEN 1.0 ELSE 0.0 END), 6) AS type_accuracy
-  FROM labels_kb JOIN kb_documents ON id = doc_id"""
+  FROM labels_base JOIN base_documents ON id = doc_id"""
 )
 def type_accuracy(t: Tables) -> DataFrame:
     return E.type_accuracy(t.labels(), t.documents()).withColumn("type_accuracy", F.round("type_accuracy", 6))
@@ -249,12 +249,12 @@ def _search_results(t: Tables) -> DataFrame:
     return found.withColumnRenamed("query_id", "question_id")
 
 
-_HOLDERS = """holders AS (SELECT item_id, id FROM benchmark b JOIN kb_documents d ON contains(d.raw_content, b.text))"""
+_HOLDERS = """holders AS (SELECT item_id, id FROM benchmark b JOIN base_documents d ON contains(d.raw_content, b.text))"""
 
 
 @query(
     PRELUDE + f""", {_HOLDERS} SELECT round(avg(hit), 6) AS recall_at_4 FROM (
-    SELECT item_id, max(CASE WHEN EXISTS (SELECT 1 FROM kb_found f JOIN holders h ON h.item_id = b.item_id AND h.id = f.chunk_id // 1000000
+    SELECT item_id, max(CASE WHEN EXISTS (SELECT 1 FROM base_found f JOIN holders h ON h.item_id = b.item_id AND h.id = f.chunk_id // 1000000
       WHERE f.query_id = b.item_id) THEN 1.0 ELSE 0.0 END) AS hit FROM holders b GROUP BY 1)"""
 )
 def recall_at_4(t: Tables) -> DataFrame:
@@ -303,12 +303,12 @@ def eval_report(t: Tables) -> DataFrame:
 
 
 @query(
-    PRELUDE + f""", {_LABELS}, values_kb AS (
-    SELECT 'type_accuracy' AS metric, (SELECT avg(CASE WHEN label_type = doc_type THEN 1.0 ELSE 0.0 END) FROM labels_kb JOIN kb_documents ON id = doc_id) AS value
+    PRELUDE + f""", {_LABELS}, values_base AS (
+    SELECT 'type_accuracy' AS metric, (SELECT avg(CASE WHEN label_type = doc_type THEN 1.0 ELSE 0.0 END) FROM labels_base JOIN base_documents ON id = doc_id) AS value
     UNION ALL SELECT 'attribute_completeness', (SELECT avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0.5 END) FROM labels)
     UNION ALL SELECT 'refusals', (SELECT avg(CASE WHEN (conv_id + turn) % 5 = 0 THEN 1.0 ELSE 0.0 END) FROM conversations WHERE role = 'assistant' AND conv_id % 6 = 0)
     UNION ALL SELECT 'recall_at_4', NULL UNION ALL SELECT 'graph_accuracy', NULL)
-  SELECT metric, CAST({{}} AS DOUBLE) AS threshold, round(value, 6) AS value, CASE WHEN value IS NULL THEN 'n/a' WHEN value >= {{}} THEN 'ok' ELSE 'FAIL' END AS verdict FROM values_kb""".replace(
+  SELECT metric, CAST({{}} AS DOUBLE) AS threshold, round(value, 6) AS value, CASE WHEN value IS NULL THEN 'n/a' WHEN value >= {{}} THEN 'ok' ELSE 'FAIL' END AS verdict FROM values_base""".replace(
         "{}",
         "CASE metric WHEN 'type_accuracy' THEN 0.9 WHEN 'recall_at_4' THEN 0.85 WHEN 'attribute_completeness' THEN 0.8 WHEN 'graph_accuracy' THEN 0.75 ELSE 1.0 END",
     )

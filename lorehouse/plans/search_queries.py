@@ -27,14 +27,14 @@ def token_index(t: Tables) -> DataFrame:
     return cut_lineage(L.token_table(t.chunks()), "tokens")
 
 
-@query(PRELUDE + "SELECT chunk_id, CAST(bucket AS INTEGER) AS bucket, weight FROM kb_vectors")
+@query(PRELUDE + "SELECT chunk_id, CAST(bucket AS INTEGER) AS bucket, weight FROM base_vectors")
 def embed_chunks(t: Tables) -> DataFrame:
     vectors = embed(t.chunks(), "content", dim=DIM)
     cells = vectors.select("chunk_id", F.posexplode_outer("embedding").alias("bucket", "weight"))
     return cells.filter(F.col("weight") > 0).withColumn("weight", F.col("weight").cast("double"))
 
 
-@query(PRELUDE + "SELECT query_id, CAST(bucket AS INTEGER) AS bucket, weight FROM kb_query_vectors")
+@query(PRELUDE + "SELECT query_id, CAST(bucket AS INTEGER) AS bucket, weight FROM base_query_vectors")
 def embed_queries(t: Tables) -> DataFrame:
     vectors = embed(t.questions(), "query", dim=DIM, is_query=True)
     cells = vectors.select("query_id", F.posexplode_outer("embedding").alias("bucket", "weight"))
@@ -93,7 +93,7 @@ def dimension_report(t: Tables) -> DataFrame:
     return V.dimension_report(V.require_dimension(t.raw("embeddings"), 64), 64)
 
 
-@query(PRELUDE + "SELECT term, count(*) AS n, count(DISTINCT chunk_id) AS chunks, CAST(sum(position) AS BIGINT) AS positions FROM kb_tokens GROUP BY 1")
+@query(PRELUDE + "SELECT term, count(*) AS n, count(DISTINCT chunk_id) AS chunks, CAST(sum(position) AS BIGINT) AS positions FROM base_tokens GROUP BY 1")
 def lexical_index(t: Tables) -> DataFrame:
     # one row per chunk and term first, so a frequent term is counted before it meets one task
     per_chunk = L.positions(L.token_table(t.chunks())).groupBy("term", "chunk_id").agg(
@@ -106,7 +106,7 @@ def lexical_index(t: Tables) -> DataFrame:
 
 _COMPOSED = r"""
 , words AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM benchmark),
-has AS (SELECT chunk_id, list(term ORDER BY position) AS terms, chr(1) || string_agg(term, chr(1) ORDER BY position) || chr(1) AS line FROM kb_tokens GROUP BY 1)
+has AS (SELECT chunk_id, list(term ORDER BY position) AS terms, chr(1) || string_agg(term, chr(1) ORDER BY position) || chr(1) AS line FROM base_tokens GROUP BY 1)
 SELECT query_id, chunk_id FROM words, has
 WHERE (w[1] <> 'or' AND w[2] <> 'or' AND w[3] <> 'or') AND ((list_contains(terms, w[1]) AND list_contains(terms, w[len(w)])) OR
   (contains(line, chr(1) || w[2] || chr(1) || w[3] || chr(1)) AND NOT list_contains(terms, w[len(w) - 1])))
@@ -118,24 +118,24 @@ def websearch_match(t: Tables) -> DataFrame:
     return L.match(t.composed_queries(), token_index(t))
 
 
-@query(PRELUDE + "SELECT query_id, chunk_id FROM kb_and_matches")
+@query(PRELUDE + "SELECT query_id, chunk_id FROM base_and_matches")
 def passage_match(t: Tables) -> DataFrame:
     return L.match(t.questions(), token_index(t))
 
 
-@query(PRELUDE + "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM kb_lexical_top")
+@query(PRELUDE + "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM base_lexical_top")
 def lexical_top_k(t: Tables) -> DataFrame:
     return L.lexical_top_k(t.questions(), token_index(t)).withColumn("score", F.round("score", 6))
 
 
-@query(PRELUDE + "SELECT query_id, chunk_id AS item_id, round(score, 6) AS score, rank FROM kb_vector_top")
+@query(PRELUDE + "SELECT query_id, chunk_id AS item_id, round(score, 6) AS score, rank FROM base_vector_top")
 def vector_candidates(t: Tables) -> DataFrame:
     chunks = embed(t.chunks(), "content", dim=DIM).select(F.col("chunk_id").alias("item_id"), "embedding")
     queries = embed(t.questions(), "query", dim=DIM, is_query=True)
     return V.cosine_top_k(queries, chunks, 20).withColumn("score", F.round("score", 6))
 
 
-@query(PRELUDE + "SELECT query_id, chunk_id, score, place FROM kb_found")
+@query(PRELUDE + "SELECT query_id, chunk_id, score, place FROM base_found")
 def rank_fusion(t: Tables) -> DataFrame:
     chunks = embedded_chunks(t)
     vector = V.cosine_top_k(
@@ -147,7 +147,7 @@ def rank_fusion(t: Tables) -> DataFrame:
 
 @query(
     PRELUDE + """SELECT query_id, place, c.document_id, 'Doc ' || c.document_id AS document, f.score, c.content AS fragment
-  FROM kb_found f JOIN kb_chunks c USING (chunk_id)"""
+  FROM base_found f JOIN base_chunks c USING (chunk_id)"""
 )
 def hybrid_search(t: Tables) -> DataFrame:
     return search_chunks(t.questions(), embedded_chunks(t), t.documents(), dim=DIM)
@@ -157,7 +157,7 @@ def hybrid_search(t: Tables) -> DataFrame:
     # documents of type faq created after 2024-01-05, both search branches inside them
     PRELUDE.replace("FROM documents WHERE length(text)", "FROM documents WHERE doc_id % 5 = 3 AND doc_id >= 120 AND length(text)")
     + """SELECT query_id, place, c.document_id, 'Doc ' || c.document_id AS document, f.score, c.content AS fragment
-  FROM kb_found f JOIN kb_chunks c USING (chunk_id)"""
+  FROM base_found f JOIN base_chunks c USING (chunk_id)"""
 )
 def hybrid_search_filtered(t: Tables) -> DataFrame:
     inside = filter_documents(t.documents(), {"doc_type": "faq", "created_after": "2024-01-05"})
@@ -167,12 +167,12 @@ def hybrid_search_filtered(t: Tables) -> DataFrame:
 @query(
     PRELUDE + rf""", texts AS (
     SELECT conv_id * 1000 + turn AS content_id, text FROM conversations WHERE role = 'user'
-  ), facts_kb AS (SELECT 'topic-' || lpad(CAST(item_id AS VARCHAR), 6, '0') AS topic, text FROM benchmark),
+  ), facts_base AS (SELECT 'topic-' || lpad(CAST(item_id AS VARCHAR), 6, '0') AS topic, text FROM benchmark),
   cells AS (
     SELECT kind, id, bucket, CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY kind, id)) AS FLOAT) AS DOUBLE) AS weight FROM (
       SELECT kind, id, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % 256 AS bucket, count(*) AS n FROM (
         SELECT 'q' AS kind, CAST(content_id AS VARCHAR) AS id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS term FROM texts
-        UNION ALL SELECT 'f', topic, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) FROM facts_kb) GROUP BY 1, 2, 3)),
+        UNION ALL SELECT 'f', topic, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) FROM facts_base) GROUP BY 1, 2, 3)),
   norms AS (SELECT kind, id, sqrt(sum(weight * weight)) AS norm FROM cells GROUP BY 1, 2),
   best AS (SELECT q.id, f.id AS topic, round(sum(q.weight * f.weight) / any_value(nq.norm * nf.norm), 9) AS score
     FROM cells q JOIN cells f ON q.kind = 'q' AND f.kind = 'f' AND q.bucket = f.bucket

@@ -19,7 +19,7 @@ DAY = 1440
 
 _ISLANDS = """isl AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, id) AS segment FROM (
   SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts > lag(ts) OVER w + INTERVAL 60 MINUTE THEN 1 ELSE 0 END AS brk
-  FROM kb_session_events WINDOW w AS (PARTITION BY user_id ORDER BY ts, id)))"""
+  FROM base_session_events WINDOW w AS (PARTITION BY user_id ORDER BY ts, id)))"""
 
 
 @query(
@@ -45,7 +45,7 @@ def idle_sessions_stream(t: Tables) -> DataFrame:
 _TOGGLED = """toggled AS (SELECT user_id, segment, CAST(ceil(toggles / 2.0) AS BIGINT) AS session, min(ts) AS opened_at, max(ts) AS last_active_at,
   count(*) FILTER (WHERE kind = 'text') AS texts, count(*) FILTER (WHERE kind = 'document') AS documents,
   max(CASE WHEN kind = 'toggle' AND toggles % 2 = 0 THEN ts END) AS toggled, arg_max(coalesce(next_at, TIMESTAMP '9999-01-01'), ts) AS contact
-  FROM kb_states WHERE kind = 'toggle' OR toggles % 2 = 1 GROUP BY 1, 2, 3)"""
+  FROM base_states WHERE kind = 'toggle' OR toggles % 2 = 1 GROUP BY 1, 2, 3)"""
 
 _SESSIONS = """SELECT user_id, {0} opened_at, last_active_at, texts, documents,
   CASE WHEN toggled IS NOT NULL THEN 'toggle' WHEN contact < TIMESTAMP '9999-01-01' THEN 'idle' ELSE 'open' END AS ending,
@@ -73,7 +73,7 @@ def toggle_sessions_stream(t: Tables) -> DataFrame:
 @query(
     PRELUDE + """SELECT user_id, CAST(segment AS BIGINT) AS segment, CAST(ceil(toggles / 2.0) AS BIGINT) AS session, id,
   row_number() OVER (PARTITION BY user_id, segment, ceil(toggles / 2.0) ORDER BY ts, id) AS seq
-  FROM kb_states WHERE kind = 'text' AND toggles % 2 = 1"""
+  FROM base_states WHERE kind = 'text' AND toggles % 2 = 1"""
 )
 def session_texts(t: Tables) -> DataFrame:
     return S.session_texts(t.session_events(), DAY).select("user_id", "segment", "session", "id", "seq")
@@ -81,7 +81,7 @@ def session_texts(t: Tables) -> DataFrame:
 
 @query(
     PRELUDE + """SELECT id, CASE WHEN kind = 'document' THEN 'page' WHEN kind = 'text' AND toggles % 2 = 1 THEN 'buffer' ELSE 'question' END AS route
-  FROM kb_states WHERE kind <> 'toggle'"""
+  FROM base_states WHERE kind <> 'toggle'"""
 )
 def route_messages(t: Tables) -> DataFrame:
     kind = F.col("kind")
@@ -129,7 +129,7 @@ def rolling_context_stream(t: Tables) -> DataFrame:
 
 @query(
     PRELUDE + """SELECT date_trunc('month', created_at)::TIMESTAMP AS month, round(sum(CASE WHEN event_type <> 'error' THEN value ELSE 0 END), 4) AS cost,
-  sum(CASE WHEN event_type <> 'error' THEN value ELSE 0 END) >= 20.0 AS limited FROM kb_messages WHERE event_type <> 'view' GROUP BY 1"""
+  sum(CASE WHEN event_type <> 'error' THEN value ELSE 0 END) >= 20.0 AS limited FROM base_messages WHERE event_type <> 'view' GROUP BY 1"""
 )
 def month_spend_stream(t: Tables) -> DataFrame:
     events = t.stream("events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))

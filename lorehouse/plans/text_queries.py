@@ -166,7 +166,7 @@ def table_sink(t: Tables) -> DataFrame:
 # --- text functions -----------------------------------------------------------------
 
 
-@query(PRELUDE + "SELECT id, lower(trim('  ' || name || ' ')) AS canonical FROM kb_entities")
+@query(PRELUDE + "SELECT id, lower(trim('  ' || name || ' ')) AS canonical FROM base_entities")
 def canonical_names(t: Tables) -> DataFrame:
     padded = F.concat(F.lit("\t "), "name", F.lit(" "))
     return t.entities().select("id", X.canonical_name(padded).alias("canonical"))
@@ -256,7 +256,7 @@ def answer_labels(t: Tables) -> DataFrame:
     )
 
 
-@query(PRELUDE + "SELECT id, event_type <> 'view' AS has_cost, event_type <> 'signup' AS has_model FROM kb_messages")
+@query(PRELUDE + "SELECT id, event_type <> 'view' AS has_cost, event_type <> 'signup' AS has_model FROM base_messages")
 def usage_keys(t: Tables) -> DataFrame:
     usage = F.col("usage")
     return t.messages().select(
@@ -267,31 +267,31 @@ def usage_keys(t: Tables) -> DataFrame:
 # --- structured queries -----------------------------------------------------------------
 
 
-@query(PRELUDE + """SELECT id FROM kb_documents WHERE lang = 'en' AND id % 3 = 0 AND id % 7 = 2 AND id % 10 = 3""")
+@query(PRELUDE + """SELECT id FROM base_documents WHERE lang = 'en' AND id % 3 = 0 AND id % 7 = 2 AND id % 10 = 3""")
 def filter_attributes(t: Tables) -> DataFrame:
     wanted = {"attributes": {"lang": "en", "status": "active", "tags": ["t2"], "meta": {"bucket": 3}}}
     return filters.filter_documents(t.documents(), wanted).select("id")
 
 
-@query(PRELUDE + """SELECT id FROM kb_documents WHERE title ILIKE '%OC _1%' AND doc_type = 'faq'""")
+@query(PRELUDE + """SELECT id FROM base_documents WHERE title ILIKE '%OC _1%' AND doc_type = 'faq'""")
 def filter_title_and_type(t: Tables) -> DataFrame:
     return filters.filter_documents(t.documents(), {"title_contains": "OC _1", "doc_type": "faq"}).select("id")
 
 
-@query(PRELUDE + """SELECT id FROM kb_documents WHERE CAST(created_at AS DATE) > DATE '2024-01-03' AND CAST(created_at AS DATE) < DATE '2024-02-01'""")
+@query(PRELUDE + """SELECT id FROM base_documents WHERE CAST(created_at AS DATE) > DATE '2024-01-03' AND CAST(created_at AS DATE) < DATE '2024-02-01'""")
 def filter_created(t: Tables) -> DataFrame:
     wanted = {"created_after": "2024-01-03", "created_before": "2024-02-01T05:00:00", "updated_after": None}
     return filters.filter_documents(t.documents(), wanted).select("id")
 
 
-@query(PRELUDE + """SELECT id FROM kb_documents WHERE id % 6 <> 0 AND DATE '2024-01-01' + CAST(id % 700 AS INTEGER) < DATE '2024-06-01'""")
+@query(PRELUDE + """SELECT id FROM base_documents WHERE id % 6 <> 0 AND DATE '2024-01-01' + CAST(id % 700 AS INTEGER) < DATE '2024-06-01'""")
 def filter_attribute_date(t: Tables) -> DataFrame:
     return filters.filter_documents(t.documents(), {"review_by_before": "2024-06-01"}).select("id")
 
 
 @query(
-    PRELUDE + """SELECT DISTINCT d.id FROM kb_documents d JOIN kb_mentions m ON m.document_id = d.id
-  JOIN kb_entities e ON e.id = m.entity_id
+    PRELUDE + """SELECT DISTINCT d.id FROM base_documents d JOIN base_mentions m ON m.document_id = d.id
+  JOIN base_entities e ON e.id = m.entity_id
   WHERE m.invalid_at IS NULL AND m.role = 'owner' AND e.canonical = 'supplier#000000003'"""
 )
 def filter_entity(t: Tables) -> DataFrame:
@@ -302,7 +302,7 @@ def filter_entity(t: Tables) -> DataFrame:
 
 
 @query(
-    PRELUDE + """SELECT id, title, doc_type, attributes, version, created_at FROM kb_documents
+    PRELUDE + """SELECT id, title, doc_type, attributes, version, created_at FROM base_documents
   WHERE doc_type = 'regulation' ORDER BY created_at DESC, id DESC LIMIT 15"""
 )
 def query_documents(t: Tables) -> DataFrame:
@@ -310,24 +310,24 @@ def query_documents(t: Tables) -> DataFrame:
 
 
 @query(
-    PRELUDE + """SELECT id, title, doc_type, version, created_at, (SELECT count(*) FROM kb_documents WHERE lang = 'de') AS total
-  FROM kb_documents WHERE lang = 'de' ORDER BY created_at DESC, id DESC LIMIT 15"""
+    PRELUDE + """SELECT id, title, doc_type, version, created_at, (SELECT count(*) FROM base_documents WHERE lang = 'de') AS total
+  FROM base_documents WHERE lang = 'de' ORDER BY created_at DESC, id DESC LIMIT 15"""
 )
 def query_page(t: Tables) -> DataFrame:
     return filters.query_page(t.documents(), {"attributes": {"lang": "de"}}).drop("attributes")
 
 
-@query(PRELUDE + "SELECT count(*) AS total FROM kb_documents WHERE doc_type = 'faq' AND id % 3 = 1")
+@query(PRELUDE + "SELECT count(*) AS total FROM base_documents WHERE doc_type = 'faq' AND id % 3 = 1")
 def count_documents(t: Tables) -> DataFrame:
     return filters.count_documents(t.documents(), {"doc_type": "faq", "attributes": {"status": "draft"}})
 
 
-@query(PRELUDE + "SELECT id FROM kb_documents WHERE extraction_status = 'done' AND extraction_model IS DISTINCT FROM 'model-a'")
+@query(PRELUDE + "SELECT id FROM base_documents WHERE extraction_status = 'done' AND extraction_model IS DISTINCT FROM 'model-a'")
 def reextract_candidates(t: Tables) -> DataFrame:
     return filters.reextract_candidates(t.documents(), status="done", not_model="model-a")
 
 
-@query(PRELUDE + "SELECT id, source_path FROM kb_documents WHERE source_kind = 'url'")
+@query(PRELUDE + "SELECT id, source_path FROM base_documents WHERE source_kind = 'url'")
 def refresh_candidates(t: Tables) -> DataFrame:
     return filters.refresh_candidates(t.documents())
 
@@ -347,7 +347,7 @@ def whitelist(t: Tables) -> DataFrame:
     )
 
 
-@query(PRELUDE + f"SELECT id FROM kb_sessions WHERE active AND last_active_at < {AS_OF} - INTERVAL 60 MINUTE")
+@query(PRELUDE + f"SELECT id FROM base_sessions WHERE active AND last_active_at < {AS_OF} - INTERVAL 60 MINUTE")
 def idle_active_sessions(t: Tables) -> DataFrame:
     return filters.idle(t.sessions(), F.lit(MOMENT).cast("timestamp")).select("id")
 
@@ -356,7 +356,7 @@ def idle_active_sessions(t: Tables) -> DataFrame:
 
 _CHUNKS = rf"""
 , st AS (
-  SELECT id AS doc_id, doc_type, raw_content AS text, string_split(raw_content, chr(10)) AS lines, lang, source FROM kb_documents
+  SELECT id AS doc_id, doc_type, raw_content AS text, string_split(raw_content, chr(10)) AS lines, lang, source FROM base_documents
 ), sections AS (
   SELECT doc_id, doc_type, i, len(lines) AS n,
     (CASE WHEN doc_type = 'regulation' AND i = 1 THEN '# ' WHEN doc_type = 'regulation' THEN '## ' WHEN doc_type = 'faq' THEN '### ' ELSE '' END)
@@ -421,6 +421,6 @@ def chunk_by_type(t: Tables) -> DataFrame:
     return chunks.select("document_id", "chunk_index", F.length("content").alias("chars"), F.md5("content").alias("content"))
 
 
-@query(PRELUDE + "SELECT document_id, chunk_index, content FROM kb_chunks")
+@query(PRELUDE + "SELECT document_id, chunk_index, content FROM base_chunks")
 def chunk_plain_text(t: Tables) -> DataFrame:
     return t.chunks().select("document_id", "chunk_index", "content")
