@@ -56,7 +56,7 @@ def with_block(df: DataFrame, key: str, block_bytes: int = BLOCK_BYTES, text: st
 
 def in_blocks(df: DataFrame, n: int) -> DataFrame:
     """Move every block into the partition of its number."""
-    return df.repartitionById(n, F.col(BLOCK))
+    return df.repartitionById(n, F.col(BLOCK).cast("int"))
 
 
 def running_base(sizes: DataFrame, order: list[str], value: str, out: str) -> DataFrame:

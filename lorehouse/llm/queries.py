@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorehouse.llm import decontamination, sharding
+from lorehouse.llm import decontamination, packing, sharding, tokens
 from lorehouse.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,16 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as token ids in flat files, read back."""
+    return tokens.token_digest(_table(spark, folder, "documents"))
+
+
+def op3_pack(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens."""
+    return packing.pack_documents(_table(spark, folder, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Words of benchmark windows in every document."""
     return decontamination.leak_digest(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
@@ -28,7 +38,7 @@ def op10_shard(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """The operators' queries and the pipeline."""
-    return {q.__name__: q for q in (op9_decontaminate, op10_shard)}
+    return {q.__name__: q for q in (op2_token_files, op3_pack, op9_decontaminate, op10_shard)}
 
 
 def oracle_sql() -> dict[str, str]:
