@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorehouse.llm import decontamination, packing, sharding, tokens
+from lorehouse.llm import decontamination, fingerprints, packing, sharding, tokens
 from lorehouse.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,11 @@ def op3_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(_table(spark, folder, "documents"))
 
 
+def op4_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprints.fingerprint_digest(_table(spark, folder, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Words of benchmark windows in every document."""
     return decontamination.leak_digest(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
@@ -38,7 +43,7 @@ def op10_shard(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """The operators' queries and the pipeline."""
-    return {q.__name__: q for q in (op2_token_files, op3_pack, op9_decontaminate, op10_shard)}
+    return {q.__name__: q for q in (op2_token_files, op3_pack, op4_fingerprint, op9_decontaminate, op10_shard)}
 
 
 def oracle_sql() -> dict[str, str]:
