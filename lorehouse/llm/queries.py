@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorehouse.llm import decontamination, fingerprints, packing, sharding, tokens
+from lorehouse.llm import decontamination, fingerprints, main_text, packing, sharding, tokens, warc
 from lorehouse.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,16 @@ def op4_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.fingerprint_digest(_table(spark, folder, "documents"))
 
 
+def op5_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The article of every page."""
+    return main_text.extract_main_text(_table(spark, folder, "pages"))
+
+
+def op6_warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Metadata and conversion records of all pages, written as WARC files and read back."""
+    return warc.derivative_digest(_table(spark, folder, "pages"))
+
+
 def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Words of benchmark windows in every document."""
     return decontamination.leak_digest(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
@@ -43,7 +53,7 @@ def op10_shard(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """The operators' queries and the pipeline."""
-    return {q.__name__: q for q in (op2_token_files, op3_pack, op4_fingerprint, op9_decontaminate, op10_shard)}
+    return {q.__name__: q for q in (op2_token_files, op3_pack, op4_fingerprint, op5_main_text, op6_warc_derivatives, op9_decontaminate, op10_shard)}
 
 
 def oracle_sql() -> dict[str, str]:
