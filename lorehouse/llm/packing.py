@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorehouse.llm.blocks import BLOCK, bounded_batches, in_blocks, running_base, text_of, with_block
-from lorehouse.llm.tokens import END_ID, VOCABULARY, PieceEncoder, _blocks, encoder
+from lorehouse.llm.tokens import END_ID, VOCABULARY, PieceEncoder, encoder, of_blocks
 from lorehouse.session import cut_lineage
 
 LENGTH = 2048
@@ -124,22 +124,22 @@ class _Packer:
 
     def __init__(self, marks: np.ndarray, length: int) -> None:
         self.marks, self.length = marks, length
-        self.parts: list[bytes] = []
+        self.parts: list[np.ndarray] = []
         self.docs: list[tuple[int | None, int, int]] = []  # doc_id, place of its first id, number of ids
         self.held = 0
         self.sequence = 0
 
-    def add(self, doc_id: int | None, raw: bytes) -> None:
-        self.parts.append(raw)
-        self.docs.append((doc_id, self.held, len(raw) // 4))
-        self.held += len(raw) // 4
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        self.parts.append(ids)
+        self.docs.append((doc_id, self.held, len(ids)))
+        self.held += len(ids)
 
     def full(self) -> bool:
         return self.held >= PLANNED * self.length
 
     def pack(self, last: bool) -> Iterator[tuple]:
         """The pieces of all sequences that are settled."""
-        ids = np.frombuffer(b"".join(self.parts), "<u4")
+        ids = np.concatenate(self.parts)
         starts = np.array([d[1] for d in self.docs])
         ends = starts + np.array([d[2] for d in self.docs])
         places, penalties = cut_places(ids, ends, self.marks)
@@ -156,7 +156,7 @@ class _Packer:
             self.sequence += 1
         done = cuts[-1]
         self.docs = [(d, s - done, n) for d, s, n in self.docs if s + n > done]
-        self.parts, self.held = [ids[done:].tobytes()], self.held - done
+        self.parts, self.held = [ids[done:]], self.held - done
 
 
 _PIECES = {
@@ -176,12 +176,12 @@ def _pack_blocks(vocabulary: str, end_id: int, length: int):
         encode = encoder(vocabulary, end_id)
         if vocabulary not in _MARKS:
             _MARKS[vocabulary] = sentence_ends(encode)
-        for block, lists in _blocks(batches, "doc_id", "text"):
+        for block, parts in of_blocks(batches):
             packer = _Packer(_MARKS[vocabulary], length)
-            for rows in lists:
-                texts = [r[1] for r in rows]
-                for (doc_id, _), raw in zip(rows, encode(texts), strict=True):
-                    packer.add(doc_id, raw)
+            for part in parts:
+                flat, places = encode(part.column("text"))
+                for doc_id, a, b in zip(part.column("doc_id").to_pylist(), places[:-1], places[1:], strict=True):
+                    packer.add(doc_id, flat[a:b])
                     if packer.full():
                         yield pieces(block, list(packer.pack(False)))
             yield pieces(block, list(packer.pack(True)))

@@ -20,11 +20,14 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import public_tokenizers
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,14 +42,33 @@ END_ID = 1
 KEPT_PIECES, KEPT_CHARS = 800_000, 48
 #: Stands between pieces that are encoded together (a picture of a record separator).
 _MARK = "\u241e"
+_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
+
+def _words(piece: str) -> int:
+    """Number of words that the pre-tokenizer makes of a piece."""
+    return 1 if piece.isalpha() else len(_WORD.findall(piece.lower()))
+
+
+def _alike(texts: pa.Array) -> pa.Array:
+    """Texts with the same ids and fewer distinct pieces.
+
+    The vocabulary knows no upper case, and a single stop or comma between a
+    letter or digit and a blank is a word of its own in any case. Only special
+    tokens, which stand in angle and upright bars, are sensitive to case.
+    """
+    if pc.any(pc.match_substring(texts, "<|")).as_py():
+        return texts
+    return pc.replace_substring_regex(pc.ascii_lower(texts), r"([\pL\pN])([.,])(\s|$)", r"\1 \2\3")
 
 
 class PieceEncoder:
     """The ids of whole texts, from the ids of their pieces between blanks.
 
     The pre-tokenizer of the vocabulary drops white space and no token crosses
-    it, so a text's ids are those of its pieces in order. Repeated pieces are
-    encoded once per worker as long as they are remembered.
+    it, so a text's ids are those of its pieces in order. A batch is split and
+    its distinct pieces are numbered by Arrow; pieces not yet known are encoded
+    together, and the ids are gathered by number.
     """
 
     def __init__(self, path: str = VOCABULARY, end_id: int = END_ID) -> None:
@@ -55,44 +77,63 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.end = array("I", [end_id]).tobytes()
         self.known: dict[str, bytes] = {}
-        self.mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        self.mark = self._ids(_MARK)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
+        self.last[[n for token, n in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _encoded(self, pieces: list[str]) -> dict[str, bytes]:
-        """The ids of distinct pieces: encoded as one text with a mark after each, then cut at the marks.
+    def _encoded(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """The ids of distinct pieces: many are encoded as one text, which is cut at the ends of words.
 
-        The marks' ids stand for the mark's bytes and a word's end, so they occur
-        nowhere else unless a piece holds the mark itself; such pieces go alone.
+        Where the words of a piece cannot be counted (``_words``), a mark stands
+        between the pieces instead: its ids mean the mark's bytes and a word's
+        end, so they occur nowhere else unless a piece holds the mark itself.
         """
-        odd = [p for p in pieces if _MARK in p]
-        out = {p: array("I", self.tokenizer.encode(p, add_special_tokens=False).ids).tobytes() for p in odd}
-        plain = [p for p in pieces if _MARK not in p] if odd else pieces
+        odd = [p for p in pieces if _MARK in p or "<|" in p]
+        plain = [p for p in pieces if _MARK not in p and "<|" not in p] if odd else pieces
+        for piece in odd:
+            yield piece, self._ids(piece).tobytes()
         for at in range(0, len(plain), 4096):
             some = plain[at : at + 4096]
-            text = f" {_MARK} ".join([*some, ""])
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            last = len(ids) - len(self.mark) + 1
-            hits = np.flatnonzero(np.logical_and.reduce([ids[k : k + last] == m for k, m in enumerate(self.mark)]))
-            raw, begin, size = ids.tobytes(), 0, 4 * len(self.mark)
-            for piece, end in zip(some, (4 * hits).tolist(), strict=True):
-                out[piece] = raw[begin:end]
-                begin = end + size
-        return out
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids with the end id, one bytes object per text."""
-        pieces = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        new = list(set().union(*pieces) - self.known.keys())
-        now = self._encoded(new)
+            ids = self._ids(" ".join(some))
+            ends = np.flatnonzero(self.last[ids]) + 1
+            words = np.cumsum([_words(p) for p in some])
+            if words[-1] == len(ends):
+                cuts = np.concatenate(([0], ends))[np.concatenate(([0], words))]
+                begins, stops = cuts[:-1], cuts[1:]
+            else:
+                ids = self._ids(f" {_MARK} ".join([*some, ""]))
+                width = len(self.mark)
+                same = [ids[k : len(ids) - width + 1 + k] == m for k, m in enumerate(self.mark)]
+                stops = np.flatnonzero(np.logical_and.reduce(same))
+                begins = np.concatenate(([0], stops[:-1] + width))
+            raw = ids.tobytes()
+            for piece, a, b in zip(some, (4 * begins).tolist(), (4 * stops).tolist(), strict=True):
+                yield piece, raw[a:b]
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids (32 bits, each text with its end id) and the n + 1 places at which the texts begin and end."""
+        lists = pc.ascii_split_whitespace(_alike(texts.fill_null("").cast(pa.large_string())))
+        numbered = lists.flatten().dictionary_encode()
+        pieces = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
         known = self.known
-        known.update(now)
-        out = [b"".join(map(known.__getitem__, p)) + self.end for p in pieces]
         if len(known) > KEPT_PIECES:
-            self.known = {}
-        else:
-            for p in now:
-                if len(p) > KEPT_CHARS:
-                    del known[p]
-        return out
+            known.clear()
+        now = dict(self._encoded([p for p in pieces if p not in known]))
+        raw = [known[p] if p in known else now[p] for p in pieces]
+        known.update(x for x in now.items() if len(x[0]) <= KEPT_CHARS)
+        sizes = np.array([*map(len, raw), 4], np.int64) // 4
+        flat = np.frombuffer(b"".join(raw) + self.end, "<u4")
+        firsts = np.cumsum(sizes) - sizes
+        places = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        codes = np.insert(numbered.indices.to_numpy(zero_copy_only=False), places[1:], len(pieces))
+        lengths = sizes[codes]
+        stops = np.cumsum(lengths)
+        ids = flat[np.repeat(firsts[codes] - stops + lengths, lengths) + np.arange(stops[-1] if len(stops) else 0)]
+        return ids, np.concatenate(([0], stops[codes == len(pieces)]))
 
     def width(self) -> int:
         """Bytes of an id in the files."""
@@ -127,13 +168,18 @@ def _integers(folder: str, name: str, kind: str) -> np.ndarray:
     return np.memmap(path, kind, "r") if os.path.getsize(path) else np.empty(0, kind)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[int, Iterator[list[tuple]]]]:
-    """(block, its rows in lists of a batch) of batches sorted by block."""
-    from itertools import groupby
+def of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
+    """(block, its batches) of batches sorted by block."""
+
+    def parts() -> Iterator[tuple[int, pa.RecordBatch]]:
+        for batch in batches:
+            blocks = batch.column(BLOCK).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if b > a:
+                    yield int(blocks[a]), batch.slice(a, b - a)
 
-    lists = (list(rows_of(iter([b]), BLOCK, *names)) for b in batches)
-    parts = ((k, [r[1:] for r in g]) for rows in lists for k, g in groupby(rows, key=lambda r: r[0]))
-    for key, group in groupby(parts, key=lambda p: p[0]):
+    for key, group in groupby(parts(), key=lambda p: p[0]):
         yield key, (p[1] for p in group)
 
 
@@ -141,15 +187,16 @@ def _write_ids(folder: str, vocabulary: str, end_id: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary, end_id)
         kind = f"<u{encode.width()}"
-        for block, lists in _blocks(batches, "doc_id", "text"):
-            docs, lengths = [], []
-
-            def ids(out: pa.NativeFile, lists=lists, docs=docs, lengths=lengths) -> None:
-                for rows in lists:
-                    docs.extend(r[0] for r in rows)
-                    for raw in encode([r[1] for r in rows]):
-                        lengths.append(len(raw) // 4)
-                        out.write(np.frombuffer(raw, "<u4").astype(kind).tobytes())
+        for block, parts in of_blocks(batches):
+            docs: list[int | None] = []
+            lengths: list[int] = []
+
+            def ids(out: pa.NativeFile, parts=parts, docs=docs, lengths=lengths) -> None:
+                for part in parts:
+                    docs.extend(part.column("doc_id").to_pylist())
+                    flat, places = encode(part.column("text"))
+                    lengths.extend(np.diff(places).tolist())
+                    out.write(flat.astype(kind).tobytes())
 
             _placed(folder, f"{block}.ids", ids)
             index = np.array([[d or 0 for d in docs], lengths], "<i8")
