@@ -15,7 +15,6 @@ direct transitions. All cuts are judged together, not greedily.
 from __future__ import annotations
 
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,7 @@ from lorehouse.llm.tokens import END_ID, VOCABULARY, PieceEncoder, encoder, of_b
 from lorehouse.session import cut_lineage
 
 LENGTH = 2048
-SENTENCE, TRUNCATION, CHARGE, GRAIN = 6.0, 24.0, 8.0, 16
+SENTENCE, TRUNCATION, CHARGE, GRAIN = 6.0, 24.0, 8.0, 32
 #: Sequences planned together, and the last of them that are planned again with what follows.
 PLANNED, OPEN = 256, 4
 _ENDS = set(".!?…。！？")
@@ -47,8 +46,7 @@ def sentence_ends(encode: PieceEncoder) -> np.ndarray:
 def cut_places(ids: np.ndarray, ends: np.ndarray, marks: np.ndarray, grain: int = GRAIN) -> tuple[np.ndarray, np.ndarray]:
     """Ascending cut places, from 0 to the end, and their penalties.
 
-    A sentence end less than ``grain`` ids after the last multiple of ``grain``
-    that has one is left out; stretches of over four grains get cuts of the dear kind.
+    Of the sentence ends between two multiples of ``grain`` ids the first counts; stretches of over two grains get cuts of the dear kind.
     """
     n = len(ids)
     kind = np.full(n + 1, np.inf)
@@ -58,7 +56,7 @@ def cut_places(ids: np.ndarray, ends: np.ndarray, marks: np.ndarray, grain: int
     kind[ends] = 0.0
     kind[0], kind[n] = 0.0, min(kind[n], TRUNCATION)
     known = np.flatnonzero(np.isfinite(kind))
-    wide = np.flatnonzero(np.diff(known) > 4 * grain)
+    wide = np.flatnonzero(np.diff(known) > 2 * grain)
     for a, b in zip(known[wide].tolist(), known[wide + 1].tolist(), strict=True):
         kind[a + grain : b : grain] = TRUNCATION
     places = np.flatnonzero(np.isfinite(kind))
@@ -75,25 +73,29 @@ def best_cuts(places: np.ndarray, penalties: np.ndarray, length: int = LENGTH) -
         for j in np.flatnonzero((at < n) & (places[np.minimum(at, n - 1)] == places - size)).tolist():
             direct.setdefault(j, []).append(int(at[j]))
         size *= 2
-    c, p = places.tolist(), penalties.tolist()
+    c, p = places.tolist(), (penalties + CHARGE).tolist()
     cost, came = [0.0] * n, [0] * n
-    queue: deque[tuple[float, int, int]] = deque([(0.0 + c[0], c[0], 0)])
+    values, holders = [float(c[0])], [0]  # the queue: ascending values of cost + place, from ``head`` on
+    head = 0
     for j in range(1, n):
         here = c[j]
-        while queue[0][1] < here - length:
-            queue.popleft()
-        least, _, i = queue[0]
-        best = least + length - here
+        oldest = here - length
+        while c[holders[head]] < oldest:
+            head += 1
+        i = holders[head]
+        best = values[head] + length - here
         if j in direct:
             for k in direct[j]:
                 if cost[k] < best:
                     best, i = cost[k], k
-        best += p[j] + CHARGE
-        cost[j], came[j] = best, i
-        value = best + here
-        while queue and queue[-1][0] >= value:
-            queue.pop()
-        queue.append((value, here, j))
+        cost[j] = best = best + p[j]
+        came[j] = i
+        best += here
+        while len(values) > head and values[-1] >= best:
+            values.pop()
+            holders.pop()
+        values.append(best)
+        holders.append(j)
     cuts, j = [c[-1]], n - 1
     while j:
         j = came[j]

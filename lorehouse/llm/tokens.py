@@ -39,7 +39,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
 #: Pieces between blanks whose ids a worker keeps, and their longest length.
-KEPT_PIECES, KEPT_CHARS = 800_000, 48
+KEPT_PIECES, KEPT_CHARS = 1_200_000, 48
 #: Stands between pieces that are encoded together (a picture of a record separator).
 _MARK = "\u241e"
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -86,18 +86,18 @@ class PieceEncoder:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _encoded(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
-        """The ids of distinct pieces: many are encoded as one text, which is cut at the ends of words.
+        """The ids of distinct pieces, in their order: many are encoded as one text, which is cut at the ends of words.
 
         Where the words of a piece cannot be counted (``_words``), a mark stands
         between the pieces instead: its ids mean the mark's bytes and a word's
-        end, so they occur nowhere else unless a piece holds the mark itself.
+        end, so they occur nowhere else unless a piece holds the mark itself;
+        pieces among which is such a one, or a special token, are encoded singly.
         """
-        odd = [p for p in pieces if _MARK in p or "<|" in p]
-        plain = [p for p in pieces if _MARK not in p and "<|" not in p] if odd else pieces
-        for piece in odd:
-            yield piece, self._ids(piece).tobytes()
-        for at in range(0, len(plain), 4096):
-            some = plain[at : at + 4096]
+        for at in range(0, len(pieces), 4096):
+            some = pieces[at : at + 4096]
+            if any(_MARK in p or "<|" in p for p in some):
+                yield from ((p, self._ids(p).tobytes()) for p in some)
+                continue
             ids = self._ids(" ".join(some))
             ends = np.flatnonzero(self.last[ids]) + 1
             words = np.cumsum([_words(p) for p in some])
@@ -122,17 +122,23 @@ class PieceEncoder:
         known = self.known
         if len(known) > KEPT_PIECES:
             known.clear()
-        now = dict(self._encoded([p for p in pieces if p not in known]))
-        raw = [known[p] if p in known else now[p] for p in pieces]
-        known.update(x for x in now.items() if len(x[0]) <= KEPT_CHARS)
-        sizes = np.array([*map(len, raw), 4], np.int64) // 4
-        flat = np.frombuffer(b"".join(raw) + self.end, "<u4")
-        firsts = np.cumsum(sizes) - sizes
+        raw = list(map(known.get, pieces))
+        new = [k for k, ids in enumerate(raw) if ids is None]
+        for k, (piece, ids) in zip(new, self._encoded([pieces[k] for k in new]), strict=True):
+            raw[k] = ids
+            if len(piece) <= KEPT_CHARS:
+                known[piece] = ids
+        raw.append(self.end)
+        sizes = np.fromiter(map(len, raw), np.int32, len(raw)) // 4
+        flat = np.frombuffer(b"".join(raw), "<u4")
+        firsts = (np.cumsum(sizes) - sizes).astype(np.int32)
         places = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         codes = np.insert(numbered.indices.to_numpy(zero_copy_only=False), places[1:], len(pieces))
         lengths = sizes[codes]
         stops = np.cumsum(lengths)
-        ids = flat[np.repeat(firsts[codes] - stops + lengths, lengths) + np.arange(stops[-1] if len(stops) else 0)]
+        total = int(stops[-1]) if len(stops) else 0
+        shift = (firsts[codes] - (stops - lengths)).astype(np.int32)  # batches are far below 2^31 ids
+        ids = flat[np.repeat(shift, lengths) + np.arange(total, dtype=np.int32)]
         return ids, np.concatenate(([0], stops[codes == len(pieces)]))
 
     def width(self) -> int:
