@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorehouse.llm import decontamination, fingerprints, main_text, near_duplicates, packing, sharding, tokens, warc
+from lorehouse.llm import decontamination, fingerprints, main_text, near_duplicates, packing, sharding, suffix_dedup, tokens, warc
 from lorehouse.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,11 @@ def op6_warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
     return warc.derivative_digest(_table(spark, folder, "pages"))
 
 
+def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without the passages of 50 bytes that an earlier one has."""
+    return suffix_dedup.repeat_digest(_table(spark, folder, "documents"))
+
+
 def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Classes of near-duplicate documents."""
     return near_duplicates.class_digest(_table(spark, folder, "documents"))
@@ -58,7 +63,7 @@ def op10_shard(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """The operators' queries and the pipeline."""
-    return {q.__name__: q for q in (op2_token_files, op3_pack, op4_fingerprint, op5_main_text, op6_warc_derivatives, op8_near_duplicates, op9_decontaminate, op10_shard)}
+    return {q.__name__: q for q in (op2_token_files, op3_pack, op4_fingerprint, op5_main_text, op6_warc_derivatives, op7_suffix_dedup, op8_near_duplicates, op9_decontaminate, op10_shard)}
 
 
 def oracle_sql() -> dict[str, str]:
