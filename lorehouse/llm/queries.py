@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorehouse.llm import decontamination, fingerprints, main_text, near_duplicates, packing, sharding, suffix_dedup, tokens, warc
+from lorehouse.llm import decontamination, fingerprints, main_text, near_duplicates, packing, sharding, suffix_dedup, tokens, toxicity, warc
 from lorehouse.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of all documents, learned from the labels that may be learned from."""
+    return toxicity.toxicity_digest(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """All documents as token ids in flat files, read back."""
     return tokens.token_digest(_table(spark, folder, "documents"))
@@ -61,11 +66,31 @@ def op10_shard(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_digest(_table(spark, folder, "documents"), 40)
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
+
+
 def queries() -> dict[str, Query]:
     """The operators' queries and the pipeline."""
-    return {q.__name__: q for q in (op2_token_files, op3_pack, op4_fingerprint, op5_main_text, op6_warc_derivatives, op7_suffix_dedup, op8_near_duplicates, op9_decontaminate, op10_shard)}
+    found = (
+        op1_toxicity,
+        op2_token_files,
+        op3_pack,
+        op4_fingerprint,
+        op5_main_text,
+        op6_warc_derivatives,
+        op7_suffix_dedup,
+        op8_near_duplicates,
+        op9_decontaminate,
+        op10_shard,
+        pipeline,
+    )
+    return {q.__name__: q for q in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL of the queries that have one."""
+    """SQL of the queries that have one: tokens, hashes and kernels have none, so tests/llm holds brute-force versions."""
     return {}

@@ -372,7 +372,7 @@ def _removed(folder: str, block: int) -> dict[int, list[tuple[int, int]]]:
 _MADE = T.StructType.fromDDL("kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start:bigint,end:bigint>>")
 
 
-def _cut(folder: str):
+def _cut(folder: str, as_text: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, parts in of_blocks(batches):
             copies = set(_integers(_load(folder, f"{block}.copies"), "<i8").tolist())
@@ -387,14 +387,16 @@ def _cut(folder: str):
                     gone.append(len(raw) - len(kept[-1]))
                     spans.append([{"start": a, "end": b} for a, b in runs])
                 span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                columns = [pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, gone, [len(s) for s in spans])), pa.array(spans, span)]
+                if as_text:
+                    kept = [k.decode("utf-8", "ignore") for k in kept]
+                columns = [pa.array(kept, pa.string() if as_text else pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, gone, [len(s) for s in spans])), pa.array(spans, span)]
                 yield pa.record_batch([part.column("_row"), *columns], names=["_row", *_MADE.names])
 
     return cut
 
 
-def remove_repeats(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents with ``kept`` (bytes that remain), ``n_bytes``, ``n_removed``, ``n_spans`` and ``spans``.
+def remove_repeats(documents: DataFrame, block_bytes: int = BLOCK_BYTES, as_text: bool = False) -> DataFrame:
+    """The documents with ``kept`` (bytes that remain, or the text of the whole characters among them), ``n_bytes``, ``n_removed``, ``n_spans`` and ``spans``.
 
     Spans are the maximal removed runs as byte offsets of the UTF-8 text; windows
     are judged on the input. Texts of fewer than 50 bytes, empty and null ones
@@ -437,8 +439,9 @@ def remove_repeats(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> Data
     joined = _gather(folder, "late", lambda runs: zstandard.compress(np.concatenate([_integers(r, "<u8") for r in runs]).tobytes(), 1))
     _run(_of_blocks(late, n).mapInArrow(joined, f"{BLOCK} bigint"))
 
-    schema = T.StructType([T.StructField("_row", documents.select(F.struct("*")).schema[0].dataType), *_MADE.fields])
-    return blocks.mapInArrow(_cut(folder), schema).select("_row.*", *_MADE.names)
+    made = [T.StructField("kept", T.StringType()), *_MADE.fields[1:]] if as_text else _MADE.fields
+    schema = T.StructType([T.StructField("_row", documents.select(F.struct("*")).schema[0].dataType), *made])
+    return blocks.mapInArrow(_cut(folder, as_text), schema).select("_row.*", *_MADE.names)
 
 
 def _of_parts(runs: DataFrame, n: int) -> DataFrame:
@@ -471,9 +474,8 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     nothing remains is empty.
     """
     own = documents.columns
-    cut = remove_repeats(documents)
-    text = F.when(F.col("n_removed") > 0, F.decode(F.col("kept"), F.lit("UTF-8"))).otherwise(F.col("text"))
-    cut = cut.withColumn("text", text)
+    cut = remove_repeats(documents, as_text=True)
+    cut = cut.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
     if "n_chars" in own:
         cut = cut.withColumn("n_chars", F.char_length(F.coalesce("text", F.lit(""))).cast(documents.schema["n_chars"].dataType))
     return cut.select(*own)

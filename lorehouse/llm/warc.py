@@ -183,13 +183,17 @@ def write_warc(records: DataFrame, folder: str | None = None, file_bytes: int =
 
 def _members(data: bytes) -> Iterator[bytes]:
     """The gzip members of a file, one record each; a plain file is one member."""
-    while data:
-        if data[:2] != b"\x1f\x8b":
-            yield data
+    view, at = memoryview(data), 0
+    while at < len(data):
+        if bytes(view[at : at + 2]) != b"\x1f\x8b":
+            yield data[at:]
             return
-        inflate = zlib.decompressobj(31)
-        yield inflate.decompress(data) + inflate.flush()
-        data = inflate.unused_data
+        inflate, out = zlib.decompressobj(31), []
+        while at < len(data) and not inflate.eof:
+            piece = view[at : at + 16384]
+            out.append(inflate.decompress(piece))
+            at += len(piece) - len(inflate.unused_data)
+        yield b"".join(out)
 
 
 def _parsed(data: bytes) -> Iterator[tuple]:
