@@ -26,7 +26,9 @@ from pyspark.sql.window import Window
 from lorehouse.llm.blocks import BLOCK, in_blocks, text_of, with_block
 from lorehouse.session import once
 
-BINS = 128
+BINS = 128  # a power of two
+#: One row of 24 bytes per block is broadcast up to this number of blocks.
+BROADCAST_BLOCKS = 100_000
 _WORDS = r"[^\p{L}\p{N}]+"
 #: A cell as one number: 7 bits of bin, 28 of ln a (in 2^-21), 28 of the kept value.
 _BIN, _LN, _LOW = 56, 28, (1 << 28) - 1
@@ -35,7 +37,8 @@ _BIN, _LN, _LOW = 56, 28, (1 << 28) - 1
 def word_hashes(text: Column) -> Column:
     """Sorted hashes of a text's words; a text without words is one word itself."""
     words = F.array_remove(F.split(F.lower(text), _WORDS), "")
-    return F.sort_array(F.transform(F.when(F.size(words) > 0, words).otherwise(F.array(text)), lambda w: F.xxhash64(w)))
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    return F.sort_array(F.when(text.rlike(r"[\p{L}\p{N}]"), hashes).otherwise(F.array(F.xxhash64(text))))
 
 
 def run_ends(hashes: Column) -> Column:
@@ -48,31 +51,54 @@ def _uniform(bits: Column, shift: int) -> Column:
     return (F.shiftright(bits, shift).bitwiseAND(F.lit((1 << 20) - 1)) + 0.5) / float(1 << 20)
 
 
-def _cell(word: Column, number: Column, weight: Column) -> Column:
-    place = F.xxhash64(word, number)
-    one, two = F.xxhash64(place, F.lit(1)), F.xxhash64(place, F.lit(2))
-    r = -F.ln(_uniform(one, 0) * _uniform(one, 20))
-    ln_c = F.ln(-F.ln(_uniform(one, 40) * _uniform(two, 0)))
-    b = _uniform(two, 20)
-    t = F.floor(F.ln(weight) / r + b)
-    ln_a = ln_c - r * (t - b) - r
-    kept = F.xxhash64(place, t).bitwiseAND(F.lit(_LOW))
-    level = ((ln_a + 64.0) * float(1 << 21)).cast("bigint")
-    return F.shiftleft(F.pmod(place, F.lit(BINS)), _BIN) + F.shiftleft(level, _LN) + kept
-
-
 def cells(hashes: Column, ends: Column) -> Column:
-    """Sorted draws of all unit cells of all words."""
+    """Sorted draws of all unit cells of all words.
 
-    def of_word(end: Column, i: Column) -> Column:
+    One step per intermediate value: expressions in a lambda are not shared, so
+    each value is a field before it is used twice.
+    """
+
+    def counted(end: Column, i: Column) -> Column:
         count = end - F.coalesce(F.when(i > 0, F.get(ends, i - 1)), F.lit(0))
-        weight = F.ln(count.cast("double")) + 1.0
+        return F.struct(F.get(hashes, end - 1).alias("word"), (F.ln(count.cast("double")) + 1.0).alias("weight"))
+
+    def of_word(x: Column) -> Column:
         return F.transform(
-            F.sequence(F.lit(1), F.ceil(weight).cast("int")),
-            lambda j: _cell(F.get(hashes, end - 1), j, F.least(F.lit(1.0), weight - j + 1.0)),
+            F.sequence(F.lit(1), F.ceil(x["weight"]).cast("int")),
+            lambda j: F.struct(F.xxhash64(x["word"], j).alias("p"), F.least(F.lit(1.0), x["weight"] - j + 1.0).alias("w")),
         )
 
-    return F.sort_array(F.flatten(F.transform(ends, of_word)))
+    made = F.flatten(F.transform(F.transform(ends, counted), of_word))
+    made = F.transform(
+        made,
+        lambda x: F.struct(
+            x["p"].alias("p"), F.ln(x["w"]).alias("w"), F.xxhash64(x["p"], F.lit(1)).alias("one"), F.xxhash64(x["p"], F.lit(2)).alias("two")
+        ),
+    )
+    made = F.transform(
+        made,
+        lambda x: F.struct(
+            x["p"].alias("p"),
+            x["w"].alias("w"),
+            (-F.ln(_uniform(x["one"], 0) * _uniform(x["one"], 20))).alias("r"),
+            F.ln(-F.ln(_uniform(x["one"], 40) * _uniform(x["two"], 0))).alias("ln_c"),
+            _uniform(x["two"], 20).alias("b"),
+        ),
+    )
+    made = F.transform(
+        made,
+        lambda x: F.struct(
+            x["p"].alias("p"), x["r"].alias("r"), x["ln_c"].alias("ln_c"), x["b"].alias("b"), F.floor(x["w"] / x["r"] + x["b"]).alias("t")
+        ),
+    )
+
+    def packed(x: Column) -> Column:
+        ln_a = x["ln_c"] - x["r"] * (x["t"] - x["b"] + 1.0)
+        level = ((ln_a + 64.0) * float(1 << 21)).cast("bigint")
+        kept = F.xxhash64(x["p"], x["t"]).bitwiseAND(F.lit(_LOW))
+        return F.shiftleft(x["p"].bitwiseAND(F.lit(BINS - 1)), _BIN) + F.shiftleft(level, _LN) + kept
+
+    return F.sort_array(F.transform(made, packed))
 
 
 def least_of_bins(sorted_cells: Column) -> Column:
@@ -127,6 +153,8 @@ def with_next(documents: DataFrame) -> DataFrame:
     firsts = keyed.groupBy(BLOCK).agg(F.min("_key").alias("_key"))
     last = F.last(BLOCK).over(everything.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     firsts = firsts.withColumn("_to", F.coalesce(F.lag(BLOCK).over(everything), last))
+    if n <= BROADCAST_BLOCKS:  # else the planner decides by size
+        firsts = F.broadcast(firsts)
     ghosts = (
         keyed.join(firsts, [BLOCK, "_key"])
         .groupBy("_to", "doc_id")
