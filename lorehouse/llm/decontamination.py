@@ -34,8 +34,13 @@ _FOUND = {
     "item_ids": pa.list_(pa.string()),
 }
 
-_RUNS = "array<struct<start:bigint,end:bigint>>"
-_ADDED = T.StructType.fromDDL(f"_n_words bigint, _n_hit {_RUNS}, _hits {_RUNS}, _item_ids array<string>").fields
+_RUNS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+_ADDED = [
+    T.StructField("_n_words", T.LongType()),
+    T.StructField("_n_hit", _RUNS),
+    T.StructField("_hits", _RUNS),
+    T.StructField("_item_ids", T.ArrayType(T.StringType())),
+]
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -369,7 +369,14 @@ def _removed(folder: str, block: int) -> dict[int, list[tuple[int, int]]]:
     return out
 
 
-_MADE = T.StructType.fromDDL("kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start:bigint,end:bigint>>")
+_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+_MADE = T.StructType(
+    [
+        T.StructField("kept", T.BinaryType()),
+        *(T.StructField(name, T.LongType()) for name in ("n_bytes", "n_removed", "n_spans")),
+        T.StructField("spans", _SPANS),
+    ]
+)
 
 
 def _cut(folder: str, as_text: bool):

@@ -33,7 +33,7 @@ SAMPLE = 1000
 #: Characters of a sampled text that may come to the driver; longer labelled texts are not sampled.
 SAMPLE_CHARS = 100_000
 ORDER, DECAY = 3, 0.6
-LANDMARKS, CLEAN = 64, 32
+LANDMARKS, CLEAN = 80, 24
 BEGIN = "^"
 #: A kernel value counts if the word has this share of the landmark's letters, each once.
 LETTERS = 0.6
@@ -303,7 +303,7 @@ def fit(texts: list[str], labels: list[int], share: float | None = None, rounds:
         weights = root @ w
         score = np.bincount(row, weights[mark] * value, len(words)) + bias
         least = PLAUSIBLE
-    facts = _facts(owner, score[word], len(docs), bias)
+    facts = _facts(owner, score[word], len(docs), bias) if w.any() else np.zeros((len(docs), len(HELD)))  # nothing learned
     return Model(landmarks, norms, root @ w, bias, _calibrated(facts, y, float(y.mean()) if share is None and len(y) else share or 0.0))
 
 
@@ -338,6 +338,8 @@ def _calibrated(facts: np.ndarray, y: np.ndarray, share: float, steps: int = 100
     def loss(w: np.ndarray) -> float:
         return float((weight * np.logaddexp(0, -np.where(y, 1, -1) * (x @ w))).sum() + (hold * (w - aim) ** 2).sum())
 
+    if not facts.any(0).any() or not y.any() or y.all():
+        return np.array([0.0, 0.0, _logit(share)])
     w = aim.copy()
     now = loss(w)
     for _ in range(steps):
@@ -351,9 +353,17 @@ def _calibrated(facts: np.ndarray, y: np.ndarray, share: float, steps: int = 100
         last, now = now, loss(w)
         if last - now < 1e-9:
             break
+    if (w[:-1] < 0).any():  # more evidence never speaks for the clean class
+        kept = facts * (w[:-1] > 0)
+        return _calibrated(kept, y, share, steps) * [*(w[:-1] > 0), 1.0]
     return w
 
 
+def _logit(share: float) -> float:
+    share = min(max(share, 1e-3), 0.999)
+    return math.log(share / (1 - share))
+
+
 class Scorer:
     """Scores batches of texts; remembers what words add."""
 
