@@ -14,7 +14,6 @@ EXTRACTION_STATUSES = ("pending", "done", "failed", "skipped")
 TERMINAL_STATUSES = ("done", "failed", "skipped")
 REGULATION_STATUSES = ("active", "draft", "deprecated")
 SOURCE_KINDS = ("file", "url")
-LINK_KINDS = ("reference", "supersedes", "attachment")
 MESSAGE_ROLES = ("user", "assistant")
 CONFIDENCE_MIN = 0.6
 

@@ -103,12 +103,6 @@ def embed(
     return rows.withColumn(out, vector)
 
 
-def mean_pool(tokens: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Mean of the unmasked token vectors of each text (for custom models)."""
-    weights = mask[:, :, None].astype(np.float32)
-    return (tokens * weights).sum(axis=1) / np.clip(weights.sum(axis=1), 1e-9, None)
-
-
 def truncate_and_renormalize(vector: Column, dim: int) -> Column:
     """Leading ``dim`` components scaled to length one; a zero vector stays zero."""
     head = F.slice(vector, 1, dim)

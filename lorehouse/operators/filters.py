@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import date
 from functools import reduce
 from typing import Any
 
@@ -21,11 +22,18 @@ def active(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("invalid_at").isNull())
 
 
-def _bound(key: str, column: Column, value: Any) -> Column | None:
-    day = jsonb.parse_iso_date(value)
-    if day is None:
-        return None
-    return column < F.lit(day) if key.endswith("_before") else column > F.lit(day)
+def _day(value: Any) -> Column:
+    """A filter argument as a date column; NULL when it does not start like one."""
+    if isinstance(value, date):
+        return F.lit(value).cast("date")
+    text = F.lit(value if isinstance(value, str) else None).cast("string")
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), text.try_cast("date"))
+
+
+def _bound(key: str, column: Column, value: Any) -> Column:
+    """The comparison; a NULL bound drops it."""
+    day = _day(value)
+    return day.isNull() | F.coalesce(column < day if key.endswith("_before") else column > day, F.lit(False))
 
 
 def _condition(key: str, value: Any) -> Column | None:
@@ -149,9 +157,3 @@ def idle(sessions: DataFrame, as_of: Column, minutes: int = fixed.IDLE_MINUTES)
     """Active sessions whose last activity is more than ``minutes`` before ``as_of``."""
     limit = as_of - F.make_dt_interval(mins=F.lit(minutes))
     return sessions.filter(F.col("active") & (F.col("last_active_at") < limit))
-
-
-def newest_per(rows: DataFrame, key: str, order: Column, limit: int) -> DataFrame:
-    """Newest ``limit`` rows of each key."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return rows.withColumn("place", place).filter(F.col("place") <= limit).drop("place")

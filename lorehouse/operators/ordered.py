@@ -9,8 +9,6 @@ to bucket and is joined back.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,13 +26,6 @@ def hour_bucket(column: Column) -> Column:
     return F.date_trunc("hour", column)
 
 
-def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
-    test = F.lit(True)
-    for name in names:
-        test = test & left[name].eqNullSafe(right[name])
-    return test
-
-
 def _carry_back(rows: DataFrame, carried: DataFrame, names: list[str], take: list[str]) -> DataFrame:
     keyed = carried.select(*[F.col(n).alias(f"_k_{n}") for n in names], *take)
     test = F.lit(True)

@@ -1 +1 @@
-"""Knowledge-base views of the given tables, and the registered queries with their SQL."""
+"""Views of the given tables, and the registered queries with their SQL."""

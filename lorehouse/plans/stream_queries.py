@@ -60,14 +60,18 @@ def toggle_sessions(t: Tables) -> DataFrame:
 
 
 @query(
-    PRELUDE + f", {_TOGGLED} SELECT * FROM (" + _SESSIONS.format("") + ") WHERE ending <> 'open'"
+    PRELUDE + f""", {_TOGGLED} SELECT user_id, opened_at, last_active_at, texts, documents, toggled AS closed_at,
+  CASE WHEN toggled IS NOT NULL THEN 'toggle' ELSE 'idle' END AS ending,
+  CASE WHEN texts > 0 THEN 'saved' WHEN documents > 0 THEN 'documents' ELSE 'empty' END AS outcome
+  FROM toggled WHERE toggled IS NOT NULL OR contact < TIMESTAMP '9999-01-01'
+    OR epoch_ms(last_active_at) + 86400001 < epoch_ms((SELECT max(ts) FROM events)) - 600000"""
 )
 def toggle_sessions_stream(t: Tables) -> DataFrame:
-    """Sessions closed by a contact; those only timed out at the end have no closing time."""
+    """Closed sessions. When an idle one was noticed depends on the micro-batches, so only toggles give a closing time."""
     stream = R.toggle_sessions(t.session_events(t.stream("events")), DAY)
     path = fresh_path(t.spark, "toggle")
     R.run_available(stream, path)
-    return R.read_results(stream, path).filter("closed_at IS NOT NULL")
+    return R.read_results(stream, path).withColumn("closed_at", F.when(F.col("ending") == "toggle", F.col("closed_at")))
 
 
 @query(
@@ -140,11 +144,11 @@ def month_spend_stream(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT row_number() OVER (ORDER BY source_path) AS id, source_path, sha256(text) AS content_hash, 1 AS version, 'pending' AS extraction_status
+    """SELECT source_path, sha256(text) AS content_hash, 1 AS version, 'pending' AS extraction_status
   FROM (SELECT text, source || '/' || doc_id AS source_path FROM documents)"""
 )
 def ingest_stream(t: Tables) -> DataFrame:
-    """Documents arriving as a stream; a second run over the same rows changes nothing."""
+    """Documents arriving as a stream; ids depend on the order of arrival and are left out."""
     arrivals = t.stream("documents").select(
         F.concat_ws("/", "source", "doc_id").alias("source_path"),
         F.concat(F.lit("Doc "), "doc_id").alias("title"),
@@ -152,10 +156,8 @@ def ingest_stream(t: Tables) -> DataFrame:
     )
     path = fresh_path(t.spark, "ingest")
     I.ingest_documents(arrivals, path, datetime(2024, 1, 20, 12))
-    after = I.state(t.spark, path, "documents", 0, I.DOCUMENTS)
-    return after.filter(F.col("content_hash") == content_hash(F.col("raw_content"))).select(
-        "id", "source_path", "content_hash", "version", "extraction_status"
-    )
+    after = I.last_state(t.spark, path, "documents", I.DOCUMENTS)
+    return after.select("source_path", content_hash(F.col("raw_content")).alias("content_hash"), "version", "extraction_status")
 
 
 @query(
@@ -169,4 +171,4 @@ def fact_stream(t: Tables) -> DataFrame:
     )
     path = fresh_path(t.spark, "facts")
     I.ingest_facts(arrivals, path)
-    return I.state(t.spark, path, "facts", 0, I.FACTS).select("id", "topic", "valid_from", "invalid_at")
+    return I.last_state(t.spark, path, "facts", I.FACTS).select("id", "topic", "valid_from", "invalid_at")

@@ -1,4 +1,4 @@
-"""Knowledge-base tables derived from the given Parquet tables.
+"""Views of the given Parquet tables.
 
 ``Tables`` builds them with Spark; ``PRELUDE`` defines the same tables in SQL
 for the check. Only the mapping of inputs is shared, never an operator.
@@ -18,6 +18,8 @@ from lorehouse.session import spread
 TYPES = ("generic", "regulation", "instruction", "faq", "meeting_notes")
 CLAIMED = (*TYPES, "memo")
 AS_OF = "2024-01-20 12:00:00"
+#: Files that a micro-batch of a stream takes.
+TRIGGER_FILES = 8
 
 
 def _json(*parts: str | Column) -> Column:
@@ -42,11 +44,15 @@ class Tables:
         return spread(table) if name in ("documents", "pages") else table
 
     def stream(self, name: str) -> DataFrame:
+        """A table as a stream of its files, ``TRIGGER_FILES`` per micro-batch.
+
+        The glob matches the table itself, be it one file or a folder of part files.
+        """
         schema = self.spark.read.parquet(f"{self.folder}/{name}.parquet").schema
         rows = (
             self.spark.readStream.schema(schema)
-            .option("pathGlobFilter", f"{name}.parquet")
-            .parquet(self.folder)
+            .option("maxFilesPerTrigger", TRIGGER_FILES)
+            .parquet(f"{self.folder}/{name}[.]parquet")
         )
         plain = [f.name for f in schema if isinstance(f.dataType, T.TimestampNTZType)]
         return rows.withColumns({c: F.col(c).cast("timestamp") for c in plain}) if plain else rows

@@ -6,15 +6,6 @@ from pyspark.sql import types as T
 
 from lorehouse import fixed_values as fixed
 
-LOADED_DOCUMENT = T.StructType(
-    [
-        T.StructField("source_path", T.StringType()),
-        T.StructField("title", T.StringType()),
-        T.StructField("text", T.StringType()),
-        T.StructField("source_kind", T.StringType()),
-    ]
-)
-
 MANIFEST_ENTRY = T.StructType(
     [
         T.StructField("file", T.StringType()),
@@ -95,15 +86,3 @@ MEETING_ATTRIBUTES = T.StructType(
         T.StructField("action_items", T.ArrayType(T.StringType())),
     ]
 )
-
-
-def attribute_type(doc_type: str) -> T.StructType:
-    """Attribute ``StructType`` of a document type; unknown types are generic."""
-    fields = DOC_TYPES.get(doc_type, DOC_TYPES[fixed.GENERIC_TYPE])
-    spark_type = {TEXT: T.StringType(), DATE: T.DateType(), TEXTS: T.ArrayType(T.StringType())}
-    return T.StructType(
-        [
-            T.StructField(name, T.StringType() if isinstance(kind, tuple) else spark_type[kind])
-            for name, kind in fields.items()
-        ]
-    )

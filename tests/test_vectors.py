@@ -43,12 +43,10 @@ def test_custom_model_is_called_in_batches(spark):
     assert got == [[1.0, 1.0], [2.0, 1.0], [3.0, 1.0]]
 
 
-def test_truncate_and_pool(spark):
+def test_truncate(spark):
     rows = spark.createDataFrame([([3.0, 4.0, 12.0],), ([0.0, 0.0, 5.0],)], "v array<float>")
     got = [r.v for r in rows.select(E.truncate_and_renormalize(F.col("v"), 2).alias("v")).collect()]
     assert np.allclose(got, [[0.6, 0.8], [0.0, 0.0]])
-    pooled = E.mean_pool(np.array([[[1.0, 2.0], [3.0, 4.0], [9.0, 9.0]]]), np.array([[1, 1, 0]]))
-    assert np.allclose(pooled, [[2.0, 3.0]])
 
 
 @pytest.fixture(scope="module")
