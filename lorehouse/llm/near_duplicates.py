@@ -10,7 +10,8 @@ of the weighted Jaccard similarity of the texts.
 
 Equal multisets are one node. Nodes that share a band are candidates: first each
 with the most connected node of its bucket, then those that are still in
-different classes. Every candidate is verified on its whole multiset.
+different classes, unless what each shares with others at all keeps them below
+the similarity. Every other candidate is verified on its whole multiset.
 """
 
 from __future__ import annotations
@@ -174,6 +175,19 @@ def _verified(pairs: DataFrame, elements: DataFrame, similarity: float) -> DataF
     return joined.where(F.col("_common") >= similarity * union).select("u", "v")
 
 
+def _bounds(elements: DataFrame, similarity: float) -> DataFrame:
+    """Size ``n`` of each multiset and the ``most`` that another one can share with it.
+
+    What only one node has is shared with none, so an overlap is at most the
+    rest; nodes that this keeps below the similarity with any other are left out.
+    """
+    single = elements.select("node", F.explode("elements").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("c"), F.first("node").alias("node"))
+    alone = single.where("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    sizes = elements.select("node", F.size("elements").alias("n"))
+    bounds = sizes.join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
+    return bounds.where(F.col("most") >= similarity * F.col("n"))
+
+
 def near_duplicate_classes(
     documents: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -213,12 +227,15 @@ def near_duplicate_classes(
     # candidates that the hubs have not joined
     marked = held.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
     torn = marked.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("band")
-    lengths = elements.select("node", F.size("elements").alias("n"))
-    rest = cut_lineage(marked.join(torn, "band", "left_semi").join(lengths, "node"), "rest")
-    other = rest.select("band", F.col("node").alias("v"), F.col("label").alias("_label"), F.col("n").alias("_n"))
-    apart = (F.col("label") < F.col("_label")) & (F.col("n") >= similarity * F.col("_n")) & (F.col("_n") >= similarity * F.col("n"))
+    rest = cut_lineage(marked.join(torn, "band", "left_semi"), "torn")
+    bounds = _bounds(elements.join(rest.select("node").distinct(), "node", "left_semi"), similarity)
+    rest = cut_lineage(rest.join(bounds, "node"), "rest")
+    other = rest.select("band", F.col("node").alias("v"), F.col("label").alias("_label"), F.col("n").alias("_n"), F.col("most").alias("_most"))
+    most = F.least("most", "_most")
+    apart = (F.col("label") < F.col("_label")) & (most >= similarity * (F.col("n") + F.col("_n") - most))
     second = rest.join(other, "band").where(apart).select(F.col("node").alias("u"), "v").distinct()
-    second = second.join(first, ["u", "v"], "left_anti").join(first.select(F.col("u").alias("v"), F.col("v").alias("u")), ["u", "v"], "left_anti")
+    done = first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    second = second.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).join(done, ["u", "v"], "left_anti")
     labels = components(links.union(_verified(second, elements, similarity)))
 
     of_rows = signed.select("doc_id", "_key", "node").join(labels, "node", "left").withColumn("class_node", F.coalesce("label", "node"))
