@@ -11,8 +11,10 @@ from lorehouse.functions.text import categorize_answer
 
 def label_lookup(labels: DataFrame, documents: DataFrame) -> DataFrame:
     """Labels with the document of the same title in any case; lowest id, missing ones skipped."""
+    wanted = labels.select(F.lower("title").alias("_key")).distinct()
     found = (
         documents.withColumn("_key", F.lower("title"))
+        .join(wanted, "_key", "left_semi")
         .groupBy("_key")
         .agg(
             F.min_by(F.struct("id", "doc_type", "attributes"), "id").alias("_doc"),

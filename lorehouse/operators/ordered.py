@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from lorehouse.session import cut_lineage
 
@@ -26,30 +26,35 @@ def hour_bucket(column: Column) -> Column:
     return F.date_trunc("hour", column)
 
 
-def _carry_back(rows: DataFrame, carried: DataFrame, names: list[str], take: list[str]) -> DataFrame:
-    keyed = carried.select(*[F.col(n).alias(f"_k_{n}") for n in names], *take)
-    test = F.lit(True)
-    for name in names:
-        test = test & rows[name].eqNullSafe(keyed[f"_k_{name}"])
-    return rows.join(keyed, test, "left").drop(*[f"_k_{n}" for n in names])
+def _keyed(rows: DataFrame, keys: list[str], bucket: Column) -> DataFrame:
+    """Add ``_bucket`` and ``_key``, one value for (keys, bucket).
+
+    NULL fields of a struct compare as equal, so the window over ``_key`` and
+    the join back on it share one hash partitioning, and rows move once.
+    """
+    bucketed = rows.withColumn("_bucket", bucket)
+    return bucketed.withColumn("_key", F.struct(*keys, "_bucket"))
+
+
+def _across(keys: list[str]) -> WindowSpec:
+    """The buckets of a key in order, over one row per bucket."""
+    return Window.partitionBy(F.struct(*[F.col("_key")[k] for k in keys])).orderBy(F.col("_key")["_bucket"])
 
 
 def running_total(
     rows: DataFrame, keys: list[str], order: list[str], bucket: Column, value: Column, out: str
 ) -> DataFrame:
     """Inclusive running sum of ``value`` per key."""
-    marked = rows.withColumn("_bucket", bucket).withColumn("_value", value)
-    names = [*keys, "_bucket"]
-    inside = Window.partitionBy(*names).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    marked = _keyed(rows, keys, bucket).withColumn("_value", value)
+    inside = Window.partitionBy("_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = marked.withColumn("_local", F.sum("_value").over(inside))
-    totals = marked.groupBy(*names).agg(F.sum("_value").alias("_total"))
-    before = (
-        Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carried = totals.withColumn("_before", F.coalesce(F.sum("_total").over(before), F.lit(0)))
-    joined = _carry_back(local, carried, names, ["_before"])
-    return joined.withColumn(out, F.col("_local") + F.col("_before")).drop(
-        "_bucket", "_value", "_local", "_before"
+    totals = marked.groupBy("_key").agg(F.sum("_value").alias("_total"))
+    before = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select("_key", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
+    return (
+        local.join(carried, "_key", "left")
+        .withColumn(out, F.col("_local") + F.col("_before"))
+        .drop("_key", "_bucket", "_value", "_local", "_before")
     )
 
 
@@ -72,21 +77,18 @@ def neighbour(
     """Value of the previous (``step=-1``) or next (``step=1``) row of the key."""
     if step not in (-1, 1):
         raise ValueError("step is -1 or 1")
-    marked = rows.withColumn("_bucket", bucket).withColumn("_value", F.struct(value.alias("v")))
-    names = [*keys, "_bucket"]
-    inside = Window.partitionBy(*names).orderBy(*order)
+    marked = _keyed(rows, keys, bucket).withColumn("_value", F.struct(value.alias("v")))
+    inside = Window.partitionBy("_key").orderBy(*order)
     shift = F.lag if step < 0 else F.lead
     local = marked.withColumn("_local", shift("_value").over(inside))
     # the edge row of a bucket: its last one for lag, its first one for lead
     edge = F.max_by if step < 0 else F.min_by
-    edges = marked.groupBy(*names).agg(
-        edge("_value", F.struct(*[F.col(c) for c in order])).alias("_edge")
-    )
-    across = Window.partitionBy(*keys).orderBy("_bucket")
-    carried = edges.withColumn("_outside", shift("_edge").over(across))
-    joined = _carry_back(local, carried, names, ["_outside"])
-    return joined.withColumn(out, F.coalesce("_local", "_outside")["v"]).drop(
-        "_bucket", "_value", "_local", "_outside"
+    edges = marked.groupBy("_key").agg(edge("_value", F.struct(*[F.col(c) for c in order])).alias("_edge"))
+    carried = edges.select("_key", shift("_edge").over(_across(keys)).alias("_outside"))
+    return (
+        local.join(carried, "_key", "left")
+        .withColumn(out, F.coalesce("_local", "_outside")["v"])
+        .drop("_key", "_bucket", "_value", "_local", "_outside")
     )
 
 
