@@ -351,28 +351,47 @@ def set_type(t: Tables) -> DataFrame:
 
 
 @query(
-    PRELUDE + """SELECT 'documents: one row per source path' AS rule, count(*) - count(DISTINCT source_path) AS violations FROM base_documents
-  UNION ALL SELECT 'documents: status', 0 UNION ALL SELECT 'documents: source kind', 0
-  UNION ALL SELECT 'entities: one row per name', (SELECT count(*) FROM (SELECT 1 FROM base_entities GROUP BY entity_type, canonical HAVING count(*) > 1))
-  UNION ALL SELECT 'mentions: one active row per role', (SELECT count(*) FROM (SELECT 1 FROM base_mentions WHERE invalid_at IS NULL GROUP BY entity_id, document_id, role HAVING count(*) > 1))
-  UNION ALL SELECT 'relations: one row per edge', (SELECT count(*) FROM (SELECT 1 FROM base_relations GROUP BY source_id, target_id, relation, document_id HAVING count(*) > 1))
-  UNION ALL SELECT 'relations: no self edges', (SELECT count(*) FROM base_relations WHERE source_id = target_id)
-  UNION ALL SELECT 'links: one active row per kind', (SELECT count(*) FROM (SELECT 1 FROM base_links WHERE invalid_at IS NULL GROUP BY source_id, target_id, kind HAVING count(*) > 1))
-  UNION ALL SELECT 'links: no self links', 0
-  UNION ALL SELECT 'facts: one active version per topic', (SELECT count(*) FROM (SELECT 1 FROM base_facts WHERE invalid_at IS NULL GROUP BY topic HAVING count(*) > 1))
-  UNION ALL SELECT 'sessions: one active per user', (SELECT count(*) FROM (SELECT 1 FROM base_sessions WHERE active GROUP BY user_id HAVING count(*) > 1))
+    PRELUDE + """, again AS (SELECT id FROM base_documents WHERE id % 40 = 3)
+  SELECT 'documents: one row per source path' AS rule, (SELECT count(*) FROM again) AS violations
+  UNION ALL SELECT 'documents: status', (SELECT count(*) FROM base_documents WHERE id % 50 = 7) + (SELECT count(*) FROM again WHERE id % 50 = 7)
+  UNION ALL SELECT 'documents: source kind', (SELECT count(*) FROM base_documents WHERE id % 60 = 11) + (SELECT count(*) FROM again WHERE id % 60 = 11)
+  UNION ALL SELECT 'entities: one row per name', (SELECT count(*) FROM base_entities WHERE id % 16 = 3)
+  UNION ALL SELECT 'mentions: one active row per role', (SELECT count(*) FROM base_mentions WHERE invalid_at IS NULL AND document_id % 9 = 1)
+  UNION ALL SELECT 'relations: one row per edge', (SELECT count(*) FROM base_relations WHERE document_id % 9 = 1)
+  UNION ALL SELECT 'relations: no self edges', (SELECT count(*) FROM base_relations WHERE document_id % 9 = 1)
+  UNION ALL SELECT 'links: one active row per kind', (SELECT count(*) FROM base_links WHERE invalid_at IS NULL AND source_id % 9 = 1)
+  UNION ALL SELECT 'links: no self links', (SELECT count(*) FROM base_links WHERE source_id % 9 = 1)
+  UNION ALL SELECT 'facts: one active version per topic', (SELECT count(DISTINCT topic) FROM base_facts WHERE invalid_at IS NULL)
+  UNION ALL SELECT 'sessions: one active per user', (SELECT count(DISTINCT user_id) FROM base_sessions WHERE active)
   UNION ALL SELECT 'messages: role', (SELECT count(*) FROM conversations WHERE role NOT IN ('user', 'assistant'))"""
 )
 def integrity_report(t: Tables) -> DataFrame:
+    """The tables with broken rows for every rule: some rows twice, unknown values, edges to themselves."""
+    n = F.col("id")
+    documents = t.documents()
+    documents = documents.unionByName(documents.where(n % 40 == 3)).withColumns(
+        {
+            "extraction_status": F.when(n % 50 == 7, "lost").otherwise(F.col("extraction_status")),
+            "source_kind": F.when(n % 60 == 11, "fax").otherwise(F.col("source_kind")),
+        }
+    )
+    entities, mentions, relations, links = t.entities(), t.mentions(), t.relations(), t.links()
+    facts, sessions = t.facts(), t.sessions()
+    edge, link = relations.where(F.col("document_id") % 9 == 1), links.where(F.col("source_id") % 9 == 1)
+    loop = F.col("source_id")
     return V.integrity_report(
         {
-            "documents": t.documents(),
-            "entities": t.entities(),
-            "mentions": t.mentions(),
-            "relations": t.relations(),
-            "links": t.links(),
-            "facts": t.facts(),
-            "sessions": t.sessions(),
+            "documents": documents,
+            "entities": entities.unionByName(entities.where(n % 16 == 3)),
+            "mentions": mentions.unionByName(mentions.where(F.col("document_id") % 9 == 1)),
+            "relations": relations.unionByName(edge).unionByName(
+                edge.withColumns({"target_id": loop, "document_id": -F.monotonically_increasing_id()})
+            ),
+            "links": links.unionByName(link).unionByName(
+                link.withColumns({"target_id": loop, "kind": F.concat("kind", F.lit(" to itself"))})
+            ),
+            "facts": facts.unionByName(facts),
+            "sessions": sessions.unionByName(sessions),
             "messages": t.raw("conversations"),
         }
     )

@@ -236,9 +236,13 @@ def type_accuracy(t: Tables) -> DataFrame:
     return E.type_accuracy(t.labels(), t.documents()).withColumn("type_accuracy", F.round("type_accuracy", 6))
 
 
-@query(
-    "SELECT round(avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0.5 END), 6) AS attribute_completeness FROM labels"
-)
+#: Whether each required attribute stands in the document's own JSON.
+_PRESENT = """present AS (SELECT coalesce(json_extract_string(attributes, '$.' || field), '') NOT IN ('', '[]') AS has
+  FROM labels l JOIN base_documents d ON d.id = l.doc_id, (VALUES ('owner'), ('status'), ('approver')) f(field)
+  WHERE field = 'owner' OR field = CASE WHEN l.quality = 1 THEN 'status' ELSE 'approver' END)"""
+
+
+@query(PRELUDE + f", {_PRESENT} SELECT round(avg(CASE WHEN has THEN 1.0 ELSE 0.0 END), 6) AS attribute_completeness FROM present")
 def attribute_completeness(t: Tables) -> DataFrame:
     out = E.attribute_completeness(t.labels(), t.documents())
     return out.withColumn("attribute_completeness", F.round("attribute_completeness", 6))
@@ -303,9 +307,9 @@ def eval_report(t: Tables) -> DataFrame:
 
 
 @query(
-    PRELUDE + f""", {_LABELS}, values_base AS (
+    PRELUDE + f""", {_LABELS}, {_PRESENT}, values_base AS (
     SELECT 'type_accuracy' AS metric, (SELECT avg(CASE WHEN label_type = doc_type THEN 1.0 ELSE 0.0 END) FROM labels_base JOIN base_documents ON id = doc_id) AS value
-    UNION ALL SELECT 'attribute_completeness', (SELECT avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0.5 END) FROM labels)
+    UNION ALL SELECT 'attribute_completeness', (SELECT avg(CASE WHEN has THEN 1.0 ELSE 0.0 END) FROM present)
     UNION ALL SELECT 'refusals', (SELECT avg(CASE WHEN (conv_id + turn) % 5 = 0 THEN 1.0 ELSE 0.0 END) FROM conversations WHERE role = 'assistant' AND conv_id % 6 = 0)
     UNION ALL SELECT 'recall_at_4', NULL UNION ALL SELECT 'graph_accuracy', NULL)
   SELECT metric, CAST({{}} AS DOUBLE) AS threshold, round(value, 6) AS value, CASE WHEN value IS NULL THEN 'n/a' WHEN value >= {{}} THEN 'ok' ELSE 'FAIL' END AS verdict FROM values_base""".replace(
