@@ -1,7 +1,7 @@
 """WARC derivatives: metadata and plain-text conversion records linked to their responses.
 
 Records are a table: record_id, warc_type, target_uri, refers_to, date, digest,
-header (all named fields in order) and block (bytes). Responses come from WARC
+header (all named fields in order, a line each) and block (bytes). Responses come from WARC
 files or from a table of pages; each yields one ``metadata`` record (source
 headers, digests, what was found) and one ``conversion`` record (plain text),
 both naming the response in WARC-Refers-To. Files hold one gzip member per record.
@@ -26,9 +26,10 @@ from lorehouse.llm.blocks import bounded_batches, rows_of
 from lorehouse.session import fresh_path
 
 DATE = "2000-01-01T00:00:00Z"
-FILE_BYTES = 8 << 20
-RECORD = "record_id string, warc_type string, target_uri string, refers_to string, date string, digest string, header array<struct<name:string,value:string>>, block binary"
-_KIND = {"header": pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())])), "block": pa.binary()}
+#: Bytes of a file, and the level of compression.
+FILE_BYTES, LEVEL = 8 << 20, 1
+RECORD = "record_id string, warc_type string, target_uri string, refers_to string, date string, digest string, header string, block binary"
+_KIND = {"block": pa.binary()}
 _NAMES = ["record_id", "warc_type", "target_uri", "refers_to", "date", "digest", "header", "block"]
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space for URLs of RFC 4122
 _CHARSET = re.compile(rb"charset\s*=\s*[\"']?\s*([-\w:.]+)", re.I)
@@ -62,11 +63,11 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def _row(kind: str, name: str, uri: str | None, refers: str | None, date: str, digest: str, fields: list[tuple[str, str]], block: bytes) -> tuple:
     first = [("WARC-Type", kind), ("WARC-Record-ID", name), ("WARC-Date", date)]
     if uri is not None:
-        first.append(("WARC-Target-URI", uri))
+        first.append(("WARC-Target-URI", " ".join(uri.splitlines())))
     if refers is not None:
         first.append(("WARC-Refers-To", refers))
     header = [*first, *fields, ("WARC-Block-Digest", sha1_of(block)), ("Content-Length", str(len(block)))]
-    return name, kind, uri, refers, date, digest, [{"name": n, "value": v} for n, v in header], block
+    return name, kind, uri, refers, date, digest, "\r\n".join([f"{n}: {v}" for n, v in header]), block
 
 
 def responses_of(pages: DataFrame, date: str = DATE) -> DataFrame:
@@ -128,7 +129,7 @@ def derive(records: DataFrame) -> DataFrame:
                 status, http, payload = parts_of(block or b"")
                 digest = digest or sha1_of(payload)
                 text = plain_text(_decoded(payload, http)).encode()
-                source = [(f"source-{h['name']}", h["value"]) for h in header or []] + [("http-status", status)]
+                source = [(f"source-{n}", v) for n, v in fields_of(header)] + [("http-status", status)]
                 source += [(f"http-{n}", v) for n, v in http] + [("text-length", str(len(text))), ("text-digest", sha1_of(text))]
                 listed = "".join(f"{n}: {v}\r\n" for n, v in source).encode()
                 linked = [("WARC-Refers-To-Target-URI", uri)] if uri is not None else []
@@ -141,10 +142,14 @@ def derive(records: DataFrame) -> DataFrame:
     return records.select(*_NAMES).mapInArrow(build, RECORD)
 
 
-def as_bytes(header: list[dict], block: bytes) -> bytes:
+def fields_of(header: str | None) -> list[tuple[str, str]]:
+    """The named fields of a header."""
+    return [tuple(x.strip() for x in line.split(":", 1)) for line in (header or "").split("\r\n") if ":" in line]
+
+
+def as_bytes(header: str, block: bytes) -> bytes:
     """A record as it stands in a file, before compression."""
-    named = "".join(f"{h['name']}: {h['value']}\r\n" for h in header)
-    return f"WARC/1.1\r\n{named}\r\n".encode("utf-8", "surrogatepass") + block + b"\r\n\r\n"
+    return b"".join((b"WARC/1.1\r\n", header.encode("utf-8", "surrogatepass"), b"\r\n\r\n", block, b"\r\n\r\n"))
 
 
 def write_warc(records: DataFrame, folder: str | None = None, file_bytes: int = FILE_BYTES) -> str:
@@ -169,7 +174,7 @@ def write_warc(records: DataFrame, folder: str | None = None, file_bytes: int =
 
         members, held = [], 0
         for header, block in rows_of(batches, "header", "block"):
-            members.append(gzip.compress(as_bytes(header, block), 4, mtime=0))
+            members.append(gzip.compress(as_bytes(header, block), LEVEL, mtime=0))
             held += len(members[-1])
             if held >= file_bytes:
                 yield placed(members)
@@ -202,15 +207,14 @@ def _parsed(data: bytes) -> Iterator[tuple]:
         end = data.find(b"\r\n\r\n", at)
         if end < 0:
             return
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")
-        pairs = [tuple(x.strip() for x in line.split(":", 1)) for line in lines[1:] if ":" in line]
-        field = {n.lower(): v for n, v in pairs}
+        header = data[at:end].decode("utf-8", "replace").partition("\r\n")[2]
+        field = {n.lower(): v for n, v in fields_of(header)}
         size = int(field.get("content-length", 0))
         block = data[end + 4 : end + 4 + size]
         at = end + 4 + size + 4
         yield (
             field.get("warc-record-id"), field.get("warc-type"), field.get("warc-target-uri"), field.get("warc-refers-to"),
-            field.get("warc-date"), field.get("warc-payload-digest"), [{"name": n, "value": v} for n, v in pairs], block,
+            field.get("warc-date"), field.get("warc-payload-digest"), header, block,
         )
 
 
@@ -256,5 +260,5 @@ def derivative_digest(pages: DataFrame) -> DataFrame:
         "digest",
         F.octet_length("block").cast("bigint").alias("n_bytes"),
         F.sha2("block", 256).alias("block_sha256"),
-        F.size("header").alias("n_fields"),
+        F.size(F.split("header", "\r\n")).alias("n_fields"),
     )

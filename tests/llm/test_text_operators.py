@@ -216,7 +216,7 @@ def test_warc_derivatives(pages, spark):
     assert len(found) == 2 * pages.count()
     for r in sorted(found, key=key):
         source = sources[r.refers_to]
-        fields = {h.name: h.value for h in r.header}
+        fields = dict(warc.fields_of(r.header))
         assert fields["WARC-Refers-To"] == source.record_id and fields.get("WARC-Target-URI") == source.target_uri
         assert fields["WARC-Payload-Digest"] == source.digest == r.digest
         sha1 = base64.b32encode(hashlib.sha1(bytes(r.block)).digest()).decode()
