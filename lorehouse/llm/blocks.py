@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 BLOCK = "_block"
 BLOCK_BYTES = 8 << 20
+#: The driver holds one bound per block; a table of more blocks than this gets larger ones.
+MAX_BLOCKS = 200_000
 #: Rows and bytes of one Arrow batch: bounds what a Python worker holds at once.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
@@ -42,11 +44,11 @@ def _between(key: Column, bounds: list) -> Column:
 def with_block(df: DataFrame, key: str, block_bytes: int = BLOCK_BYTES, text: str = "text") -> tuple[DataFrame, int]:
     """Add ``_block``: ranges of ascending ``key`` (nulls first) with about ``block_bytes`` of text each.
 
-    Equal keys share a block. The bounds are quantiles of the key, so one
-    number per block reaches the driver.
+    Equal keys share a block. The bounds are quantiles of the key, so a few
+    numbers per block reach the driver; at 100 TB a block has about 500 MB.
     """
     size = df.agg(F.sum(F.octet_length(F.col(text).cast("binary")) + 64)).first()[0] or 0
-    n = max(1, -(-size // block_bytes))
+    n = min(max(1, -(-size // block_bytes)), MAX_BLOCKS)
     cuts = [i / n for i in range(1, n)]
     bounds = df.approxQuantile(key, cuts, 1 / (8 * n)) if cuts else []
     bounds = sorted(set(bounds or []))
