@@ -57,23 +57,26 @@ def question_hits(questions: DataFrame, results: DataFrame) -> DataFrame:
     document_id, document.
     """
     expected = questions.select("question_id", F.explode("expect_docs").alias("want"))
+    return expected_hits(questions, expected, results)
+
+
+def expected_hits(questions: DataFrame, expected: DataFrame, results: DataFrame) -> DataFrame:
+    """``question_hits`` with one row ``(question_id, want)`` per expected document, however many there are."""
     names = results.select("question_id", F.col("document").alias("want"))
     ids = results.select("question_id", F.col("document_id").cast("string").alias("want"))
     number = F.when(F.col("want").rlike(r"^\d+$"), F.col("want").try_cast("bigint").cast("string"))
     asked = expected.unionByName(expected.select("question_id", number.alias("want")))
-    shown = names.unionByName(ids)
-    hit = asked.filter(F.col("want").isNotNull()).join(
-        shown.distinct(), ["question_id", "want"], "left_semi"
-    )
+    hit = asked.filter(F.col("want").isNotNull()).join(names.unionByName(ids).distinct(), ["question_id", "want"], "left_semi")
     hit = hit.select("question_id").distinct().withColumn("hit", F.lit(True))
-    return questions.select("question_id").join(hit, "question_id", "left").withColumn(
-        "hit", F.coalesce("hit", F.lit(False))
-    )
+    return questions.select("question_id").join(hit, "question_id", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+
 
+def recall_at_k(questions: DataFrame, results: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+    """Share of questions with at least one expected document among the results.
 
-def recall_at_k(questions: DataFrame, results: DataFrame) -> DataFrame:
-    """Share of questions with at least one expected document among the results."""
-    hits = question_hits(questions, results)
+    The expected documents stand in ``expect_docs`` or, one per row, in ``expected``.
+    """
+    hits = question_hits(questions, results) if expected is None else expected_hits(questions, expected, results)
     return hits.agg(F.avg(F.col("hit").cast("double")).alias("recall_at_4"))
 
 

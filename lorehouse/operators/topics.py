@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from lorehouse import fixed_values as fixed
 from lorehouse.functions.embedding import embed
 from lorehouse.functions.text import slugify_topic
+from lorehouse.operators.filters import active
 from lorehouse.operators.vector_search import cosine_top_k
+from lorehouse.operators.versions import upsert_facts
 
 
 def assign_topics(
@@ -33,3 +35,18 @@ def assign_topics(
         .withColumn("topic", F.coalesce("_near", slugify_topic(F.col("content"))))
         .drop("_near")
     )
+
+
+def close_to_facts(closed: DataFrame, facts: DataFrame, **limits: float | int) -> DataFrame:
+    """Fact table after the texts of closed sessions: each becomes a version of its topic.
+
+    ``closed``: id (of the new version), content, valid_from (the closing time).
+    Topics are chosen against the facts active before the batch; further columns
+    of ``facts`` are NULL in the new versions.
+    """
+    texts = closed.select(F.col("id").alias("content_id"), "content")
+    topics = assign_topics(texts, active(facts).select("topic", "content"), **limits).select(F.col("content_id").alias("id"), "topic")
+    new = closed.select("id", "content", "valid_from").join(topics, "id")
+    rest = [f for f in facts.schema if f.name not in (*new.columns, "invalid_at")]
+    new = new.withColumns({f.name: F.lit(None).cast(f.dataType) for f in rest}) if rest else new
+    return upsert_facts(facts, new.select(*[c for c in facts.columns if c != "invalid_at"]))

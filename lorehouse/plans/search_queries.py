@@ -8,7 +8,7 @@ from lorehouse.operators import lexical as L
 from lorehouse.operators import vector_search as V
 from lorehouse.operators.filters import filter_documents
 from lorehouse.operators.hybrid import fused_top, search_chunks
-from lorehouse.operators.topics import assign_topics
+from lorehouse.operators.topics import assign_topics, close_to_facts
 from lorehouse.plans.catalog import query
 from lorehouse.plans.prelude import PRELUDE
 from lorehouse.plans.views import Tables
@@ -164,8 +164,8 @@ def hybrid_search_filtered(t: Tables) -> DataFrame:
     return search_chunks(t.questions(), embedded_chunks(t), t.documents(), within=inside, dim=DIM)
 
 
-@query(
-    PRELUDE + rf""", texts AS (
+#: User messages as texts, benchmark passages as facts, and the nearest fact of each text.
+_NEAREST = PRELUDE + rf""", texts AS (
     SELECT conv_id * 1000 + turn AS content_id, text FROM conversations WHERE role = 'user'
   ), facts_base AS (SELECT 'topic-' || lpad(CAST(item_id AS VARCHAR), 6, '0') AS topic, text FROM benchmark),
   cells AS (
@@ -177,13 +177,16 @@ def hybrid_search_filtered(t: Tables) -> DataFrame:
   best AS (SELECT q.id, f.id AS topic, round(sum(q.weight * f.weight) / any_value(nq.norm * nf.norm), 9) AS score
     FROM cells q JOIN cells f ON q.kind = 'q' AND f.kind = 'f' AND q.bucket = f.bucket
     JOIN norms nq ON nq.kind = 'q' AND nq.id = q.id JOIN norms nf ON nf.kind = 'f' AND nf.id = f.id GROUP BY 1, 2
-    HAVING score > 0.75 QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY score DESC, f.id) = 1)
-  SELECT content_id, coalesce(b.topic, coalesce(nullif(array_to_string((CASE WHEN len(good) > 0 THEN good ELSE words END)[1:4], '-'), ''), 'fakt')) AS topic
+    HAVING score > 0.75 QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY score DESC, f.id) = 1)"""
+
+_ASSIGNED = r"""SELECT content_id, coalesce(b.topic, coalesce(nullif(array_to_string((CASE WHEN len(good) > 0 THEN good ELSE words END)[1:4], '-'), ''), 'fakt')) AS topic
   FROM (SELECT content_id, words, list_filter(words, lambda w: length(w) >= 3 AND NOT list_contains(
     ['и','в','во','на','с','со','по','о','об','из','к','у','за','от','до','для','что','как','это','наш','наша','наши','мы','нас','the','a','an','of','to','and','or','for'], w)) AS good
-    FROM (SELECT content_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_-]+') AS words FROM texts)) s
+    FROM (SELECT content_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_-]+') AS words FROM texts)) s
   LEFT JOIN best b ON b.id = CAST(s.content_id AS VARCHAR)"""
-)
+
+
+@query(f"{_NEAREST} {_ASSIGNED}")
 def assigned_topics(t: Tables) -> DataFrame:
     """Topics for user messages among the benchmark passages as facts."""
     contents = t.raw("conversations").filter("role = 'user'").select(
@@ -194,3 +197,24 @@ def assigned_topics(t: Tables) -> DataFrame:
         F.col("text").alias("content"),
     )
     return assign_topics(contents, facts, dim=DIM).select("content_id", "topic")
+
+
+@query(
+    f"""{_NEAREST}, assigned AS ({_ASSIGNED}), versions AS (
+    SELECT CAST(item_id AS BIGINT) AS id, 'topic-' || lpad(CAST(item_id AS VARCHAR), 6, '0') AS topic, TIMESTAMP '2024-01-01' AS valid_from FROM benchmark
+    UNION ALL SELECT 1000000000 + content_id, topic, TIMESTAMP '2024-02-01' + content_id * INTERVAL 1 SECOND FROM assigned)
+  SELECT id, topic, valid_from, lead(valid_from) OVER (PARTITION BY topic ORDER BY valid_from, id) AS invalid_at FROM versions"""
+)
+def closed_facts(t: Tables) -> DataFrame:
+    """Closed sessions (user messages) become facts: topic by the nearest passage, older versions end."""
+    number = F.col("conv_id") * 1000 + F.col("turn")
+    closed = t.raw("conversations").filter("role = 'user'").select(
+        (number + 1_000_000_000).alias("id"), F.col("text").alias("content"),
+        F.timestamp_add("SECOND", number, F.lit("2024-02-01 00:00:00").cast("timestamp")).alias("valid_from"),
+    )
+    facts = t.raw("benchmark").select(
+        F.col("item_id").alias("id"), F.concat(F.lit("topic-"), F.lpad(F.col("item_id").cast("string"), 6, "0")).alias("topic"),
+        F.col("text").alias("content"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("valid_from"),
+        F.lit(None).cast("timestamp").alias("invalid_at"),
+    )
+    return close_to_facts(closed, facts, dim=DIM).select("id", "topic", "valid_from", "invalid_at")
