@@ -229,10 +229,15 @@ def near_duplicate_classes(
     torn = marked.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("band")
     rest = cut_lineage(marked.join(torn, "band", "left_semi"), "torn")
     bounds = _bounds(elements.join(rest.select("node").distinct(), "node", "left_semi"), similarity)
-    rest = cut_lineage(rest.join(bounds, "node"), "rest")
-    other = rest.select("band", F.col("node").alias("v"), F.col("label").alias("_label"), F.col("n").alias("_n"), F.col("most").alias("_most"))
+    listed = rest.groupBy("node").agg(F.collect_list("band").alias("bands"))
+    rest = cut_lineage(rest.join(bounds, "node").join(listed, "node"), "rest")
+    other = rest.select(
+        "band", F.col("node").alias("v"), *[F.col(c).alias(f"_{c}") for c in ("label", "n", "most", "bands")]
+    )
     most = F.least("most", "_most")
     apart = (F.col("label") < F.col("_label")) & (most >= similarity * (F.col("n") + F.col("_n") - most))
+    # a pair comes from one of the bands that it shares, so it comes once
+    apart = apart & (F.col("band") == F.array_min(F.array_intersect("bands", "_bands")))
     second = rest.join(other, "band").where(apart).select(F.col("node").alias("u"), "v").distinct()
     done = first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     second = second.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).join(done, ["u", "v"], "left_anti")
