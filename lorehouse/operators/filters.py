@@ -8,7 +8,6 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lorehouse import fixed_values as fixed
 from lorehouse.functions import jsonb
