@@ -96,3 +96,20 @@ def test_the_queue_finds_the_cheapest_cuts(seed):
         total += (0 if b - a >= 64 and not (b - a) & (b - a - 1) else 256 - (b - a)) + at[b] + packing.CHARGE
     assert cuts[0] == 0 and cuts[-1] == places[-1]
     assert total == pytest.approx(slow_cuts(places, penalties, 256))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_all_sentence_ends_are_cut_places(seed):
+    rng = np.random.default_rng(seed)
+    marks = np.array([False, False, True])
+    ids = np.concatenate([rng.choice(3, 600, p=[0.5, 0.4, 0.1]), np.zeros(200, int), [2, 2, 0, 2], rng.choice(3, 96)])
+    ends = np.array([150, 151, 410, len(ids)])
+    places, penalties = packing.cut_places(ids, ends, marks)
+    found = dict(zip(places.tolist(), penalties.tolist(), strict=True))
+    free = {0, *ends.tolist()}
+    sentences = {k + 1 for k, x in enumerate(ids.tolist()) if x == 2} - free
+    assert {p for p, x in found.items() if x == 0.0} == free
+    assert {p for p, x in found.items() if x == packing.SENTENCE} == sentences
+    known = sorted(free | sentences)
+    dear = {p for a, b in zip(known, known[1:], strict=False) if b - a > 4 * packing.GRAIN for p in range(a + packing.GRAIN, b, packing.GRAIN)}
+    assert dear and {p for p, x in found.items() if x == packing.TRUNCATION} == dear
