@@ -4,11 +4,12 @@ Two words are compared by their common subsequences of ``ORDER`` letters, each
 weighted by ``DECAY`` to the length it spans in either word, so an insult with
 letters put in, left out or added at its end stays near the insult. Landmarks are
 words of the labelled sample; a word is its kernel values against them, times the
-inverse root of the landmarks' own kernel matrix. A sentence stands for the word
-in it that the machine finds worst; a document has the mean of its two worst
-words and the share of its words beyond the margin, which a logistic map turns
+inverse root of the landmarks' own kernel matrix. Texts are split at white space;
+runs of tokens of one or two letters inside a sentence are joined to one more
+word, as an insult may be gapped by blanks. A document has the mean of its two
+worst words and the share of its words beyond the margin, which a logistic map turns
 into a probability. Labels are known per document only: in turns, each toxic document
-lends its worst words to a linear machine, against the words of clean sentences.
+lends its worst words to a linear machine, against the words of clean documents.
 """
 
 from __future__ import annotations
@@ -48,6 +49,7 @@ VARIED = 300
 WITNESSES, NEGATIVES = 2, 15_000
 THRESHOLD, HELD = 0.3, (4.0, 1.0)
 KEPT_WORDS = 1_000_000
+_ENDS, _CLOSING = tuple(".!?…。！？"), "\"'’”»)]}*_"
 
 
 def letters_of(token: str) -> str:
@@ -55,6 +57,35 @@ def letters_of(token: str) -> str:
     return token if token.isalpha() else "".join(c for c in token if c.isalpha())
 
 
+def joined(tokens: list[str]) -> list[str]:
+    """Words gapped by blanks: the letters of each run of tokens of one or two letters, and of the single letters in a row inside it.
+
+    Tokens without letters do not break a run. A sentence ends with a token that ends with a sentence mark, closing
+    marks aside, unless it has a single letter (``i. d. i. o. t.``). Runs that are too short to compare are left out.
+    """
+    out: list[str] = []
+    run: list[str] = []
+
+    def close() -> None:
+        if len(run) > 1:
+            whole = "".join(run)
+            singles = "".join(x if len(x) == 1 else " " for x in run).split()
+            out.extend(w for w in dict.fromkeys((whole, *singles)) if len(w) >= ORDER)
+        run.clear()
+
+    for token in tokens:
+        letters = letters_of(token)
+        if len(letters) >= ORDER:
+            close()
+            continue
+        if letters:
+            run.append(letters)
+        if len(letters) != 1 and token.rstrip(_CLOSING).endswith(_ENDS):
+            close()
+    close()
+    return out
+
+
 def parts_of(word: str) -> list[str]:
     """A word with a mark at its beginning, or overlapping parts of a longer one; none if it is too short."""
     if len(word) < ORDER:
@@ -234,7 +265,8 @@ def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-3
 
 def fit(texts: list[str], labels: list[int], share: float | None = None, rounds: int = 4) -> Model:
     """Fit a model on labelled texts; ``share`` is that of toxic rows where the texts were drawn from."""
-    docs = [[letters_of(t) for t in text.lower().split()] for text in texts]
+    split = [text.lower().split() for text in texts]
+    docs = [[letters_of(t) for t in tokens] + joined(tokens) for tokens in split]
     docs = [[p for w in doc for p in parts_of(w)] for doc in docs]
     y = np.array(labels, bool)
     owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
@@ -369,11 +401,35 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.known: dict[str, float] = {}
+        self.known: dict[str, float] = {}  # by token
+        self.runs: dict[str, float] = {}  # by joined run
+
+    def _joined(self, tokens: list[str], codes: np.ndarray, owner: np.ndarray, short: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The documents and margins of the words gapped by blanks; ``codes`` number the tokens."""
+        at = np.flatnonzero(short[codes])
+        breaks = np.flatnonzero((np.diff(at) > 1) | (np.diff(owner[at]) != 0)) + 1
+        edges = np.concatenate(([0], breaks, [len(at)]))
+        many = np.flatnonzero(np.diff(edges) > 1)
+        firsts, lasts = at[edges[many]], at[edges[many + 1] - 1] + 1
+        made: dict[bytes, list[str]] = {}
+        of, words = [], []
+        for k, (a, b) in enumerate(zip(firsts.tolist(), lasts.tolist(), strict=True)):
+            key = codes[a:b].tobytes()
+            if key not in made:
+                made[key] = joined([tokens[c] for c in codes[a:b].tolist()])
+            for word in made[key]:
+                of.append(k)
+                words.append(word)
+        new = [w for w in dict.fromkeys(words) if w not in self.runs]
+        if new:
+            self.runs.update(zip(new, self.model.words(new).tolist(), strict=True))
+        return owner[firsts[np.array(of, int)]], np.fromiter(map(self.runs.__getitem__, words), np.float64, len(words)) + self.model.bias
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
         if len(self.known) > KEPT_WORDS:
             self.known = {}
+        if len(self.runs) > KEPT_WORDS:
+            self.runs = {}
         lists = pc.utf8_split_whitespace(pc.utf8_lower(texts.fill_null("").cast(pa.large_string())))
         numbered = lists.flatten().dictionary_encode()
         tokens = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
@@ -381,11 +437,12 @@ class Scorer:
         if new:
             self.known.update(zip(new, self.model.words([letters_of(t) for t in new]).tolist(), strict=True))
         value = np.fromiter(map(self.known.__getitem__, tokens), np.float64, len(tokens)) + self.model.bias
-        wordy = np.isfinite(value)  # short tokens are no words here
+        wordy = np.isfinite(value)  # short tokens are words only when joined
         codes = numbered.indices.to_numpy(zero_copy_only=False)
         owner = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
         known = wordy[codes]
-        facts = _facts(owner[known], value[codes[known]], len(texts), self.model.bias)
+        of_runs, more = self._joined(tokens, codes, owner, ~wordy)
+        facts = _facts(np.concatenate((owner[known], of_runs)), np.concatenate((value[codes[known]], more)), len(texts), self.model.bias)
         return self.model.probability(facts)
 
 

@@ -246,3 +246,17 @@ def test_scores_do_not_depend_on_the_batch(labelled):
     together = toxicity.Scorer(model)(pa.array(texts, pa.string()))
     apart = [toxicity.Scorer(model)(pa.array([t], pa.string()))[0] for t in texts]
     assert together == pytest.approx(apart)
+
+
+def test_words_gapped_by_blanks(labelled):
+    assert toxicity.joined("they said i d i o t today".split()) == ["idiot"]
+    assert toxicity.joined("be id io t be. so mu".split()) == ["beidiotbe", "somu"]
+    assert toxicity.joined("i. d. i - o. t! anyone".split()) == ["idiot"]
+    assert toxicity.joined("an i d i o t".split()) == ["anidiot", "idiot"]
+    assert toxicity.joined("a bade b kilo".split()) == toxicity.joined([]) == []
+    documents, labels = labelled
+    score = toxicity.Scorer(toxicity.fitted(documents, labels))
+    gapped = [f"bade kilo muna {x} mude kiri" for x in ("g r o z z e l", "bl ar ki n", "s. n. i. v. v. a. r. d", "be g r o z z e l")]
+    clean = ["bade kilo muna ba de ki lo mude kiri", "bade kilo muna gr. Oz ze. L mude kiri", "a b c d e f g h " * 3000]
+    assert (score(pa.array(gapped, pa.string())) >= toxicity.THRESHOLD).all()
+    assert (score(pa.array(clean, pa.string())) < toxicity.THRESHOLD).all()
