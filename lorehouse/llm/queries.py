@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorehouse.llm import decontamination, fingerprints, main_text, near_duplicates, packing, sharding, suffix_dedup, tokens, toxicity, warc
+from lorehouse.llm import byte_pairs, decontamination, fingerprints, main_text, near_duplicates, packing, sharding, suffix_dedup, tokens, toxicity, warc
 from lorehouse.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,11 @@ def op10_shard(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_digest(_table(spark, folder, "documents"), 40)
 
 
+def op12_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as byte-pair ids and back."""
+    return byte_pairs.coding_digest(_table(spark, folder, "documents"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     import corpus_pipeline
@@ -86,6 +91,7 @@ def queries() -> dict[str, Query]:
         op8_near_duplicates,
         op9_decontaminate,
         op10_shard,
+        op12_byte_pairs,
         pipeline,
     )
     return {q.__name__: q for q in found}
