@@ -17,8 +17,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import ahocorasick
@@ -40,6 +41,21 @@ KEPT_PIECES, KEPT_PAIRS, KEPT_CHARS = 1_000_000, 2_000_000, 64
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def _runs(characters: list[str], form: str) -> str:
+    """Sorted characters as the ranges of a character class."""
+    groups = [[ord(c) for _, c in run] for _, run in groupby(enumerate(characters), lambda x: ord(x[1]) - x[0])]
+    return "".join(f"{form.format(g[0])}-{form.format(g[-1])}" for g in groups)
+
+
+def _plane_pattern() -> re.Pattern:
+    """The rule for characters up to U+FFFF with its classes spelled out, which the standard matcher looks up in a table."""
+    plane = "".join(chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000)
+    letters, digits, blanks = (_runs(regex.findall(kind, plane), "\\u{:04x}") for kind in (r"\p{L}", r"\p{N}", r"\s"))
+    return re.compile(
+        f" ?[{letters}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{digits}]+| ?[^{blanks}{letters}{digits}]+|[{blanks}]+(?![^{blanks}])|[{blanks}]+"
+    )
+
+
 def _byte_letters() -> dict[str, str]:
     """The printable letter that stands for each byte in a vocabulary file, as a map back to that byte (Latin-1).
 
@@ -94,7 +110,7 @@ class PrefixEncoder:
             self.ending.add_word(name, (n, len(name)))
         self.ending.make_automaton()
 
-        self.find = regex.compile(PIECES).findall
+        self.find, self.find_in_plane = regex.compile(PIECES).findall, _plane_pattern().findall
         self._ask_about_letters(path)
         self.known: dict[str, bytes] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
@@ -116,8 +132,7 @@ class PrefixEncoder:
         self.cut = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         new = "".join(c for c in map(chr, range(0x370, 0x110000)) if unicodedata.category(c) == "Cn")
         odd = [c for c in regex.findall(r"[\p{L}\p{N}\s]", new) if len(self.cut(f"a{c}a")) != len(self.find(f"a{c}a")) or len(self.cut(f"1{c}1")) != len(self.find(f"1{c}1"))]
-        runs = [[ord(c) for _, c in run] for _, run in groupby(enumerate(odd), lambda x: ord(x[1]) - x[0])]
-        self.odd = "[" + "".join(f"\\x{{{r[0]:x}}}-\\x{{{r[-1]:x}}}" for r in runs) + "]" if runs else None
+        self.odd = f"[{_runs(odd, '\\x{{{:x}}}')}]" if odd else None
 
     def apart(self, left: int, right: int, below: float = float("inf")) -> bool:
         """Whether merging the bytes of two tokens leaves the two, as far as merges ranked lower than ``below`` go.
@@ -165,11 +180,12 @@ class PrefixEncoder:
             pairs.clear()
         return np.array(ids[::-1], "<u4").tobytes()
 
-    def _pieces(self, text: str, by_library: bool) -> list[str]:
-        return [text[a:b] for _, (a, b) in self.cut(text)] if by_library else self.find(text)
+    def _pieces_by_library(self, text: str) -> list[str]:
+        return [text[a:b] for _, (a, b) in self.cut(text)]
 
-    def encode(self, text: str, by_library: bool = False) -> bytes:
-        """The ids of a text; ``by_library``: it holds a character that Unicode versions judge differently."""
+    def encode(self, text: str, find: Callable[[str], list[str]] | None = None) -> bytes:
+        """The ids of a text; ``find`` cuts it into pieces."""
+        find = find or self._pieces_by_library
         if len(self.known) > KEPT_PIECES:
             self.known.clear()
         out: list[bytes] = []
@@ -177,7 +193,7 @@ class PrefixEncoder:
             if k % 2:
                 out.append(self.added[part])
                 continue
-            pieces = self._pieces(part, by_library)
+            pieces = find(part)
             raw = list(map(self.known.get, pieces))
             if None in raw:
                 for at, ids in enumerate(raw):
@@ -190,9 +206,11 @@ class PrefixEncoder:
 
     def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of every text."""
+        high = pc.match_substring_regex(texts, r"[\x{10000}-\x{10ffff}]").to_pylist()
         odd = pc.match_substring_regex(texts, self.odd).to_pylist() if self.odd else [False] * len(texts)
-        for text, by_library in zip(texts.to_pylist(), odd, strict=True):
-            yield np.frombuffer(self.encode(text, by_library), "<u4")
+        for text, beyond, judged in zip(texts.to_pylist(), high, odd, strict=True):
+            find = self._pieces_by_library if judged else self.find if beyond else self.find_in_plane
+            yield np.frombuffer(self.encode(text, find), "<u4")
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: their bytes, broken UTF-8 sequences as U+FFFD; ids that the vocabulary has not are left out."""
