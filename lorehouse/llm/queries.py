@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorehouse.llm import byte_pairs, decontamination, fingerprints, main_text, near_duplicates, packing, sharding, suffix_dedup, tokens, toxicity, warc
+from lorehouse.llm import byte_pairs, decontamination, fingerprints, main_text, merkle, near_duplicates, packing, sharding, suffix_dedup, tokens, toxicity, warc
 from lorehouse.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,11 @@ def op12_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return byte_pairs.coding_digest(_table(spark, folder, "documents"))
 
 
+def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in one hash tree per language, with proofs and the outcome of tampering."""
+    return merkle.manifest_digest(_table(spark, folder, "documents"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     import corpus_pipeline
@@ -92,6 +97,7 @@ def queries() -> dict[str, Query]:
         op9_decontaminate,
         op10_shard,
         op12_byte_pairs,
+        op13_merkle,
         pipeline,
     )
     return {q.__name__: q for q in found}
