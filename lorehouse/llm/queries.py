@@ -103,6 +103,59 @@ def queries() -> dict[str, Query]:
     return {q.__name__: q for q in found}
 
 
+_MERKLE_SQL = """
+WITH RECURSIVE fields AS (
+  SELECT doc_id, lang, text,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS small,
+    xor(list_reduce([4294967295::BIGINT] || [ord(c)::BIGINT FOR c IN string_split(doc_id::VARCHAR, '')],
+      lambda r, b: list_reduce([xor(r, b)] || [0::BIGINT FOR k IN range(8)],
+        lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 3 = 0 AS chosen
+  FROM documents
+), hashed AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN chosen THEN sha256(head || coalesce(strlen(small) || ':' || small, '-')) END AS changed
+  FROM fields
+), leaves AS (
+  SELECT *, row_number() OVER () AS nth, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+    count(*) OVER (PARTITION BY lang) AS n
+  FROM hashed
+), up AS (
+  SELECT lang, 0 AS level, place, n, leaf AS h FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, place // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY place)) FROM up WHERE n > 1
+  GROUP BY lang, level, place // 8, n
+), subroots AS (
+  SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM up WHERE n = 1
+), above AS (
+  SELECT 0 AS level, place, n, subroot AS h FROM subroots
+  UNION ALL
+  SELECT level + 1, place // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY place)) FROM above WHERE n > 1
+  GROUP BY level, place // 8, n
+), runs AS (
+  SELECT coalesce('=' || lang, '-') AS tree, level, place // 8 AS run, list(h ORDER BY place) AS hs FROM up WHERE n > 1 GROUP BY ALL
+  UNION ALL
+  SELECT 'top', level, place // 8, list(h ORDER BY place) FROM above WHERE n > 1 GROUP BY ALL
+), path AS (
+  SELECT l.nth, 0 AS step, coalesce('=' || l.lang, '-') AS tree, 0 AS level, l.place, s.place AS top_place,
+    coalesce(l.changed, l.leaf) AS node, '' AS proof, false AS done
+  FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang
+  UNION ALL
+  SELECT p.nth, p.step + 1, CASE WHEN r.hs IS NULL THEN 'top' ELSE p.tree END, CASE WHEN r.hs IS NULL THEN 0 ELSE p.level + 1 END,
+    CASE WHEN r.hs IS NULL THEN p.top_place ELSE p.place // 8 END, p.top_place,
+    CASE WHEN r.hs IS NULL THEN p.node ELSE sha256(array_to_string(r.hs[1:p.place % 8], '') || p.node || array_to_string(r.hs[p.place % 8 + 2:], '')) END,
+    p.proof || coalesce(array_to_string(r.hs[1:p.place % 8], '') || array_to_string(r.hs[p.place % 8 + 2:], ''), ''),
+    r.hs IS NULL AND p.tree = 'top'
+  FROM path p LEFT JOIN runs r ON r.tree = p.tree AND r.level = p.level AND r.run = p.place // 8
+  WHERE NOT p.done
+)
+SELECT l.doc_id, l.leaf, s.subroot, a.h AS root, sha256(p.proof) AS proof_sha256, p.node AS folded_root, p.node = a.h AS verified,
+  l.lang, l.place AS leaf_place
+FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang JOIN path p ON p.nth = l.nth AND p.done JOIN above a ON a.n = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL of the queries that have one: tokens, hashes and kernels have none, so tests/llm holds brute-force versions."""
-    return {}
+    """SQL of the queries that have one: tokens, keyed hashes and kernels have none, so tests/llm holds brute-force versions."""
+    return {"op13_merkle": _MERKLE_SQL}
