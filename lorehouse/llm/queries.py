@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorehouse.llm import byte_pairs, decontamination, fingerprints, main_text, merkle, near_duplicates, packing, sharding, suffix_dedup, tokens, toxicity, warc
+from lorehouse.llm import byte_pairs, collocations, decontamination, fingerprints, main_text, merkle, near_duplicates, packing, sharding, suffix_dedup, tokens, toxicity, warc
 from lorehouse.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,11 @@ def op10_shard(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_digest(_table(spark, folder, "documents"), 40)
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The phrases of all documents that keep together best, per language."""
+    return collocations.phrase_digest(_table(spark, folder, "documents"))
+
+
 def op12_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """All documents as byte-pair ids and back."""
     return byte_pairs.coding_digest(_table(spark, folder, "documents"))
@@ -96,6 +101,7 @@ def queries() -> dict[str, Query]:
         op8_near_duplicates,
         op9_decontaminate,
         op10_shard,
+        op11_collocations,
         op12_byte_pairs,
         op13_merkle,
         pipeline,
@@ -155,7 +161,44 @@ SELECT l.doc_id, l.leaf, s.subroot, a.h AS root, sha256(p.proof) AS proof_sha256
 FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang JOIN path p ON p.nth = l.nth AND p.done JOIN above a ON a.n = 1
 """
 
+_COLLOCATIONS_SQL = r"""
+WITH pieces AS (
+  SELECT lang, doc, generate_subscripts(parts, 1) AS piece, unnest(parts) AS piece_text FROM (
+    SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc, string_split_regex(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS parts
+    FROM documents)
+), words AS (
+  SELECT lang, doc, piece, generate_subscripts(ws, 1) AS i, unnest(ws) AS w FROM (
+    SELECT lang, doc, piece, list_filter(string_split_regex(piece_text, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces)
+), threes AS (
+  SELECT lang, w AS w1, lead(w) OVER p AS w2, lead(w, 2) OVER p AS w3 FROM words WINDOW p AS (PARTITION BY doc, piece ORDER BY i)
+), f AS (
+  SELECT lang, 1 AS words, w1 AS phrase, count(*) AS f FROM threes GROUP BY ALL
+  UNION ALL
+  SELECT lang, 2, w1 || ' ' || w2, count(*) FROM threes WHERE w2 IS NOT NULL GROUP BY ALL
+  UNION ALL
+  SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) FROM threes WHERE w3 IS NOT NULL GROUP BY ALL
+), cand AS (
+  SELECT lang, words, phrase, string_split(phrase, ' ') AS ws, f AS a FROM f WHERE words >= 2 AND f >= 10
+), cuts AS (
+  SELECT c.*, k.k, l.f AS l, r.f AS r, (1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f) AS score
+  FROM cand c JOIN (SELECT unnest([1, 2]) AS k) k ON k.k < c.words
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1:k.k], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[k.k + 1:], ' ')
+), lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), longer AS (
+  SELECT lang, array_to_string(ws[k:k + 1], ' ') AS phrase, max(a) AS f FROM cand, (SELECT unnest([1, 2]) AS k) WHERE words = 3 GROUP BY ALL
+), ranked AS (
+  SELECT c.*, row_number() OVER (PARTITION BY c.lang ORDER BY score DESC, a DESC, c.phrase) AS rank
+  FROM lowest c LEFT JOIN longer g ON g.lang = c.lang AND g.phrase = c.phrase AND c.words = 2
+  WHERE g.f IS NULL OR 100 * g.f < 50 * a
+)
+SELECT r.lang, rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM ranked r JOIN (SELECT lang, count(*) AS n FROM words GROUP BY lang) t ON t.lang = r.lang WHERE rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that have one: tokens, keyed hashes and kernels have none, so tests/llm holds brute-force versions."""
-    return {"op13_merkle": _MERKLE_SQL}
+    return {"op11_collocations": _COLLOCATIONS_SQL, "op13_merkle": _MERKLE_SQL}

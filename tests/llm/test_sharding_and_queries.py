@@ -49,7 +49,7 @@ def test_the_map_keeps_versions_and_moves_little(spark):
 def test_every_query_has_a_row_for_each_input(spark):
     documents, pages = (spark.read.parquet(f"{FOLDER}/{t}.parquet").count() for t in ("documents", "pages"))
     made = queries.queries()
-    assert set(queries.oracle_sql()) <= set(made) and len(made) == 13
+    assert set(queries.oracle_sql()) <= set(made) and len(made) == 14
     for name in ("op1_toxicity", "op2_token_files", "op4_fingerprint", "op7_suffix_dedup", "op8_near_duplicates", "op9_decontaminate", "op10_shard", "op12_byte_pairs", "op13_merkle"):
         assert made[name](spark, FOLDER).count() == documents, name
     assert made["op5_main_text"](spark, FOLDER).count() == pages
