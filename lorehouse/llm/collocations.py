@@ -28,12 +28,12 @@ from lorehouse.llm.blocks import bounded_batches, text_of
 from lorehouse.llm.double_array import DoubleArray
 from lorehouse.session import cut_lineage
 
-#: Words and phrases of a trie at most: about 100 MB in a worker.
+#: Words of a trie, and phrases of each length, at most: about 100 MB in a worker.
 WORDS, PHRASES = 1 << 19, 1 << 20
 #: Bytes of text that a task counts at once, phrases a task proposes, and how often these occur in its first texts.
-SHARD_BYTES, PROPOSALS, REPEATED = 12 << 20, 20_000, 3
+SHARD_BYTES, PROPOSALS, REPEATED = 6 << 20, 5_000, 3
 #: Distinct words a task holds before it passes their counts on.
-HELD_WORDS = 400_000
+HELD_WORDS = 300_000
 #: Numbers below 10**14 keep a * a * 1000000 and l * r within 38 digits.
 _COUNT = "decimal(14,0)"
 _ROWS = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
@@ -57,7 +57,7 @@ def words_of(texts: pa.Array) -> Words:
     ended = pc.binary_join_element_wise(plain, pa.scalar(_BREAK, plain.type), pa.scalar(" ", plain.type))
     tokens = pc.ascii_split_whitespace(ended).flatten()
     tokens = tokens.filter(pc.not_equal(tokens, "")).dictionary_encode()
-    index = tokens.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    index = tokens.indices.to_numpy(zero_copy_only=False)
     distinct = tokens.dictionary
     breaks = pc.index(distinct, pa.scalar(_BREAK, distinct.type)).as_py()
     return Words(index, distinct, index != breaks)
@@ -91,7 +91,7 @@ def _rows(lang: str, words: int, phrases: pa.Array, counts: np.ndarray) -> pa.Re
 
 def _named(words: Words, places: np.ndarray, length: int) -> tuple[pa.Array, np.ndarray]:
     """The distinct phrases of ``length`` words at some places, and how often each occurs there."""
-    key, first = words.index[places], places
+    key, first = words.index[places].astype(np.int64), places
     for k in range(1, length):
         # numbers of distinct phrases stay small, so that keys stay within 64 bits
         key = key * len(words.distinct) + words.index[places + k]
@@ -144,25 +144,26 @@ class PhraseTrie:
     where they are not, a phrase that it does not know may still be frequent.
     """
 
-    def __init__(self, words: list[tuple[str, str]], phrases: list[list[tuple[str, str]]], complete: dict[int, bool]) -> None:
-        """``words``: (language, word); ``phrases``: for 2, 3, ... words, (language, phrase)."""
+    def __init__(self, words: pa.Table, phrases: list[pa.Table], complete: dict[int, bool]) -> None:
+        """Tables of lang and phrase: ``words``, sorted by language, and phrases of 2, 3, ... words."""
         self.complete = complete
-        self.by_lang: dict[str, dict[str, int]] = {}
-        for code, (lang, word) in enumerate(words):
-            self.by_lang.setdefault(lang, {})[word] = code
-        self.langs = pa.array([lang for lang, _ in words], pa.string())
-        self.names = pa.array([word for _, word in words], pa.string())
+        self.langs, self.names = (words[c].combine_chunks().cast(pa.string()) for c in ("lang", "phrase"))
+        runs = self.langs.value_counts() if len(words) else []
+        stops = np.cumsum([r["counts"].as_py() for r in runs]).tolist()
+        #: Where the words of a language begin and end.
+        self.spans = {r["values"].as_py(): (b - r["counts"].as_py(), b) for r, b in zip(runs, stops, strict=True)}
         self.array = DoubleArray(max(1, len(words)), sum(map(len, phrases)))
-        for level in phrases:
-            codes = [[self.by_lang.get(lang, {}).get(w, -1) for w in phrase.split(" ")] for lang, phrase in level]
-            if not codes:
-                continue
-            letters = np.array(codes, np.int64)
-            states = letters[:, 0]
-            for k in range(1, letters.shape[1] - 1):
-                states = self.array.step(states, letters[:, k])
-            fit = (states >= 0) & (letters[:, -1] >= 0)
-            self.array.add(states[fit], letters[fit, -1])
+        for length, level in enumerate(phrases, 2):
+            for lang in self.spans:
+                some = level["phrase"].filter(pc.equal(level["lang"], lang)).combine_chunks()
+                if not len(some):
+                    continue
+                letters = self._letters(lang, pc.split_pattern(some, " ").flatten()).reshape(-1, length)
+                states = letters[:, 0]
+                for k in range(1, length - 1):
+                    states = self.array.step(states, letters[:, k])
+                fit = (states >= 0) & (letters[:, -1] >= 0)
+                self.array.add(states[fit], letters[fit, -1])
 
     def plain(self) -> dict:
         """Its fields without classes of this package, for a broadcast."""
@@ -177,16 +178,20 @@ class PhraseTrie:
         vars(trie).update(fields | {"array": array})
         return trie
 
-    def letters(self, lang: str, words: Words) -> np.ndarray:
+    def _letters(self, lang: str, words: pa.Array) -> np.ndarray:
         """The letter of every word; -1: not in the trie."""
-        find = self.by_lang.get(lang, {}).get
-        codes = np.fromiter((find(w, -1) for w in words.distinct.to_pylist()), np.int64, len(words.distinct))
-        return np.where(words.is_word, codes[words.index], -1)
+        first, stop = self.spans.get(lang, (0, 0))
+        found = pc.index_in(words.cast(pa.string()), self.names.slice(first, stop - first)).fill_null(-1).to_numpy(zero_copy_only=False)
+        return np.where(found >= 0, found + first, -1).astype(np.int32)
+
+    def letters(self, lang: str, words: Words) -> np.ndarray:
+        """The letter of every place of a text; -1: a break, or not in the trie."""
+        return np.where(words.is_word, self._letters(lang, words.distinct)[words.index], np.int32(-1))
 
     def advance(self, lang: str, words: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Accepting states of phrases of ``length`` words, and places of such phrases that the trie does not hold but may be frequent."""
         letters = self.letters(lang, words)
-        states, inside, may = letters, words.is_word, letters >= 0
+        states, inside = letters, words.is_word
         for k in range(2, length + 1):
             may = (states >= 0) if self.complete[k - 1] else np.ones(len(states), bool)
             states = self.array.step(states[:-1], letters[k - 1 :])
@@ -208,7 +213,8 @@ def _count_phrases(held: Broadcast, length: int):
         for shard in _shards(batches):
             for lang, words in shard:
                 states, rest = trie.advance(lang, words, length)
-                tally += np.bincount(states, minlength=len(tally))
+                found = np.bincount(states)
+                tally[: len(found)] += found
                 if len(rest):
                     yield _rows(lang, length, *_named(words, rest, length))
         accepted = np.flatnonzero(tally)
@@ -220,11 +226,21 @@ def _count_phrases(held: Broadcast, length: int):
     return count
 
 
-def _largest(rows: DataFrame, n: int) -> tuple[list[tuple[str, str]], bool]:
-    """(language, phrase) of the ``n`` most frequent rows, and whether these are all."""
-    some = rows.orderBy(F.desc("f"), "lang", "phrase").limit(n + 1).select("lang", "phrase").toArrow()
-    pairs = list(zip(some["lang"].to_pylist(), some["phrase"].to_pylist(), strict=True))
-    return pairs[:n], len(pairs) <= n
+def _largest(rows: DataFrame, n: int) -> tuple[pa.Table, bool]:
+    """The most frequent rows (lang, phrase), sorted, and whether these are all.
+
+    Whole classes of counts are taken (eight to a doubling) while they are ``n``
+    rows or fewer together, so what reaches the driver is bounded.
+    """
+    kind = F.floor(F.log2("f") * 8)
+    sizes = rows.groupBy(kind.alias("kind")).count().orderBy(F.desc("kind")).collect()
+    total, least = 0, None
+    for r in sizes:
+        total += r["count"]
+        if total <= n:
+            least = r["kind"]
+    some = rows.where(kind >= least if least is not None else F.lit(False)).select("lang", "phrase", "f").toArrow()
+    return some.sort_by([("lang", "ascending"), ("f", "descending"), ("phrase", "ascending")]).select(["lang", "phrase"]), total <= n
 
 
 def count_phrases(documents: DataFrame, least: int = 10, longest: int = 3, max_words: int = WORDS, max_phrases: int = PHRASES) -> DataFrame:
@@ -246,7 +262,7 @@ def count_phrases(documents: DataFrame, least: int = 10, longest: int = 3, max_w
     found = [first.where("words >= 0")]
     known, all_in = [], {1: complete}
     for length in range(2, longest + 1):
-        proposed, _ = _largest(first.where(F.col("words") == -length), max_phrases)
+        proposed, _ = _largest(first.where(F.col("words") == -length), max_phrases // 8)
         trie = PhraseTrie(words, [*known, proposed], all_in)
         held = spark.sparkContext.broadcast(trie.plain())
         counted = summed(texts.mapInArrow(_count_phrases(held, length), _ROWS_SQL))

@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Slots per edge, rounds of looking for a base, and slots looked at in a round.
-ROOM, ROUNDS, LOOK = 4, 60, 1 << 20
+ROOM, ROUNDS, LOOK = 3, 60, 1 << 18
 _FREE, _TAKEN = -1, -2
 
 
@@ -93,7 +93,7 @@ class DoubleArray:
         """The child of every state by every letter; -1 where there is none, or state or letter is negative."""
         known = (states >= 0) & (codes >= 0)
         slots = self.base[states] + codes
-        out = np.where(known & (self.check[slots] == states), slots, -1)
+        out = np.where(known & (self.check[slots] == states), slots, np.int32(-1))
         if len(self.spilled_keys):
             rest = np.flatnonzero(known & (out < 0))
             keys = states[rest].astype(np.int64) * self.letters + codes[rest]
