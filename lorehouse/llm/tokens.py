@@ -54,12 +54,14 @@ def _alike(texts: pa.Array) -> pa.Array:
     """Texts with the same ids and fewer distinct pieces.
 
     The vocabulary knows no upper case, and a run of ASCII marks between a
-    letter or digit and a blank is a word of its own in any case. Only special
+    small Latin letter or digit and a blank is a word of its own in any case. Of
+    other letters that need not be so: some end in a combining mark once they are
+    normalized or set in small letters, and that joins the marks. Only special
     tokens, which stand in angle and upright bars, are sensitive to case.
     """
     if pc.any(pc.match_substring(texts, "<|")).as_py():
         return texts
-    return pc.replace_substring_regex(pc.ascii_lower(texts), r"([\pL\pN])([!-/:-@\[-`{-~]+)(\s|$)", r"\1 \2\3")
+    return pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z0-9ß-öø-ÿ])([!-/:-@\[-`{-~]+)(\s|$)", r"\1 \2\3")
 
 
 class PieceEncoder:

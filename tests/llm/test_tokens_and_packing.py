@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 
 from lorehouse.llm import packing, tokens
 
@@ -17,7 +18,7 @@ def encode():
     return lambda text: np.array([*made.tokenizer.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
 
 
-ODD = ["", None, "a b  c\t\n<|endoftext|> it's\x1cok x␞ ␞ ́x", "ΣΑΣ Σ ΑΣ İx 한국어 don't 12a b c", "יִ a\x0b\x0c\r b", "A.B., c,d. e. . ,", "x" * 5000, "Ｅ１ ｆ．"]
+ODD = ["", None, "a b  c\t\n<|endoftext|> it's\x1cok x␞ ␞ ́x", "ΣΑΣ Σ ΑΣ İx 한국어 don't 12a b c", "יִ a\x0b\x0c\r b", "A.B., c,d. e. . ,", "x" * 5000, "Ｅ１ ｆ．", "TARİHİ. x", "क़. x \u05d9\u05b4, y", "é. É! ß? I\u0307. Σ, ΑΣ."]
 
 
 def test_pieces_give_the_ids_of_whole_texts(encode):
@@ -28,6 +29,19 @@ def test_pieces_give_the_ids_of_whole_texts(encode):
             assert ids[a:b].tolist() == encode(text).tolist(), repr(text)[:40]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_random_texts(encode, seed):
+    rng = random.Random(seed)
+    high = [chr(c) for c in range(0x80, 0x3000) if regex.match(r"[\p{L}\p{N}\p{M}\p{Zs}]", chr(c))]
+    some = []
+    for _ in range(1500):
+        pool = rng.choice(["abAB 1'st", "İIıi\u0307 Σσς", "क़ड़ \ufb1dا", "éÉßẞœ ½²"]) + "".join(rng.sample(high, 3))
+        some.append("".join(rng.choice(pool) + rng.choice(["", "", "", ".", ", ", "! ", " ", "\n", ".) "]) for _ in range(rng.randint(1, 30))))
+    ids, places = tokens.PieceEncoder()(pa.array(some))
+    for text, a, b in zip(some, places[:-1], places[1:], strict=True):
+        assert ids[a:b].tolist() == encode(text).tolist(), repr(text)
+
+
 def order(row):
     return (row[0] is not None, row[0] or 0, row[1] or "")
 
