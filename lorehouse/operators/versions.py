@@ -87,11 +87,24 @@ def terminal_time(status: Column, as_of: Column) -> Column:
     return F.when(status.isin(*fixed.TERMINAL_STATUSES), as_of)
 
 
-def apply_documents(current: DataFrame, planned: DataFrame, as_of: Column) -> DataFrame:
+def number_created(planned: DataFrame, top: int | Column) -> DataFrame:
+    """Ids for the new documents of a planned load, from ``top`` + 1 on in the order of their paths.
+
+    Only the paths are sorted and numbered; the texts stay where they are.
+    """
+    paths = planned.filter(F.col("action") == "created").select("source_path")
+    ids = dense_ids(paths, ["source_path"], "_new_id", start=top + 1)
+    return planned.join(ids, "source_path", "left").withColumn("id", F.coalesce("id", "_new_id")).drop("_new_id")
+
+
+def apply_documents(
+    current: DataFrame, planned: DataFrame, as_of: Column, numbered: bool = False
+) -> DataFrame:
     """New document table after a planned load with its extraction results.
 
     ``planned``: ``plan_ingest`` output with doc_type, attributes,
-    extraction_status, extraction_model and ingest_session_id.
+    extraction_status, extraction_model and ingest_session_id; ``numbered``: it
+    has gone through ``number_created`` already.
     """
     changed = planned.filter(F.col("action") != "unchanged")
     fresh = changed.select(
@@ -123,9 +136,9 @@ def apply_documents(current: DataFrame, planned: DataFrame, as_of: Column) -> Da
         F.coalesce(new["ingest_session_id"], "ingest_session_id").alias("ingest_session_id"),
         F.when(hit, terminal_time(status, as_of)).otherwise(F.col("extracted_at")).alias("extracted_at"),
     )
-    top = current.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    created = changed.filter(F.col("action") == "created").drop("id")
-    created = dense_ids(created, ["source_path"], "id", start=top + 1).select(
+    if not numbered:
+        changed = number_created(changed, current.agg(F.coalesce(F.max("id"), F.lit(0))).scalar())
+    created = changed.filter(F.col("action") == "created").select(
         "id",
         "source_path",
         "source_kind",
@@ -152,11 +165,12 @@ def replace_chunks(current: DataFrame, changed: DataFrame, fresh: DataFrame) ->
 # --- entities, mentions, relations, links --------------------------------------------
 
 
-def upsert_entities(current: DataFrame, named: DataFrame) -> DataFrame:
+def upsert_entities(current: DataFrame, named: DataFrame, top: int | None = None) -> DataFrame:
     """Entities after new mentions: known ones take the latest spelling, new ones get ids.
 
     ``current``: id, entity_type, name, canonical, attributes. ``named``:
-    entity_type, name, seq (order of processing).
+    entity_type, name, seq (order of processing). ``top``: the largest id in use,
+    where ``current`` is a part of the table only.
     """
     latest = (
         named.withColumn("canonical", canonical_name(F.col("name")))
@@ -167,8 +181,8 @@ def upsert_entities(current: DataFrame, named: DataFrame) -> DataFrame:
     kept = current.join(latest, keys, "left").select(
         "id", "entity_type", F.coalesce("_latest", "name").alias("name"), "canonical", "attributes"
     )
-    top = current.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    new = dense_ids(latest.join(current, keys, "left_anti"), keys, "id", start=top + 1)
+    start = current.agg(F.coalesce(F.max("id"), F.lit(0))).scalar() if top is None else top
+    new = dense_ids(latest.join(current, keys, "left_anti"), keys, "id", start=start + 1)
     return kept.unionByName(
         new.select("id", "entity_type", F.col("_latest").alias("name"), "canonical", F.lit("{}").alias("attributes"))
     )

@@ -52,6 +52,7 @@ def _load() -> None:
     from lorehouse.plans import (  # noqa: F401
         graph_queries,
         ingest_queries,
+        knowledge_queries,
         report_queries,
         search_queries,
         stream_queries,
