@@ -129,19 +129,24 @@ def _positive_terms(atoms: Column) -> Column:
     )
 
 
-def _verified(clauses: DataFrame, tokens: DataFrame) -> DataFrame:
+def needed_keys(clauses: DataFrame) -> DataFrame:
+    """``(query_id, clause, key)``: the words of a clause; one of exclusions only starts from every chunk."""
     keys = F.array_distinct(_positive_terms(F.col("atoms")))
-    needs = clauses.select(
-        "query_id",
-        "clause",
-        # a clause of exclusions only starts from every chunk
-        F.explode(F.when(F.size(keys) > 0, keys).otherwise(F.array(F.lit(EVERYTHING)))).alias("key"),
-    )
+    start = F.when(F.size(keys) > 0, keys).otherwise(F.array(F.lit(EVERYTHING)))
+    return clauses.select("query_id", "clause", F.explode(start).alias("key"))
+
+
+def _verified(clauses: DataFrame, tokens: DataFrame) -> DataFrame:
+    needs = needed_keys(clauses)
     # written, so that few candidates are broadcast to the token table instead of shuffling it
     found = cut_lineage(candidates(needs, postings(tokens), ["query_id", "clause"]), "candidates")
+    return holding(found.withColumnRenamed("item", "chunk_id"), clauses, tokens)
+
+
+def holding(found: DataFrame, clauses: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The candidates ``(query_id, clause, chunk_id)`` whose own tokens satisfy the clause, with these."""
     return (
-        found.withColumnRenamed("item", "chunk_id")
-        .join(tokens.select("chunk_id", "tokens"), "chunk_id")
+        found.join(tokens.select("chunk_id", "tokens"), "chunk_id")
         .join(clauses, ["query_id", "clause"])
         .filter(_clause_holds(F.col("tokens"), F.col("atoms")))
     )
@@ -209,18 +214,9 @@ def _cover_score(entries: Column, ids: Column, clauses: Column) -> Column:
     return F.aggregate(entries, zero, step, lambda s: s["score"])
 
 
-def lexical_top_k(
-    queries: DataFrame,
-    tokens: DataFrame,
-    k: int = fixed.CANDIDATES_PER_LIST,
-    analyzer: Analyzer | None = None,
-) -> DataFrame:
-    """``(query_id, chunk_id, score, rank)`` of the best matches by cover density.
-
-    ``queries``: query_id, query. Equal scores go by chunk id.
-    """
-    clauses = cut_lineage(parse_queries(queries, analyzer), "clauses")
-    shape = (
+def clause_shapes(clauses: DataFrame) -> DataFrame:
+    """``(query_id, query_terms, clauses)``: the words that count for a score, and each clause as indexes into them."""
+    return (
         clauses.withColumn("_terms", F.array_distinct(_positive_terms(F.col("atoms"))))
         .groupBy("query_id")
         .agg(F.collect_list("_terms").alias("_clauses"))
@@ -234,13 +230,31 @@ def lexical_top_k(
         )
         .select("query_id", "query_terms", "clauses")
     )
+
+
+def scored_matches(verified: DataFrame, clauses: DataFrame) -> DataFrame:
+    """``(query_id, chunk_id, score)`` of verified candidates; a chunk that holds several clauses gives one row."""
     score = F.round(cover_density(F.col("tokens"), F.col("query_terms"), F.col("clauses")), 9)
-    # scored where the tokens are; a chunk that holds several clauses is dropped to one row after
-    scored = (
-        _verified(clauses, tokens)
-        .join(shape, "query_id")
-        .select("query_id", "chunk_id", score.alias("score"))
-        .distinct()
-    )
+    # scored where the tokens are
+    scored = verified.join(clause_shapes(clauses), "query_id")
+    return scored.select("query_id", "chunk_id", score.alias("score")).distinct()
+
+
+def ranked(scored: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` chunks of each query; equal scores go by chunk id."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def lexical_top_k(
+    queries: DataFrame,
+    tokens: DataFrame,
+    k: int = fixed.CANDIDATES_PER_LIST,
+    analyzer: Analyzer | None = None,
+) -> DataFrame:
+    """``(query_id, chunk_id, score, rank)`` of the best matches by cover density.
+
+    ``queries``: query_id, query. Equal scores go by chunk id.
+    """
+    clauses = cut_lineage(parse_queries(queries, analyzer), "clauses")
+    return ranked(scored_matches(_verified(clauses, tokens), clauses), k)

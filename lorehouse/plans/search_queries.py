@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 from lorehouse.functions.embedding import embed, truncate_and_renormalize
 from lorehouse.operators import lexical as L
 from lorehouse.operators import vector_search as V
+from lorehouse.operators.block_postings import top_k_by_blocks, write_blocks
 from lorehouse.operators.filters import filter_documents
 from lorehouse.operators.hybrid import fused_top, search_chunks
 from lorehouse.operators.topics import assign_topics, close_to_facts
 from lorehouse.plans.catalog import query
 from lorehouse.plans.prelude import PRELUDE
 from lorehouse.plans.views import Tables
-from lorehouse.session import cut_lineage
+from lorehouse.session import cut_lineage, fresh_path
 
 DIM = 256
 
@@ -128,6 +129,60 @@ def lexical_top_k(t: Tables) -> DataFrame:
     return L.lexical_top_k(t.questions(), token_index(t)).withColumn("score", F.round("score", 6))
 
 
+@query(PRELUDE + "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM base_lexical_top")
+def lexical_top_k_by_blocks(t: Tables) -> DataFrame:
+    tokens = token_index(t)
+    blocks = write_blocks(tokens, fresh_path(t.spark, "blocks"))
+    return top_k_by_blocks(t.questions(), blocks, tokens)[0].withColumn("score", F.round("score", 6))
+
+
+#: Frequent words alone, in pairs, and a choice of two: what an early stop is for.
+_FREQUENT = """, frequent AS (
+  SELECT term, row_number() OVER (ORDER BY count(*) DESC, term) AS place FROM base_tokens WHERE length(term) > 1 GROUP BY term QUALIFY place <= 12
+), asked AS (
+  SELECT place AS query_id, [[term]] AS clauses FROM frequent
+  UNION ALL SELECT 100 + a.place, [[a.term, b.term]] FROM frequent a JOIN frequent b ON b.place = a.place + 1
+  UNION ALL SELECT 200 + a.place, [[a.term], [b.term]] FROM frequent a JOIN frequent b ON b.place = a.place + 1
+), words AS (
+  SELECT DISTINCT query_id, unnest(flatten(clauses)) AS term FROM asked
+), entries AS (
+  SELECT query_id, chunk_id, term, position, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY position) AS ord
+  FROM words JOIN base_tokens USING (term)
+), lasts AS (
+  SELECT e.query_id, e.chunk_id, e.ord, e.position, w.term, max(CASE WHEN e.term = w.term THEN e.ord END)
+    OVER (PARTITION BY e.query_id, e.chunk_id, w.term ORDER BY e.ord) AS last_ord
+  FROM entries e JOIN words w USING (query_id)
+), ends AS (
+  SELECT query_id, chunk_id, ord, any_value(position) AS stop_at,
+    CASE WHEN query_id < 200 THEN CASE WHEN count(*) = count(last_ord) THEN min(last_ord) END ELSE max(last_ord) END AS start_ord
+  FROM lasts GROUP BY 1, 2, 3
+), covers AS (
+  SELECT query_id, chunk_id, start_ord, min(ord) AS stop_ord, min(stop_at) AS stop_at FROM ends WHERE start_ord IS NOT NULL GROUP BY 1, 2, 3
+), scored AS (
+  SELECT c.query_id, c.chunk_id, round(sum(0.1 / (1 + (c.stop_at - s.position) - (c.stop_ord - c.start_ord))), 9) AS score
+  FROM covers c JOIN entries s ON s.query_id = c.query_id AND s.chunk_id = c.chunk_id AND s.ord = c.start_ord GROUP BY 1, 2)
+"""
+
+
+def frequent_queries(tokens: DataFrame) -> DataFrame:
+    """(query_id, query) of the twelve most frequent words longer than a letter."""
+    counts = L.positions(tokens).filter(F.length("term") > 1).groupBy("term").count()
+    rows = [r["term"] for r in counts.orderBy(F.desc("count"), "term").limit(12).collect()]
+    pairs = list(enumerate(zip(rows, rows[1:], strict=False), 1))
+    asked = list(enumerate(rows, 1)) + [(100 + n, f"{a} {b}") for n, (a, b) in pairs] + [(200 + n, f"{a} or {b}") for n, (a, b) in pairs]
+    return tokens.sparkSession.createDataFrame(asked, "query_id bigint, query string")
+
+
+@query(
+    PRELUDE + _FREQUENT + """SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
+  FROM scored QUALIFY rank <= 20"""
+)
+def frequent_top_k_by_blocks(t: Tables) -> DataFrame:
+    tokens = token_index(t)
+    blocks = write_blocks(tokens, fresh_path(t.spark, "blocks"))
+    return top_k_by_blocks(frequent_queries(tokens), blocks, tokens)[0].withColumn("score", F.round("score", 6))
+
+
 @query(PRELUDE + "SELECT query_id, chunk_id AS item_id, round(score, 6) AS score, rank FROM base_vector_top")
 def vector_candidates(t: Tables) -> DataFrame:
     chunks = embed(t.chunks(), "content", dim=DIM).select(F.col("chunk_id").alias("item_id"), "embedding")
