@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from lorehouse import fixed_values as fixed
 from lorehouse.functions.embedding import embed
+from lorehouse.operators.block_postings import top_k_by_blocks
+from lorehouse.operators.cell_index import CellIndex, search_cells
 from lorehouse.operators.lexical import Analyzer, lexical_top_k
 from lorehouse.operators.vector_search import cosine_top_k
 from lorehouse.session import cut_lineage
@@ -60,9 +62,14 @@ def search_chunks(
     candidates: int = fixed.CANDIDATES_PER_LIST,
     dim: int = fixed.EMBED_DIM,
     analyzer: Analyzer | None = None,
+    vectors: CellIndex | None = None,
+    blocks: DataFrame | None = None,
 ) -> DataFrame:
     """Answer a table of questions: document_id, document, score, fragment per place.
 
+    With the stored indexes of the same chunks, ``vectors`` (approximate) and
+    ``blocks`` (exact), neither search reads all chunks.
+
     ``queries``: query_id, query. ``chunks``: chunk_id, document_id, content,
     embedding and tokens, as stored. ``documents``: id, title. ``within``:
     filtered documents; both lists then only see chunks of these, before any
@@ -72,12 +79,18 @@ def search_chunks(
     if within is not None:
         ids = within.select(F.col("id").alias("document_id"))
         inside = chunks.join(ids, "document_id", "left_semi")
-    vector = cosine_top_k(
-        embed(queries, "query", is_query=True, dim=dim),
-        inside.select(F.col("chunk_id").alias("item_id"), "embedding"),
-        candidates,
-    )
-    lexical = lexical_top_k(queries, inside.select("chunk_id", "tokens"), candidates, analyzer)
+    asked = embed(queries, "query", is_query=True, dim=dim)
+    items = F.col("chunk_id").alias("item_id")
+    if vectors is None:
+        vector = cosine_top_k(asked, inside.select(items, "embedding"), candidates)
+    else:
+        filtered = None if within is None else inside.select(items)
+        vector = search_cells(asked, vectors, chunks.select(items, "embedding"), candidates, within=filtered)
+    if blocks is None:
+        lexical = lexical_top_k(queries, inside.select("chunk_id", "tokens"), candidates, analyzer)
+    else:
+        filtered = None if within is None else inside.select("chunk_id")
+        lexical = top_k_by_blocks(queries, blocks, chunks.select("chunk_id", "tokens"), candidates, analyzer, filtered)[0]
     # a few rows per query: with their true size they are broadcast to the large tables
     best = cut_lineage(fused_top(vector, lexical, limit), "best")
     fragments = chunks.select("chunk_id", "document_id", F.col("content").alias("fragment"))

@@ -7,6 +7,7 @@ from lorehouse.functions.embedding import embed, truncate_and_renormalize
 from lorehouse.operators import lexical as L
 from lorehouse.operators import vector_search as V
 from lorehouse.operators.block_postings import top_k_by_blocks, write_blocks
+from lorehouse.operators.cell_index import search_cells, write_index
 from lorehouse.operators.filters import filter_documents
 from lorehouse.operators.hybrid import fused_top, search_chunks
 from lorehouse.operators.topics import assign_topics, close_to_facts
@@ -89,6 +90,35 @@ def approximate_top_k(t: Tables) -> DataFrame:
     return V.lsh_top_k(queries, items, 10, bits=6, tables=8)
 
 
+@query(
+    """SELECT mode, count(*) AS queries, true AS enough FROM embeddings, (SELECT unnest(['all', 'within']) AS mode) GROUP BY mode"""
+)
+def cell_index_recall(t: Tables) -> DataFrame:
+    """Whether the stored index finds nine of ten of the exact neighbours, without a filter and within one."""
+    e = t.raw("embeddings")
+    queries = e.select(F.col("vec_id").alias("query_id"), "embedding")
+    items = e.select(F.col("vec_id").alias("item_id"), "embedding")
+    index = write_index(items, fresh_path(t.spark, "cells"))
+    few = items.filter(F.col("item_id") % 5 == 0)
+    out = None
+    for mode, pool, within in (("all", items, None), ("within", few, few)):
+        found = search_cells(queries, index, items, 10, within=within)
+        share = V.recall_against(found, V.cosine_top_k(queries, pool, 10))
+        asked = queries.agg(F.count(F.lit(1)).alias("queries"))
+        row = share.crossJoin(asked).select(F.lit(mode).alias("mode"), "queries", (F.col("recall") >= 0.9).alias("enough"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(PRELUDE + "SELECT query_id, place, score FROM base_found")
+def hybrid_search_stored(t: Tables) -> DataFrame:
+    """Search through both stored indexes; as many cells as there are make the approximate one exact."""
+    chunks = embedded_chunks(t)
+    vectors = write_index(chunks.select(F.col("chunk_id").alias("item_id"), "embedding"), fresh_path(t.spark, "cells"), cells=8)
+    blocks = write_blocks(chunks.select("chunk_id", "tokens"), fresh_path(t.spark, "blocks"))
+    return search_chunks(t.questions(), chunks, t.documents(), dim=DIM, vectors=vectors, blocks=blocks).select("query_id", "place", "score")
+
+
 @query("SELECT len(embedding) AS stored_dim, count(*) AS n, len(embedding) = 64 AS matches FROM embeddings GROUP BY 1")
 def dimension_report(t: Tables) -> DataFrame:
     return V.dimension_report(V.require_dimension(t.raw("embeddings"), 64), 64)
