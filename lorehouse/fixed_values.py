@@ -87,3 +87,24 @@ BLOCKED_IPV4 = (
     "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4",
 )
 ALLOWED_IPV4 = ("192.0.0.9/32", "192.0.0.10/32")
+
+# The Russian Snowball stemmer's vowels and endings (longest first within a
+# search; those "after a" must follow а or я), and its stop words.
+RUSSIAN_VOWELS = "аеиоуыэюя"
+RUSSIAN_GERUNDS_AFTER_A = "в вши вшись"
+RUSSIAN_GERUNDS = "ив ивши ившись ыв ывши ывшись"
+RUSSIAN_REFLEXIVES = "ся сь"
+RUSSIAN_ADJECTIVES = "ее ие ые ое ими ыми ей ий ый ой ем им ым ом его ого ему ому их ых ую юю ая яя ою ею"
+RUSSIAN_PARTICIPLES_AFTER_A = "ем нн вш ющ щ"
+RUSSIAN_PARTICIPLES = "ивш ывш ующ"
+RUSSIAN_VERBS_AFTER_A = "ла на ете йте ли й л ем н ло но ет ют ны ть ешь нно"
+RUSSIAN_VERBS = "ила ыла ена ейте уйте ите или ыли ей уй ил ыл им ым ен ило ыло ено ят ует уют ит ыт ены ить ыть ишь ую ю"
+RUSSIAN_NOUNS = "а ев ов ие ье е иями ями ами еи ии и ией ей ой ий й иям ям ием ем ам ом о у ах иях ях ы ь ию ью ю ия ья я"
+RUSSIAN_STOP_WORDS = (
+    "и в во не что он на я с со как а то все она так его но да ты к у же вы за бы по только ее мне было вот от меня еще нет о из "
+    "ему теперь когда даже ну вдруг ли если уже или ни быть был него до вас нибудь опять уж вам ведь там потом себя ничего ей может "
+    "они тут где есть надо ней для мы тебя их чем была сам чтоб без будто чего раз тоже себе под будет ж тогда кто этот того потому "
+    "этого какой совсем ним здесь этом один почти мой тем чтобы нее сейчас были куда зачем всех никогда можно при наконец два об "
+    "другой хоть после над больше тот через эти нас про всего них какая много разве три эту моя впрочем хорошо свою этой перед "
+    "иногда лучше чуть том нельзя такой им более всегда конечно всю между"
+)

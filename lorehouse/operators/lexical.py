@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lorehouse import fixed_values as fixed
+from lorehouse.functions.stemming import russian_stem
 from lorehouse.functions.text import SPACE, let, terms
 from lorehouse.operators.rare_key import EVERYTHING, candidates
 from lorehouse.session import cut_lineage
@@ -37,6 +38,11 @@ def plain_words(stop_words: Sequence[str] = (), stem: Analyzer | None = None) ->
     return analyze
 
 
+def russian_words() -> Analyzer:
+    """Analyzer for Russian texts: stop words keep their positions, other words become stems."""
+    return plain_words(fixed.RUSSIAN_STOP_WORDS.split(), russian_stem)
+
+
 def with_tokens(
     chunks: DataFrame, analyzer: Analyzer | None = None, content: str = "content"
 ) -> DataFrame:

@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorehouse import fixed_values as fixed
+from lorehouse.functions import stemming as S
 from lorehouse.functions.embedding import embed, truncate_and_renormalize
 from lorehouse.operators import lexical as L
 from lorehouse.operators import vector_search as V
@@ -149,6 +151,42 @@ def websearch_match(t: Tables) -> DataFrame:
     return L.match(t.composed_queries(), token_index(t))
 
 
+_LATIN, _CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абсдефгхийклмнопярштювыьущ"
+
+
+def _cut_sql(value: str, rule: str) -> str:
+    return f"regexp_replace({value}, '{rule}', '\\1')"
+
+
+def _step_sql(name: str, source: str, columns: str) -> str:
+    return f", {name} AS (SELECT *, {columns} FROM {source})"
+
+
+_STEMS = (
+    f", words AS (SELECT w, count(*) AS n FROM (SELECT translate(term, '{_LATIN}', '{_CYRILLIC}') AS w FROM base_tokens) GROUP BY 1)"
+    + _step_sql("heads", "words", f"regexp_extract(replace(w, 'ё', 'е'), '{S.HEAD}') AS h, length(regexp_extract(replace(w, 'ё', 'е'), '{S.SECOND}')) AS second")
+    + _step_sql("rests", "heads", "substr(replace(w, 'ё', 'е'), length(h) + 1) AS rest")
+    + _step_sql("gerunds", "rests", f"{_cut_sql('rest', S.GERUND)} AS g, {_cut_sql('rest', S.REFLEXIVE)} AS r")
+    + _step_sql("cuts", "gerunds", f"{_cut_sql('r', S.ADJECTIVAL)} AS a, {_cut_sql('r', S.VERB)} AS v, {_cut_sql('r', S.NOUN)} AS o")
+    + _step_sql("flexed", "cuts", _cut_sql("CASE WHEN g <> rest THEN g WHEN a <> r THEN a WHEN v <> r THEN v ELSE o END", S.LAST_I) + " AS x")
+    + _step_sql("derived", "flexed", f"CASE WHEN second > 0 AND length(h) + length({_cut_sql('x', S.DERIVATIONAL)}) >= second THEN {_cut_sql('x', S.DERIVATIONAL)} ELSE x END AS y")
+    + _step_sql("tidied", "derived", f"CASE WHEN {_cut_sql('y', S.DOUBLE_N)} <> y THEN {_cut_sql('y', S.DOUBLE_N)} WHEN {_cut_sql('y', S.SUPERLATIVE)} <> y"
+      f" THEN {_cut_sql(_cut_sql('y', S.SUPERLATIVE), S.DOUBLE_N)} ELSE {_cut_sql('y', S.SOFT_SIGN)} END AS z")
+)
+
+
+@query(
+    PRELUDE + _STEMS + f"""SELECT CASE WHEN h = '' THEN replace(w, 'ё', 'е') ELSE h || z END AS stem, CAST(sum(n) AS BIGINT) AS n FROM tidied
+  WHERE w NOT IN ({", ".join(f"'{w}'" for w in fixed.RUSSIAN_STOP_WORDS.split())}) GROUP BY 1"""
+)
+def analyzed_index(t: Tables) -> DataFrame:
+    """The index with Russian stop words and stems, over the chunks in Cyrillic letters."""
+    chunks = t.chunks().withColumn("content", F.translate(F.lower("content"), _LATIN, _CYRILLIC))
+    terms = L.positions(L.token_table(chunks, L.russian_words()))
+    counted = terms.groupBy("chunk_id", "term").count()
+    return counted.groupBy(F.col("term").alias("stem")).agg(F.sum("count").alias("n"))
+
+
 @query(PRELUDE + "SELECT query_id, chunk_id FROM base_and_matches")
 def passage_match(t: Tables) -> DataFrame:
     return L.match(t.questions(), token_index(t))
