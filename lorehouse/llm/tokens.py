@@ -118,6 +118,8 @@ class PieceEncoder:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (32 bits, each text with its end id) and the n + 1 places at which the texts begin and end."""
+        if texts.offset:  # Arrow's ascii_lower reads past the end of large strings that begin within a buffer
+            texts = pa.concat_arrays([texts, texts.slice(0, 0)])
         lists = pc.ascii_split_whitespace(_alike(texts.fill_null("").cast(pa.large_string())))
         numbered = lists.flatten().dictionary_encode()
         pieces = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()

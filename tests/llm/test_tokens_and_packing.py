@@ -42,6 +42,15 @@ def test_random_texts(encode, seed):
         assert ids[a:b].tolist() == encode(text).tolist(), repr(text)
 
 
+def test_parts_of_a_batch(encode):
+    made = tokens.PieceEncoder()
+    some = pa.array([f"Text {n} É. " * (n % 7) for n in range(400)])
+    for at in (0, 3, 100, 399):
+        ids, places = made(some.slice(at, 150))
+        want = [encode(t).tolist() for t in some.slice(at, 150).to_pylist()]
+        assert [ids[a:b].tolist() for a, b in zip(places[:-1], places[1:], strict=True)] == want
+
+
 def order(row):
     return (row[0] is not None, row[0] or 0, row[1] or "")
 
