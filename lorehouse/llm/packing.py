@@ -64,36 +64,42 @@ def cut_places(ids: np.ndarray, ends: np.ndarray, marks: np.ndarray, grain: int
 def best_cuts(places: np.ndarray, penalties: np.ndarray, length: int = LENGTH) -> list[int]:
     """The cut places of the cheapest packing, from the first to the last."""
     n = len(places)
-    direct: dict[int, list[int]] = {}
+    # sequences that need no padding though they are short: pairs (end, start) in the order of their ends
+    ends, starts = [], []
     size = 64
-    while size <= length:
+    while size < length:
         at = np.searchsorted(places, places - size)
-        for j in np.flatnonzero((at < n) & (places[np.minimum(at, n - 1)] == places - size)).tolist():
-            direct.setdefault(j, []).append(int(at[j]))
+        hit = np.flatnonzero(places[at] == places - size)
+        ends.append(hit)
+        starts.append(at[hit])
         size *= 2
-    c, p = places.tolist(), (penalties + CHARGE).tolist()
+    ends, starts = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (ends, starts))
+    order = np.argsort(ends, kind="stable")
+    short_end, short_start = [*ends[order].tolist(), n], [*starts[order].tolist(), 0]
+    c = places.tolist()
+    oldest = np.searchsorted(places, places - length).tolist()
     cost, came = [0.0] * n, [0] * n
-    values, holders = [float(c[0])], [0]  # the queue: ascending values of cost + place, from ``head`` on
-    head = 0
-    for j in range(1, n):
-        here = c[j]
-        oldest = here - length
-        while c[holders[head]] < oldest:
+    values, holders = [0.0] * n, [0] * n  # the queue: ascending values of cost + place, from ``head`` to ``tail``
+    values[0] = float(c[0])
+    head = tail = at = 0
+    for j, first, here, charge in zip(range(1, n), oldest[1:], c[1:], (penalties[1:] + CHARGE).tolist(), strict=True):
+        while holders[head] < first:
             head += 1
         i = holders[head]
         best = values[head] + length - here
-        if j in direct:
-            for k in direct[j]:
-                if cost[k] < best:
-                    best, i = cost[k], k
-        cost[j] = best = best + p[j]
+        while short_end[at] == j:
+            k = short_start[at]
+            if cost[k] < best:
+                best, i = cost[k], k
+            at += 1
+        cost[j] = best = best + charge
         came[j] = i
         best += here
-        while len(values) > head and values[-1] >= best:
-            values.pop()
-            holders.pop()
-        values.append(best)
-        holders.append(j)
+        while tail >= head and values[tail] >= best:
+            tail -= 1
+        tail += 1
+        values[tail] = best
+        holders[tail] = j
     cuts, j = [c[-1]], n - 1
     while j:
         j = came[j]
