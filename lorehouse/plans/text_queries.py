@@ -424,3 +424,44 @@ def chunk_by_type(t: Tables) -> DataFrame:
 @query(PRELUDE + "SELECT document_id, chunk_index, content FROM base_chunks")
 def chunk_plain_text(t: Tables) -> DataFrame:
     return t.chunks().select("document_id", "chunk_index", "content")
+
+
+# --- files ------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, 'file' AS source_kind, sha256(coalesce(text, '') || chr(10)) AS content_hash FROM documents")
+def text_files(t: Tables) -> DataFrame:
+    """Every document as a text file of its own, read back; a written line ends with a line feed."""
+    path = fresh_path(t.spark, "files")
+    t.raw("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("value")).write.partitionBy("doc_id").text(path)
+    doc_id = F.regexp_extract("source_path", "doc_id=([0-9]+)", 1).cast("bigint")
+    return R.read_text_documents(t.spark, path).select(doc_id.alias("doc_id"), "source_kind", F.sha2("text", 256).alias("content_hash"))
+
+
+@query(
+    """SELECT CAST(item_id AS INTEGER) AS n, 'part ' || (item_id % 9) AS section, text AS question,
+  CASE WHEN item_id % 3 > 0 THEN 'answer ' || item_id END AS expected, item_id % 6 = 0 AS out_of_corpus FROM benchmark"""
+)
+def question_files(t: Tables) -> DataFrame:
+    """Benchmark questions in JSON files, read back; a missing answer stays missing."""
+    n, path = F.col("item_id"), fresh_path(t.spark, "questions")
+    row = F.struct(
+        n.alias("n"), F.concat(F.lit("part "), n % 9).alias("section"), F.col("text").alias("question"),
+        F.when(n % 3 > 0, F.concat(F.lit("answer "), n)).alias("expected"), (n % 6 == 0).alias("out_of_corpus"),
+    )
+    t.raw("benchmark").select(n.alias("item"), F.to_json(row).alias("value")).write.partitionBy("item").text(path)
+    return R.read_questions(t.spark, path).drop("item")
+
+
+@query(
+    """SELECT title, doc_type, required FROM (SELECT 'DOC ' || doc_id AS title,
+  CASE WHEN toxic = 1 THEN 'faq' ELSE 'generic' END AS doc_type, CASE WHEN quality = 1 THEN ['owner', 'status'] ELSE [] END AS required FROM labels)"""
+)
+def labelled_files(t: Tables) -> DataFrame:
+    """Labelled sets in JSON files, read back: one set for each label, without required attributes for some."""
+    n, path = F.col("doc_id"), fresh_path(t.spark, "labelled")
+    required = F.when(F.col("quality") == 1, F.array(F.lit("owner"), F.lit("status")))
+    label = F.struct(F.when(F.col("toxic") == 1, "faq").otherwise("generic").alias("doc_type"), required.alias("required"))
+    made = F.struct(F.create_map(F.concat(F.lit("DOC "), n), label).alias("documents"))
+    t.raw("labels").select(n.alias("item"), F.to_json(made).alias("value")).write.partitionBy("item").text(path)
+    return R.read_labelled_set(t.spark, path)[0]

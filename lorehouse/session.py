@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,16 +59,19 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="lorehouse-")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for lineage cuts: the one the cluster names, else (local mode only) a fresh one."""
+    """Folder for lineage cuts: the one the session names, else (local mode only) one of this process."""
     folder = spark.conf.get(CHECKPOINT_SETTING, None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.split("[")[0] == "local":
         raise RuntimeError(f"set {CHECKPOINT_SETTING} to a shared folder")
-    folder = tempfile.mkdtemp(prefix="lorehouse-")
-    spark.conf.set(CHECKPOINT_SETTING, folder)
-    return folder
+    return _local_folder()
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
