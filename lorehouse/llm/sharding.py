@@ -7,6 +7,7 @@ keeps what fits, moves the rest, and writes a new version beside the old ones.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,6 +17,7 @@ from lorehouse.session import cut_lineage, fresh_path
 
 SLOTS = 8192
 ROW_BYTES = 16
+MAP = "version int, virtual_slot bigint, shard int"
 
 
 def virtual_slot(key: Column, text: Column, slots: int = SLOTS) -> Column:
@@ -117,9 +119,47 @@ def place(records: DataFrame, slot_map: DataFrame) -> DataFrame:
     )
 
 
-def shard_documents(documents: DataFrame, shards: int = 40, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
+def stored_map(spark: SparkSession, folder: str) -> DataFrame | None:
+    """All versions of the map in ``folder``, or None where there is none yet."""
+    try:
+        return spark.read.schema(MAP).parquet(folder)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def newest(versions: DataFrame) -> DataFrame:
+    """The map of the highest version."""
+    return versions.join(F.broadcast(versions.agg(F.max("version").alias("version"))), "version")
+
+
+def edit_map(sizes: DataFrame, folder: str, shards: int, slots: int = SLOTS) -> DataFrame:
+    """Append the next version to the map in ``folder`` and give all versions.
+
+    The newest stored version is rebalanced; a folder without a map starts with
+    version 0. A version is one file, there as a whole or not at all. A map of
+    another number of slots is refused, as its slots hold other records.
+    """
+    spark = sizes.sparkSession
+    versions = stored_map(spark, folder)
+    if versions is None:
+        first_map(spark, shards, slots).coalesce(1).write.mode("append").parquet(folder)
+        versions = spark.read.schema(MAP).parquet(folder)
+    now = cut_lineage(newest(versions), "slot-map")
+    if now.count() != slots:
+        raise ValueError(f"the map in {folder} does not have {slots} slots")
+    rebalanced(now, sizes, shards).coalesce(1).write.mode("append").parquet(folder)
+    return spark.read.schema(MAP).parquet(folder)
+
+
+def shard_documents(
+    documents: DataFrame, shards: int = 40, slots: int = SLOTS, map_folder: str | None = None
+) -> tuple[DataFrame, DataFrame]:
     """All documents with shard and place, and the versioned map that put them there.
 
+    ``map_folder`` holds the map of earlier runs, which is edited: slots that still
+    fit stay where they are. Without it a new map is begun in the shared folder.
     Sizes of the shards are near equal (law ``bytes``); a hot slot cannot arise
     from equal texts, as slots go by doc_id. A null text has no bytes; a null
     doc_id goes by its text; repeated rows take places one after the other. An
@@ -128,13 +168,8 @@ def shard_documents(documents: DataFrame, shards: int = 40, slots: int = SLOTS)
     """
     spark = documents.sparkSession
     records = cut_lineage(records_of(documents, slots), "records")
-    start = first_map(spark, shards, slots)
-    path = fresh_path(spark, "slot-map")
-    start.coalesce(1).write.mode("append").parquet(path)
-    rebalanced(start, slot_sizes(records), shards).coalesce(1).write.mode("append").parquet(path)
-    versions = spark.read.schema(start.schema).parquet(path)
-    newest = versions.join(F.broadcast(versions.agg(F.max("version").alias("version"))), "version").select("virtual_slot", "shard")
-    return place(records, newest), versions
+    versions = edit_map(slot_sizes(records), map_folder or fresh_path(spark, "slot-map"), shards, slots)
+    return place(records, newest(versions).select("virtual_slot", "shard")), versions
 
 
 def shard_digest(documents: DataFrame, shards: int = 40) -> DataFrame:

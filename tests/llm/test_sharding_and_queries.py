@@ -45,6 +45,35 @@ def test_the_map_keeps_versions_and_moves_little(spark):
     assert shrunk.count() == 512 and {r.shard for r in shrunk.select("shard").distinct().collect()} == set(range(5))
 
 
+def test_a_stored_map_is_edited(spark, tmp_path):
+    """A second run on grown data, and a third on more shards, start from the map that the run before left."""
+    folder = str(tmp_path / "map")
+
+    def run(n, shards):
+        frame = spark.range(n).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab"), (F.col("id") % 97).cast("int")).alias("text"))
+        placed, versions = sharding.shard_documents(frame, shards, 512, folder)
+        sizes = Counter()
+        for r in placed.collect():
+            sizes[r.shard] += r.size
+        assert len(sizes) == shards and max(sizes.values()) < 1.05 * min(sizes.values())
+        maps = defaultdict(dict)
+        for r in versions.collect():
+            assert r.virtual_slot not in maps[r.version]
+            maps[r.version][r.virtual_slot] = r.shard
+        assert all(len(m) == 512 for m in maps.values())
+        return maps
+
+    first = run(6000, 8)
+    second = run(9000, 8)
+    third = run(9000, 9)
+    assert sorted(first) == [0, 1] and sorted(second) == [0, 1, 2] and sorted(third) == [0, 1, 2, 3]
+    assert third[1] == second[1] == first[1] and third[2] == second[2]
+    moved = [sum(third[v][s] != third[v + 1][s] for s in range(512)) for v in range(3)]
+    assert moved[1] < 512 / 4 and moved[2] < 512 / 4
+    with pytest.raises(ValueError):
+        sharding.shard_documents(spark.range(5).select(F.col("id").alias("doc_id"), F.lit("a").alias("text")), 8, 256, folder)
+
+
 @pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables")
 def test_every_query_has_a_row_for_each_input(spark):
     documents, pages = (spark.read.parquet(f"{FOLDER}/{t}.parquet").count() for t in ("documents", "pages"))
