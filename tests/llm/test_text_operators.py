@@ -203,6 +203,44 @@ def test_main_text(pages):
     assert main_text.extract_main_text(pages.limit(0)).count() == 0
 
 
+LONG = "A long paragraph, with commas, of plain text that says enough, and a little more, to be the article of its page."
+SHORT = "A short closing section."
+LINKS = "".join(f"<a href=/{k}>Other story {k}</a> " for k in range(8))
+LAYOUTS = [
+    # class words that mean something else, inside an article
+    (f"<article><p>{LONG}</p><div class='social science'><p>{SHORT}</p></div></article>", [LONG, SHORT]),
+    (f"<article><p>{LONG}</p><p class='alert-free share-price'>{SHORT}</p></article>", [LONG, SHORT]),
+    (f"<article><p>{LONG}</p><section class='menu-of-the-day'><p>{SHORT}</p></section></article>", [LONG, SHORT]),
+    (f"<main><p>{LONG}</p><div id='related-work'><p>{SHORT}</p></div></main>", [LONG, SHORT]),
+    (f"<article class='promo hidden-gem'><p>{LONG}</p></article>", [LONG]),
+    (f"<article><div class='notice-board history'>{LONG}</div></article>", [LONG]),
+    (f"<article><p>{LONG}</p><div class='navigation-at-sea'><p>{SHORT}</p></div></article>", [LONG, SHORT]),
+    # ... or do not
+    (f"<article><p>{LONG}</p><div class='share-buttons'>Tell a friend about it</div></article>", [LONG]),
+    (f"<article><p>{LONG}</p><div class='cookie-banner fixed-bottom dark'>We use cookies, all of them.</div></article>", [LONG]),
+    (f"<article><p>{LONG}</p><div class=notice>This site is closing.</div></article>", [LONG]),
+    (f"<article><p>{LONG}</p><div class='related-reading'>{LINKS}</div></article>", [LONG]),
+    (f"<article><p>{LONG}</p></article><section id=comments><div class='comment byuser odd'><p>{LONG}</p></div></section>", [LONG]),
+    (f"<article><p>{LONG}</p><div class='adSlot'>Buy, now.</div></article>", [LONG]),
+    (f"<body><div class='site-header'>A name, and a claim</div><div><p>{LONG}</p></div><div class='pageFooter'>Someone, 2020</div></body>", [LONG]),
+    # text without article or main
+    (f"<div id=wrap><div class=section><p>{LONG}</p></div><div class=section><p>{SHORT}</p></div></div>", [LONG, SHORT]),
+    (f"<div id=wrap><div><div><p>{LONG}</p></div></div><div><p>{SHORT}</p></div></div>", [LONG, SHORT]),
+    (f"<div><h1>Head</h1><div><p>{LONG}</p></div></div>", ["Head", LONG]),
+    (f"<div><div><p>{LONG}</p></div><div>{LINKS}</div></div>", [LONG]),
+    (f"<div><div class=sidebar><p>{SHORT}</p></div><div><p>{LONG}</p><p>{SHORT}</p></div></div>", [LONG, SHORT]),
+    (f"<div><div class='widget clever'>{SHORT}</div><div><p>{LONG}</p></div></div>", [LONG]),
+    (f"<div><div class='social science'><p>{LONG}</p><p>{LONG}</p></div></div>", [LONG, LONG]),
+    (f"<table><tr><td>{LINKS}</td><td><p>{LONG}</p><p>{SHORT}</p></td></tr></table>", [LONG, SHORT]),
+    (f"<div><h2 class='section-header'>Part</h2><p>{LONG}</p></div>", ["Part", LONG]),
+]
+
+
+@pytest.mark.parametrize("html,want", LAYOUTS)
+def test_layouts(html, want):
+    assert main_text.main_text(f"<html><body>{html}</body></html>").split("\n") == want
+
+
 def test_warc_derivatives(pages, spark):
     responses = warc.responses_of(pages)
     folder = warc.write_warc(responses, file_bytes=2000)
