@@ -4,7 +4,8 @@ Centroids are trained by k-means on a bounded sample; their number grows with th
 square root of the rows. Every vector is stored in the cell of its nearest centroid as
 the difference to it, one signed byte a dimension and a scale. A query looks into its
 nearest cells until these hold enough vectors that pass the filter, so a narrow filter
-widens the search instead of emptying it. Codes give the best ``RESCORE`` * k items of a
+widens the search instead of emptying it. How many cells that takes depends on the vectors
+and the filter: it is measured on the exact neighbours of some of the queries. Codes give the best ``RESCORE`` * k items of a
 query, whose own vectors then give exact scores.
 """
 
@@ -23,13 +24,15 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lorehouse.functions.embedding import to_matrix, unit_rows
-from lorehouse.operators.vector_search import PAIRS_AT_ONCE, SCORE_DIGITS
+from lorehouse.operators.vector_search import PAIRS_AT_ONCE, SCORE_DIGITS, cosine_top_k
 from lorehouse.session import cut_lineage
 
 #: Rows the centroids are trained on, centroids at most, and rounds of training.
 SAMPLE, MAX_CELLS, ROUNDS = 1 << 16, 1 << 14, 8
-#: Cells a query looks into, and vectors these must hold, as a multiple of k.
+#: Cells a query looks into at least, and vectors these must hold, as a multiple of k.
 PROBES, ENOUGH = 16, 64
+#: Queries that the number of cells is measured on, and the share of their exact neighbours that these cells must hold.
+MEASURED, HELD = 128, 0.96
 #: Items scored exactly, as a multiple of k; rows of one side of a group.
 RESCORE, GROUP_ROWS = 8, 8192
 
@@ -120,6 +123,26 @@ def _probed(queries: DataFrame, index: CellIndex, sizes: np.ndarray, probes: int
     return queries.mapInArrow(probe, kinds)
 
 
+def _needed(queries: DataFrame, index: CellIndex, items: DataFrame, inside: DataFrame, sizes: np.ndarray, k: int) -> int:
+    """The number of nearest cells that hold ``HELD`` of the exact ``k`` neighbours of ``MEASURED`` queries, chosen by hash.
+
+    One scan of the items; at most ``MEASURED`` * k pairs reach the driver.
+    """
+    some = cut_lineage(queries.orderBy(F.xxhash64("query_id"), "query_id").limit(MEASURED), "measured")
+    pool = items.select("item_id", "embedding").join(inside.select("item_id"), "item_id", "left_semi")
+    exact = cosine_top_k(some, pool, k).select("query_id", "item_id")
+    pairs = inside.select("item_id", "cell").join(F.broadcast(exact), "item_id").collect()
+    if not pairs:
+        return PROBES
+    asked = some.toArrow()
+    near = unit_rows(to_matrix(asked["embedding"].combine_chunks())) @ index.centroids.T
+    near[:, sizes == 0] = -np.inf
+    place = np.argsort(np.argsort(-near, axis=1, kind="stable"), axis=1)
+    row = {q: n for n, q in enumerate(asked["query_id"].to_pylist())}
+    places = np.sort([place[row[r["query_id"]], r["cell"]] for r in pairs])
+    return max(PROBES, int(places[math.ceil(HELD * len(places)) - 1]) + 1)
+
+
 def _parted(rows: DataFrame, id_column: str, part: str, parts: str) -> DataFrame:
     """Add the part of a cell a row belongs to, and the parts of the cell: at most ``MAX_CELLS`` numbers are broadcast."""
     sizes = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias(parts))
@@ -175,9 +198,11 @@ def _first(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def search_cells(queries: DataFrame, index: CellIndex, items: DataFrame, k: int, *, within: DataFrame | None = None, probes: int = PROBES) -> DataFrame:
+def search_cells(queries: DataFrame, index: CellIndex, items: DataFrame, k: int, *, within: DataFrame | None = None, probes: int | None = None) -> DataFrame:
     """(query_id, item_id, score, rank) of about the ``k`` nearest items, with exact scores.
 
+    ``probes``: cells that every query looks into, measured if it is not given.
+
     ``items``: item_id, embedding as indexed. ``within``: item_id of those that
     pass a filter; only these are looked at, and cells are counted by them. Equal
     scores go by item id. An empty index or filter finds nothing.
@@ -189,6 +214,9 @@ def search_cells(queries: DataFrame, index: CellIndex, items: DataFrame, k: int,
     sizes = np.zeros(len(index.centroids), np.int64)
     for cell, n in inside.groupBy("cell").count().collect():
         sizes[cell] = n
+    if probes is None:
+        few = np.count_nonzero(sizes) <= PROBES
+        probes = PROBES if few else _needed(queries, index, items, inside, sizes, k)
     probed = cut_lineage(_probed(queries, index, sizes, probes, ENOUGH * k), "probed")
     best = cut_lineage(_first(_met(probed, inside, index, RESCORE * k), RESCORE * k).select("query_id", "item_id"), "near")
     pairs = best.join(items.select("item_id", F.col("embedding").alias("_item")), "item_id").join(queries, "query_id")

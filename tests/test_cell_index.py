@@ -68,3 +68,15 @@ def test_nothing_inside(spark, items, index, tmp_path):
     zeros = spark.createDataFrame([(1, [0.0] * 24), (2, [0.0] * 24)], KINDS)
     only = C.write_index(zeros, str(tmp_path / "zeros"))
     assert {r.score for r in C.search_cells(queries.limit(1), only, zeros, 5).collect()} == {0.0}
+
+
+@pytest.mark.parametrize("step", [1, 5])
+def test_recall_without_clusters(spark, tmp_path, step):
+    """Vectors in all directions, whose neighbours are spread over many cells."""
+    rng = np.random.default_rng(5)
+    items = spark.createDataFrame([(n, rng.normal(size=64).tolist()) for n in range(2000)], KINDS).persist()
+    index = C.write_index(items, str(tmp_path / "index"))
+    pool = items.filter(F.col("item_id") % step == 0)
+    queries = queries_of(items)
+    found = C.search_cells(queries, index, items, 10, within=None if step == 1 else pool)
+    assert recall_against(found, cosine_top_k(queries, pool, 10)).first()["recall"] >= 0.9
