@@ -432,10 +432,10 @@ def chunk_plain_text(t: Tables) -> DataFrame:
 @query("SELECT doc_id, 'file' AS source_kind, sha256(coalesce(text, '') || chr(10)) AS content_hash FROM documents")
 def text_files(t: Tables) -> DataFrame:
     """Every document as a text file of its own, read back; a written line ends with a line feed."""
-    path = fresh_path(t.spark, "files")
-    t.raw("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("value")).write.partitionBy("doc_id").text(path)
-    doc_id = F.regexp_extract("source_path", "doc_id=([0-9]+)", 1).cast("bigint")
-    return R.read_text_documents(t.spark, path).select(doc_id.alias("doc_id"), "source_kind", F.sha2("text", 256).alias("content_hash"))
+    named = t.raw("documents").select(F.concat("doc_id", F.lit(".txt")).alias("name"), "text")
+    folders = R.write_files(named, fresh_path(t.spark, "files"))
+    doc_id = F.regexp_extract("source_path", r"/([0-9]+)\.txt$", 1).cast("bigint")
+    return R.read_text_documents(t.spark, folders).select(doc_id.alias("doc_id"), "source_kind", F.sha2("text", 256).alias("content_hash"))
 
 
 @query(

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +16,10 @@ from lorehouse.functions.text import is_blank
 from lorehouse.sources import pages as page_rules
 
 
+#: Folders that files written one by one are dealt over: few to list, and each listed by a task of its own.
+FOLDERS = 64
+
+
 def file_name(path: Column) -> Column:
     """Last component of a path."""
     return F.regexp_extract(path, r"([^/]*)/*\z", 1)
@@ -81,12 +90,12 @@ def read_manifest_corpus(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def read_questions(spark: SparkSession, path: str) -> DataFrame:
+def read_questions(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Benchmark questions with their expected answers."""
     return spark.read.schema(schemas.BENCHMARK_QUESTION).json(path, multiLine=True)
 
 
-def read_labelled_set(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_labelled_set(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """Label rows (title, doc_type, required) and question rows of a labelled set."""
     labelled = spark.read.schema(schemas.LABELLED_SET).json(path, multiLine=True)
     labels = labelled.select(F.explode("documents").alias("title", "label")).select(
@@ -176,6 +185,33 @@ def append_table(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def write_files(rows: DataFrame, path: str, folders: int = FOLDERS) -> list[str]:
+    """One file for each row of (name, text), ended by a line feed; returns the folders they are dealt over.
+
+    ``path``: a mounted folder, or one that Arrow's file systems know. Names are
+    distinct. The tasks write the files themselves, under a name of their own that
+    is then changed, so there is neither a folder nor a commit for each file.
+    """
+    fs, root = pafs.FileSystem.from_uri(path)
+    for n in range(folders):
+        fs.create_dir(f"{root}/{n}", recursive=True)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target, base = pafs.FileSystem.from_uri(path)
+        own = f".{uuid.uuid4().hex}"
+        for batch in batches:
+            for folder, name, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with target.open_output_stream(f"{base}/{folder}/{own}", compression=None) as out:
+                    out.write(f"{text}\n".encode())
+                target.move(f"{base}/{folder}/{own}", f"{base}/{folder}/{name}")
+            yield pa.record_batch([pa.array([batch.num_rows], pa.int64())], names=["files"])
+
+    folder = F.pmod(F.xxhash64("name"), F.lit(folders)).alias("folder")
+    placed = rows.select(folder, "name", F.coalesce("text", F.lit("")).alias("text"))
+    placed.mapInArrow(write, "files bigint").agg(F.sum("files")).collect()
+    return [f"{path}/{n}" for n in range(folders)]
+
+
 def write_results(rows: DataFrame, path: str) -> None:
     """Replace a folder of JSON lines."""
     rows.write.mode("overwrite").json(path)

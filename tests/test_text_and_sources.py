@@ -155,6 +155,18 @@ def test_labelled_set_and_metrics(spark, tmp_path):
     assert D.read_questions(spark, str(tmp_path / "q.json")).first().n == 1
 
 
+def test_files_are_dealt_over_few_folders(spark, tmp_path):
+    texts = {f"{n}.txt": None if n == 7 else f"line {n}\nüber" for n in range(300)}
+    rows = spark.createDataFrame(list(texts.items()), "name string, text string").repartition(3)
+    folders = D.write_files(rows, str(tmp_path / "files"), folders=4)
+    assert sorted(p.name for p in (tmp_path / "files").iterdir()) == ["0", "1", "2", "3"] and len(folders) == 4
+    read = {r.source_path.rsplit("/", 1)[1]: r.text for r in D.read_text_documents(spark, folders).collect()}
+    assert read == {name: (text or "") + "\n" for name, text in texts.items()}
+    sets = spark.createDataFrame([(f"{n}.json", f'{{"documents": {{"d{n}": {{"doc_type": "faq"}}}}}}') for n in range(5)], "name string, text string")
+    labels, _ = D.read_labelled_set(spark, D.write_files(sets, str(tmp_path / "sets"), folders=2))
+    assert sorted(r.title for r in labels.collect()) == [f"d{n}" for n in range(5)]
+
+
 def test_facts_block_and_costs(spark):
     facts = spark.createDataFrame([("b", "2", None), ("a", "1", None), ("c", "3", datetime(2024, 1, 1))], "topic string, content string, invalid_at timestamp")
     assert tuple(R.facts_block(facts).first()) == ("АКТУАЛЬНЫЕ ФАКТЫ:\n[a]: 1\n[b]: 2", False)
