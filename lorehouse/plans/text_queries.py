@@ -444,13 +444,13 @@ def text_files(t: Tables) -> DataFrame:
 )
 def question_files(t: Tables) -> DataFrame:
     """Benchmark questions in JSON files, read back; a missing answer stays missing."""
-    n, path = F.col("item_id"), fresh_path(t.spark, "questions")
+    n = F.col("item_id")
     row = F.struct(
         n.alias("n"), F.concat(F.lit("part "), n % 9).alias("section"), F.col("text").alias("question"),
         F.when(n % 3 > 0, F.concat(F.lit("answer "), n)).alias("expected"), (n % 6 == 0).alias("out_of_corpus"),
     )
-    t.raw("benchmark").select(n.alias("item"), F.to_json(row).alias("value")).write.partitionBy("item").text(path)
-    return R.read_questions(t.spark, path).drop("item")
+    named = t.raw("benchmark").select(F.concat(n, F.lit(".json")).alias("name"), F.to_json(row).alias("text"))
+    return R.read_questions(t.spark, R.write_files(named, fresh_path(t.spark, "questions")))
 
 
 @query(
@@ -459,9 +459,9 @@ def question_files(t: Tables) -> DataFrame:
 )
 def labelled_files(t: Tables) -> DataFrame:
     """Labelled sets in JSON files, read back: one set for each label, without required attributes for some."""
-    n, path = F.col("doc_id"), fresh_path(t.spark, "labelled")
+    n = F.col("doc_id")
     required = F.when(F.col("quality") == 1, F.array(F.lit("owner"), F.lit("status")))
     label = F.struct(F.when(F.col("toxic") == 1, "faq").otherwise("generic").alias("doc_type"), required.alias("required"))
     made = F.struct(F.create_map(F.concat(F.lit("DOC "), n), label).alias("documents"))
-    t.raw("labels").select(n.alias("item"), F.to_json(made).alias("value")).write.partitionBy("item").text(path)
-    return R.read_labelled_set(t.spark, path)[0]
+    named = t.raw("labels").select(F.concat(n, F.lit(".json")).alias("name"), F.to_json(made).alias("text"))
+    return R.read_labelled_set(t.spark, R.write_files(named, fresh_path(t.spark, "labelled")))[0]
