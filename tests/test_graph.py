@@ -156,3 +156,39 @@ def test_relation_ends_within_one_document(spark):
     )
     got = [tuple(r) for r in K.resolve_relations(relations, mentioned, entities).collect()]
     assert got == [(7, 2, 3, "owns")]
+
+
+ENTITY = "id long, entity_type string, name string, canonical string, attributes string"
+
+
+def test_frequent_runs_do_not_multiply_names(spark, monkeypatch):
+    """Numbers share their trigrams, so each name met most entities before the smallest id was taken."""
+    met, candidates = [], G.candidates
+
+    def counted(*args):
+        met.append(candidates(*args))
+        return met[-1]
+
+    monkeypatch.setattr(G, "candidates", counted)
+    rows = [(i, "t", f"part {i % 10}{111_111 + i}", f"part {i % 10}{111_111 + i}", "{}") for i in range(300)]
+    names = spark.createDataFrame([(str(111_111 + i),) for i in range(300)], "name string")
+    found = {r.name: r.entity_id for r in G.find_entities(names, spark.createDataFrame(rows, ENTITY)).collect()}
+    assert found == {str(111_111 + i): i for i in range(300)}
+    assert sum(frame.count() for frame in met) == 0
+
+
+def test_long_names_are_found(spark):
+    words = ["".join(random.Random(n).choice("ab ") for _ in range(60)) + str(n) for n in range(30)]
+    rows = [(i, "t", w.upper(), w.strip(), "{}") for i, w in enumerate(words + words)]
+    asked = [w[1 : 1 + n] for w in words[:10] for n in (31, 32, 33, 50, 60)] + ["a" * 40]
+    found = G.find_entities(spark.createDataFrame([(a,) for a in asked], "name string"), spark.createDataFrame(rows, ENTITY))
+    got = {r.name: r.entity_id for r in found.collect()}
+    for name in asked:
+        assert got.get(name) == min((i for i, _, w, *_ in rows if name in w.lower()), default=None), name
+
+
+def test_cards_without_a_walk(spark, monkeypatch):
+    monkeypatch.setattr(G, "neighbors", None)
+    entities = spark.createDataFrame([(1, "person", "Ann", "ann", "{}")], ENTITY)
+    names = spark.createDataFrame([("ann",)], "name string")
+    assert [r.entity_id for r in G.entity_cards(names, entities, None, None, None, parts=["entity"])["entity"].collect()] == [1]
