@@ -192,3 +192,25 @@ def test_cards_without_a_walk(spark, monkeypatch):
     entities = spark.createDataFrame([(1, "person", "Ann", "ann", "{}")], ENTITY)
     names = spark.createDataFrame([("ann",)], "name string")
     assert [r.entity_id for r in G.entity_cards(names, entities, None, None, None, parts=["entity"])["entity"].collect()] == [1]
+
+
+def test_edges_need_known_ends_and_come_once(spark):
+    entities = spark.createDataFrame([(1, "person", "a"), (2, "person", "b"), (2, "person", "b again")], "id long, entity_type string, name string")
+    roots = spark.createDataFrame([(1,)], "root long")
+    _, lines = G.neighbors(roots, entities, edges(spark, [(1, 2), (1, 3), (3, 2)]), 2)
+    assert [(r.source, r.target) for r in lines.collect()] == [(1, 2)]
+
+
+def test_relations_are_read_once(spark):
+    entities = spark.createDataFrame([(1, "person", "a"), (2, "person", "b")], "id long, entity_type string, name string")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    table = edges(spark, [(1, 2)] * 5)
+    _, lines = G.neighbors(spark.createDataFrame([(1,)], "root long"), entities, table.mapInArrow(counted, table.schema), 1)
+    assert lines.count() == 5
+    assert read.value == 5
