@@ -32,6 +32,8 @@ from lorehouse.session import cut_lineage
 WORDS, PHRASES = 1 << 19, 1 << 20
 #: Bytes of text that a task counts at once, phrases a task proposes, and how often these occur in its first texts.
 SHARD_BYTES, PROPOSALS, REPEATED = 6 << 20, 5_000, 3
+#: Rows of a batch that a task gives out.
+SLICE = 50_000
 #: Distinct words a task holds before it passes their counts on.
 HELD_WORDS = 300_000
 #: Numbers below 10**14 keep a * a * 1000000 and l * r within 38 digits.
@@ -63,13 +65,15 @@ def words_of(texts: pa.Array) -> Words:
     return Words(index, distinct, index != breaks)
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[str, Words]]]:
-    """The texts of a task in shards of bounded size, by language."""
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[tuple[str, Words]]]:
+    """The texts of a task in shards of bounded size, by language; the words of one language are made at a time."""
 
-    def shard(some: list[pa.RecordBatch]) -> list[tuple[str, Words]]:
+    def shard(some: list[pa.RecordBatch]) -> Iterator[tuple[str, Words]]:
         langs = pa.concat_arrays([b.column("lang") for b in some])
         texts = pa.concat_arrays([b.column("text").cast(pa.large_string()) for b in some])
-        return [(lang, words_of(texts.filter(pc.equal(langs, lang)))) for lang in langs.unique().to_pylist()]
+        some.clear()
+        for lang in langs.unique().to_pylist():
+            yield lang, words_of(texts.filter(pc.equal(langs, lang)))
 
     held, size = [], 0
     for batch in batches:
@@ -89,16 +93,22 @@ def _rows(lang: str, words: int, phrases: pa.Array, counts: np.ndarray) -> pa.Re
     return pa.record_batch([*columns, phrases.cast(pa.string()), pa.array(counts.astype(np.int64))], schema=_ROWS)
 
 
-def _named(words: Words, places: np.ndarray, length: int) -> tuple[pa.Array, np.ndarray]:
-    """The distinct phrases of ``length`` words at some places, and how often each occurs there."""
-    key, first = words.index[places].astype(np.int64), places
+def _distinct(words: Words, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct phrase of ``length`` words that begins at some places, and how often it does."""
+    key, first = words.index[places].astype(np.int64), None
     for k in range(1, length):
         # numbers of distinct phrases stay small, so that keys stay within 64 bits
         key = key * len(words.distinct) + words.index[places + k]
-        distinct, first, key, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-    first = places[first]
-    parts = [words.distinct.take(pa.array(words.index[first + k])) for k in range(length)]
-    return pc.binary_join_element_wise(*parts, pa.scalar(" ", parts[0].type)), counts
+        if k < length - 1:
+            key = np.unique(key, return_inverse=True)[1]
+    _, first, counts = np.unique(key, return_index=True, return_counts=True)
+    return places[first], counts
+
+
+def _phrases(words: Words, places: np.ndarray, length: int) -> pa.Array:
+    """The phrases of ``length`` words at some places."""
+    parts = [words.distinct.take(pa.array(words.index[places + k])) for k in range(length)]
+    return pc.binary_join_element_wise(*parts, pa.scalar(" ", parts[0].type))
 
 
 def _count_words(longest: int):
@@ -126,10 +136,10 @@ def _count_words(longest: int):
                     inside = inside[:-1] & words.is_word[length - 1 :]
                     places = np.flatnonzero(inside)
                     if len(places):
-                        phrases, counts = _named(words, places, length)
+                        firsts, counts = _distinct(words, places, length)
                         best = np.argsort(-counts, kind="stable")[:PROPOSALS]
                         best = best[counts[best] >= REPEATED]
-                        yield _rows(lang, -length, phrases.take(pa.array(best)), counts[best])
+                        yield _rows(lang, -length, _phrases(words, firsts[best], length), counts[best])
             if sum(map(len, held.values())) > HELD_WORDS:
                 yield from passed()
         yield from passed()
@@ -215,11 +225,13 @@ def _count_phrases(held: Broadcast, length: int):
                 states, rest = trie.advance(lang, words, length)
                 found = np.bincount(states)
                 tally[: len(found)] += found
-                if len(rest):
-                    yield _rows(lang, length, *_named(words, rest, length))
+                # phrases are named, and taken over by the JVM, slice by slice
+                firsts, counts = _distinct(words, rest, length) if len(rest) else (rest, rest)
+                for at in range(0, len(firsts), SLICE):
+                    yield _rows(lang, length, _phrases(words, firsts[at : at + SLICE], length), counts[at : at + SLICE])
         accepted = np.flatnonzero(tally)
-        for at in range(0, len(accepted), 100_000):
-            some = accepted[at : at + 100_000]
+        for at in range(0, len(accepted), SLICE):
+            some = accepted[at : at + SLICE]
             langs, phrases = trie.named(some, length)
             yield pa.record_batch([langs, pa.array(np.full(len(some), length, np.int32)), phrases, pa.array(tally[some])], schema=_ROWS)
 

@@ -103,3 +103,30 @@ def test_double_array(monkeypatch, rounds):
         assert got.tolist() == [states.get((*p, c), -1) for p, c in zip(some, codes.tolist(), strict=True)]
     assert (array.step(np.full(5, -1), np.arange(5)) == -1).all()
     assert len(array.spilled_keys) or rounds > 1
+
+
+def test_rows_leave_a_task_in_slices(monkeypatch):
+    """Phrases that are not in the trie were named all at once, which took the memory of a whole shard's names."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from lorehouse.llm import collocations as C
+
+    monkeypatch.setattr(C, "SLICE", 7)
+    text = " ".join(f"w{i % 13}" for i in range(400)) + ". " + " ".join(f"w{i * i % 13}" for i in range(400))
+    batch = pa.record_batch([pa.array(["en", "de", "en"]), pa.array([text, text, "w1 w2"])], names=["lang", "text"])
+    words = pa.table({"lang": ["de"] * 13 + ["en"] * 13, "phrase": [f"w{i}" for i in range(13)] * 2})
+    trie = C.PhraseTrie(words, [words.slice(0, 0)], {1: True})
+    out = list(C._count_phrases(SimpleNamespace(value=trie.plain()), 2)(iter([batch])))
+    assert max(b.num_rows for b in out) <= 7
+    got = {}
+    for row in pa.Table.from_batches(out).to_pylist():
+        got[row["lang"], row["phrase"]] = got.get((row["lang"], row["phrase"]), 0) + row["f"]
+    expected = {}
+    for lang, whole in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
+        for piece in whole.split("."):
+            tokens = piece.split()
+            for pair in zip(tokens, tokens[1:], strict=False):
+                expected[lang, " ".join(pair)] = expected.get((lang, " ".join(pair)), 0) + 1
+    assert got == expected
