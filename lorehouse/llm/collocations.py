@@ -83,6 +83,8 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[tuple[str, W
         if size >= SHARD_BYTES:
             yield shard(held)
             held, size = [], 0
+            # what the shard took goes back, instead of staying with the worker while others grow
+            pa.default_memory_pool().release_unused()
     if held:
         yield shard(held)
 
