@@ -136,3 +136,24 @@ def test_all_sentence_ends_are_cut_places(seed):
     known = sorted(free | sentences)
     dear = {p for a, b in zip(known, known[1:], strict=False) if b - a > 4 * packing.GRAIN for p in range(a + packing.GRAIN, b, packing.GRAIN)}
     assert dear and {p for p, x in found.items() if x == packing.TRUNCATION} == dear
+
+
+def test_pieces_are_encoded_in_few_calls(monkeypatch):
+    """One special token among many pieces had thousands of them encoded singly."""
+    import pyarrow as pa
+
+    from lorehouse.llm.tokens import PieceEncoder
+
+    encode, calls = PieceEncoder(), []
+    ids = encode._ids
+    monkeypatch.setattr(encode, "_ids", lambda text: calls.append(1) or ids(text))
+    letters = "abcdefghijklmnopqrst"
+    pieces = [a + b + c + "q" for a in letters for b in letters for c in letters]
+    encode(pa.array([" ".join(pieces)]))
+    assert len(calls) == 1
+    calls.clear()
+    odd = [p + "z" for p in pieces] + ["<|endoftext|>x", "á́b", "①"]
+    flat, _ = encode(pa.array([" ".join(odd)]))
+    assert len(calls) < 600
+    single = [n for p in odd for n in encode.tokenizer.encode(p, add_special_tokens=False).ids]
+    assert flat[:-1].tolist() == single
