@@ -42,20 +42,29 @@ def posting_blocks(tokens: DataFrame, block: int = BLOCK) -> DataFrame:
     The entry of the empty term lists every chunk. A frequent term is spread
     over its blocks before anything of it meets in one task.
     """
+    return _in_blocks(_placed(tokens, block))
+
+
+def _placed(tokens: DataFrame, block: int) -> DataFrame:
+    """``(term, chunk_id, tf, level, part)``: the block of every posting."""
     words = F.array_compact("tokens")
     counted = tokens.select("chunk_id", F.explode(words).alias("term")).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).cast("int").alias("tf"))
     every = tokens.select(F.lit(EVERYTHING).alias("term"), "chunk_id", F.lit(0).alias("tf"))
     counted = cut_lineage(counted.unionByName(every).withColumn("level", _level(F.col("tf"))), "term-counts")
     sizes = counted.groupBy("term", "level").agg(F.ceil(F.count(F.lit(1)) / block).alias("_parts"))
-    placed = counted.join(sizes, ["term", "level"]).withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.col("_parts")).cast("int"))
+    return counted.join(sizes, ["term", "level"]).withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.col("_parts")).cast("int"))
+
+
+def _in_blocks(placed: DataFrame) -> DataFrame:
     items = F.sort_array(F.collect_list(F.struct("chunk_id", "tf")))
     return placed.groupBy("term", "level", "part").agg(F.max("tf").alias("top"), F.count(F.lit(1)).alias("n"), items.alias("items"))
 
 
 def write_blocks(tokens: DataFrame, path: str, block: int = BLOCK) -> DataFrame:
     """Store the blocks sorted by term, so that a reader skips row groups of other terms; returns them."""
-    made = posting_blocks(tokens, block)
-    made.repartitionByRange("term", "level", "part").sortWithinPartitions("term", "level", "part").write.parquet(path)
+    # ranged before they are put together: a sample for the ranges would make all blocks once more
+    made = _in_blocks(_placed(tokens, block).repartitionByRange("term", "level", "part"))
+    made.sortWithinPartitions("term", "level", "part").write.parquet(path)
     return tokens.sparkSession.read.schema(made.schema).parquet(path)
 
 

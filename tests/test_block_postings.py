@@ -73,3 +73,16 @@ def test_nothing_to_find(spark, index):
     queries = spark.createDataFrame([(1, "unknown"), (2, "")], "query_id bigint, query string")
     found, read = B.top_k_by_blocks(queries, blocks, tokens)
     assert found.count() == 0 and found.columns == ["query_id", "chunk_id", "score", "rank"] and read.count() == 0
+
+
+def test_blocks_are_made_once(spark):
+    """Ranges over the made blocks had all of them made for a sample first, and exchanged twice."""
+    from lorehouse.operators import block_postings as B
+
+    tokens = spark.createDataFrame([(n, ["a", "b"] * (n % 5)) for n in range(50)], "chunk_id bigint, tokens array<string>")
+    made = B._in_blocks(B._placed(tokens, 4).repartitionByRange("term", "level", "part"))
+    made.collect()
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(term" in plan
+    exchanges = [line for line in plan.splitlines() if "hashpartitioning" in line and "part#" in line]
+    assert not exchanges
