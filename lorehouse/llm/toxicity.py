@@ -16,9 +16,10 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,8 @@ VARIED = 300
 WITNESSES, NEGATIVES = 2, 15_000
 THRESHOLD, HELD = 0.3, (4.0, 1.0)
 KEPT_WORDS = 1_000_000
+#: Rows of the linear machine that are multiplied at once.
+ROWS_AT_ONCE = 4096
 _ENDS, _CLOSING = tuple(".!?…。！？"), "\"'’”»)]}*_"
 
 
@@ -150,15 +153,16 @@ def _mask(word: str) -> int:
 def kernel_values(words: list[str], landmarks: list[str], norms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, landmark, normalised kernel) of the pairs with enough common letters."""
     masks = np.array([_mask(w) for w in words], np.uint64)
-    sizes = np.fromiter(map(len, words), int, len(words))
+    sizes = np.fromiter(map(len, words), np.int32, len(words))
     which, against = [], []
     for k, mark in enumerate(landmarks):
         bits = _mask(mark)
         enough = math.ceil(LETTERS * bits.bit_count())
         hit = np.flatnonzero((np.bitwise_count(masks & np.uint64(bits)) >= enough) & (sizes >= ORDER))
-        which.append(hit)
-        against.append(np.full(len(hit), k))
+        which.append(hit.astype(np.int32))
+        against.append(np.full(len(hit), k, np.int32))
     word, mark = np.concatenate(which), np.concatenate(against)
+    del which, against
     value = np.zeros(len(word), np.float32)
     if not len(word):
         return word, mark, value
@@ -166,8 +170,9 @@ def kernel_values(words: list[str], landmarks: list[str], norms: np.ndarray) ->
     own = np.zeros(len(words), np.float32)
     own[used] = _own([words[k] for k in used])
     codes, right = as_codes([words[k] for k in used], 0), as_codes(landmarks, -1)
-    row = np.searchsorted(used, word)
-    lengths, widths = sizes[word], np.fromiter(map(len, landmarks), int, len(landmarks))[mark]
+    place = np.zeros(len(words), np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    row, lengths, widths = place[word], sizes[word], np.fromiter(map(len, landmarks), np.int32, len(landmarks))[mark]
     for low in range(0, LONGEST, 6):
         for narrow in (0, 8):
             some = np.flatnonzero((lengths > low) & (lengths <= low + 6) & ((widths <= 8) if not narrow else (widths > 8)))
@@ -220,11 +225,31 @@ def variants_of(word: str) -> set[str]:
     return {word[:k] + c + word[k:] for k in range(2, len(word)) for c in (word[k], "x") if len(word) < LONGEST}
 
 
-def _choose(toxic: list[list[str]], clean: list[list[str]]) -> list[str]:
-    """Landmarks: words that tell the classes apart, thinned by their kernel."""
-    one, other = (Counter(w for doc in docs for w in set(doc)) for docs in (toxic, clean))
-    n, m = max(1, len(toxic)), max(1, len(clean))
-    gain = {w: _telling(c, n, other[w], m) for w, c in one.items() if ORDER <= len(w) <= LONGEST and c * m > other[w] * n}
+def _words_of(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct word parts of texts in order, the number of each part as it stands, and the text it stands in.
+
+    The texts are taken one by one, so that each part is held once.
+    """
+    first: dict[str, int] = {}
+    at, sizes = array("i"), array("i")
+    for text in texts:
+        tokens, before = text.lower().split(), len(at)
+        for word in chain(map(letters_of, tokens), joined(tokens)):
+            at.extend(first.setdefault(part, len(first)) for part in parts_of(word))
+        sizes.append(len(at) - before)
+    words = sorted(first)
+    place = np.empty(len(words), np.int32)
+    place[np.fromiter(map(first.__getitem__, words), np.int32, len(words))] = np.arange(len(words), dtype=np.int32)
+    return words, place[np.frombuffer(at, np.int32)], np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+
+
+def _choose(one: dict[str, int], other: dict[str, int], toxic: int, clean: int) -> list[str]:
+    """Landmarks: words that tell the classes apart, thinned by their kernel.
+
+    ``one`` and ``other`` count the toxic and the clean documents that have a word.
+    """
+    n, m = max(1, toxic), max(1, clean)
+    gain = {w: _telling(c, n, other.get(w, 0), m) for w, c in one.items() if ORDER <= len(w) <= LONGEST and c * m > other.get(w, 0) * n}
     telling = [w for w, g in sorted(gain.items(), key=lambda x: (-x[1], x[0])) if g > TELLING][: 6 * LANDMARKS]
     if not telling:
         return [w for w, _ in sorted(other.items(), key=lambda x: (-x[1], x[0]))][:1] or [BEGIN + "aaa"]
@@ -247,34 +272,40 @@ def _choose(toxic: list[list[str]], clean: list[list[str]]) -> list[str]:
 
 
 def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> tuple[np.ndarray, float]:
-    """Squared-hinge linear machine by Newton steps on the rows inside the margin."""
-    z = np.hstack((x, np.ones((len(x), 1))))
-    w = np.zeros(z.shape[1])
-    penal = np.full(z.shape[1], ridge * len(x))
+    """Squared-hinge linear machine by Newton steps on the rows inside the margin; the last column of ``x`` is the constant.
+
+    Rows are summed up ``ROWS_AT_ONCE`` at a time, so a step holds no second copy of them.
+    """
+    w = np.zeros(x.shape[1])
+    penal = np.full(x.shape[1], ridge * len(x))
     penal[-1] = 1e-6 * len(x)
     inside = None
     for _ in range(steps):
-        now = y * (z @ w) < 1
+        now = y * (x @ w) < 1
         if inside is not None and (now == inside).all():
             break
         inside = now
-        zi, ci = z[inside], cost[inside]
-        w = np.linalg.solve((zi * ci[:, None]).T @ zi + np.diag(penal), (zi * ci[:, None]).T @ y[inside])
+        curve, aim = np.diag(penal), np.zeros(len(w))
+        for at in range(0, len(x), ROWS_AT_ONCE):
+            some = np.flatnonzero(inside[at : at + ROWS_AT_ONCE]) + at
+            rows = x[some]
+            held = (rows * cost[some, None]).T
+            curve += held @ rows
+            aim += held @ y[some]
+        w = np.linalg.solve(curve, aim)
     return w[:-1], float(w[-1])
 
 
 def fit(texts: list[str], labels: list[int], share: float | None = None, rounds: int = 4) -> Model:
     """Fit a model on labelled texts; ``share`` is that of toxic rows where the texts were drawn from."""
-    split = [text.lower().split() for text in texts]
-    docs = [[letters_of(t) for t in tokens] + joined(tokens) for tokens in split]
-    docs = [[p for w in doc for p in parts_of(w)] for doc in docs]
+    words, word, owner = _words_of(texts)
     y = np.array(labels, bool)
-    owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    words = sorted({w for doc in docs for w in doc})
-    number = {w: k for k, w in enumerate(words)}
-    word = np.array([number[w] for doc in docs for w in doc], int)
     clean_words = np.unique(word[~y[owner]])
-    landmarks = _choose([d for d, t in zip(docs, y, strict=True) if t], [d for d, t in zip(docs, y, strict=True) if not t])
+    pairs = np.unique(owner.astype(np.int64) * len(words) + word)
+    counts = [np.bincount((pairs % len(words))[y[pairs // len(words)] == toxic], minlength=len(words)) for toxic in (True, False)] if words else []
+    one, other = ({words[k]: int(c[k]) for k in np.flatnonzero(c).tolist()} for c in counts or [np.zeros(0, int)] * 2)
+    landmarks = _choose(one, other, int(y.sum()), int((~y).sum()))
+    del pairs, counts, one, other
     telling = len(landmarks)
     row, mark, value = kernel_values(words, landmarks, _own(landmarks))
     # clean words that come nearest to each landmark are landmarks as well
@@ -295,16 +326,20 @@ def fit(texts: list[str], labels: list[int], share: float | None = None, rounds:
     vals, vecs = np.linalg.eigh((square + square.T) / 2)
     root = vecs @ np.diag(1 / np.sqrt(np.maximum(vals, 0.05))) @ vecs.T
 
-    order = np.argsort(row, kind="stable")
+    order = np.argsort(row, kind="stable").astype(np.int32)
     row, mark, value = row[order], mark[order], value[order]
+    del order, parts, clean, nth, near
     edges = np.searchsorted(row, np.arange(len(words) + 1))
 
-    def vectors(some: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(some), len(landmarks)))
-        for k, w in enumerate(some.tolist()):
-            a, b = edges[w], edges[w + 1]
-            out[k, mark[a:b]] = value[a:b]
-        return out @ root
+    def vectors(some: np.ndarray, out: np.ndarray) -> None:
+        """Write the vectors of words into the rows of ``out``."""
+        for at in range(0, len(some), ROWS_AT_ONCE):
+            part = some[at : at + ROWS_AT_ONCE]
+            rows = np.zeros((len(part), len(landmarks)))
+            for k, w in enumerate(part.tolist()):
+                a, b = edges[w], edges[w + 1]
+                rows[k, mark[a:b]] = value[a:b]
+            out[at : at + len(part)] = rows @ root
 
     score = np.full(len(words), -1.0)
     near = mark < telling
@@ -312,9 +347,10 @@ def fit(texts: list[str], labels: list[int], share: float | None = None, rounds:
     least = ALIKE
     w, bias = np.zeros(len(landmarks)), -1.0
     for _ in range(rounds if y.any() and not y.all() and len(word) else 0):
-        order = np.lexsort((-score[word], owner))
-        place = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
-        lent = np.unique(word[order[(place < WITNESSES) & y[owner[order]] & (score[word[order]] > least)]])
+        worst = np.flatnonzero((score[word] > least) & y[owner])
+        worst = worst[np.lexsort((-score[word[worst]], owner[worst]))]
+        place = np.arange(len(worst)) - np.searchsorted(owner[worst], owner[worst])
+        lent = np.unique(word[worst[place < WITNESSES]])
         # a word that clean documents have as well is no witness
         positive = np.setdiff1d(lent, clean_words, assume_unique=True)
         hard = clean_words[np.argsort(-score[clean_words], kind="stable")[:NEGATIVES]]
@@ -323,11 +359,15 @@ def fit(texts: list[str], labels: list[int], share: float | None = None, rounds:
         if not len(positive):
             break
         common = np.bincount(word[y[owner]], minlength=len(words))[positive]
-        varied = sorted(set().union(*(variants_of(words[k]) for k in positive[np.argsort(-common, kind="stable")[:VARIED]])) - number.keys())
+        varied = set().union(*(variants_of(words[k]) for k in positive[np.argsort(-common, kind="stable")[:VARIED]]))
+        varied = sorted(varied.difference(words))
         at, to, much = kernel_values(varied, landmarks, norms)
         more = np.zeros((len(varied), len(landmarks)))
         more[at, to] = much
-        x = np.vstack((vectors(positive), more @ root, vectors(negative)))
+        x = np.ones((len(positive) + len(varied) + len(negative), len(landmarks) + 1))
+        vectors(positive, x[: len(positive), :-1])
+        x[len(positive) : len(x) - len(negative), :-1] = more @ root
+        vectors(negative, x[len(x) - len(negative) :, :-1])
         target = np.ones(len(x))
         target[len(x) - len(negative) :] = -1.0
         cost = np.where(target > 0, len(x) / (2 * (len(x) - len(negative))), len(x) / (2 * max(1, len(negative))))
@@ -335,7 +375,7 @@ def fit(texts: list[str], labels: list[int], share: float | None = None, rounds:
         weights = root @ w
         score = np.bincount(row, weights[mark] * value, len(words)) + bias
         least = PLAUSIBLE
-    facts = _facts(owner, score[word], len(docs), bias) if w.any() else np.zeros((len(docs), len(HELD)))  # nothing learned
+    facts = _facts(owner, score[word], len(texts), bias) if w.any() else np.zeros((len(texts), len(HELD)))  # nothing learned
     return Model(landmarks, norms, root @ w, bias, _calibrated(facts, y, float(y.mean()) if share is None and len(y) else share or 0.0))
 
 

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -298,3 +299,17 @@ def test_words_gapped_by_blanks(labelled):
     clean = ["bade kilo muna ba de ki lo mude kiri", "bade kilo muna gr. Oz ze. L mude kiri", "a b c d e f g h " * 3000]
     assert (score(pa.array(gapped, pa.string())) >= toxicity.THRESHOLD).all()
     assert (score(pa.array(clean, pa.string())) < toxicity.THRESHOLD).all()
+
+
+def test_fitting_holds_words_once():
+    """The sample is split text by text, and the machine keeps one copy of its rows."""
+    rng = random.Random(3)
+    letters = "abcdefghijklmnoprstuvwz"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(4, 9))) for _ in range(4000)]
+    texts = [" ".join(rng.choices(words, k=400) + ["idiot"] * (n % 2)) for n in range(300)]
+    tracemalloc.start()
+    model = toxicity.fit(texts, [n % 2 for n in range(300)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert "^idiot" in model.landmarks
+    assert peak < 15 * sum(map(len, texts)), peak
