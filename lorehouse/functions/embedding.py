@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -43,29 +44,30 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
-def token_buckets(text: Column, dim: int = fixed.EMBED_DIM) -> Column:
-    """Hash bucket of every token; the same in every process and engine."""
+def token_buckets(tokens: pa.Array, dim: int = fixed.EMBED_DIM) -> np.ndarray:
+    """Hash bucket of every token, from the first 32 bits of its MD5; the same in every process and engine.
 
-    def bucket(token: Column) -> Column:
-        digest = F.conv(F.left(F.md5(token), F.lit(8)), 16, 10).cast("bigint")
-        return (digest % dim).cast("int")
+    Each word is hashed once per batch, however often it occurs.
+    """
+    words = tokens.dictionary_encode()
+    digests = [hashlib.md5(w.encode(), usedforsecurity=False).digest()[:4] for w in words.dictionary.to_pylist()]
+    buckets = np.frombuffer(b"".join(digests), ">u4").astype(np.int64) % dim
+    return buckets[words.indices.to_numpy(zero_copy_only=False)]
 
-    return F.transform(terms(text), bucket)
 
-
-def hashing_vector(text: Column, dim: int = fixed.EMBED_DIM) -> Column:
+def hashing_vector(tokens: Column, dim: int = fixed.EMBED_DIM) -> Column:
     """Unit vector of token counts per bucket; tokenized in the JVM, counted per Arrow batch."""
 
     @F.arrow_udf(VECTOR)
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             lengths = batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            cells = batch.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             rows = np.repeat(np.arange(len(batch)), lengths)
+            cells = token_buckets(batch.flatten(), dim)
             counts = np.bincount(rows * dim + cells, minlength=len(batch) * dim)
             yield to_list_array(unit_rows(counts.reshape(len(batch), dim).astype(np.float64)))
 
-    return count(token_buckets(text, dim))
+    return count(tokens)
 
 
 def model_vector(text: Column, factory: Callable[[], Model], batch: int = 32) -> Column:
@@ -96,10 +98,14 @@ def embed(
     dim: int = fixed.EMBED_DIM,
     factory: Callable[[], Model] | None = None,
     batch: int = 32,
+    tokens: str | None = None,
 ) -> DataFrame:
-    """Add an embedding column; queries get the retrieval prefix."""
+    """Add an embedding column; queries get the retrieval prefix.
+
+    ``tokens``: column that already holds the words of the text, so that the default does not split it again.
+    """
     source = query_text(F.col(text)) if is_query else F.col(text)
-    vector = model_vector(source, factory, batch) if factory else hashing_vector(source, dim)
+    vector = model_vector(source, factory, batch) if factory else hashing_vector(F.col(tokens) if tokens else terms(source), dim)
     return rows.withColumn(out, vector)
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorehouse import fixed_values as fixed
-from lorehouse.functions.text import categorize_answer
+from lorehouse.functions.text import categorize_answer, terms
+from lorehouse.operators.rare_key import candidates
+from lorehouse.session import cut_lineage
 
 
 def label_lookup(labels: DataFrame, documents: DataFrame) -> DataFrame:
@@ -71,6 +73,32 @@ def expected_hits(questions: DataFrame, expected: DataFrame, results: DataFrame)
     return questions.select("question_id").join(hit, "question_id", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
+def passage_holders(passages: DataFrame, documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``(query_id, id)``: documents that hold the text of a passage character by character.
+
+    ``passages``: query_id, text. ``documents``: id, raw_content. ``chunks``: document_id
+    and tokens, with every word of the documents. Documents with the rarest inner word of a
+    passage are few and are compared whole. The first and the last word are no inner ones,
+    they may go on outside of the passage; nor is a word with a sigma, whose lower case
+    depends on what follows. Passages without inner words are compared with every document.
+    """
+    words = terms(F.col("text"))
+    inner = F.filter(
+        F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda word: ~word.rlike("[σς]")
+    )
+    asked = cut_lineage(passages.select("query_id", "text", F.array_distinct(inner).alias("inner")), "passages")
+    needs = asked.select("query_id", F.explode("inner").alias("key"))
+    held = chunks.select(F.explode_outer("tokens").alias("key"), F.col("document_id").alias("item"))
+    near = candidates(needs, held.filter(F.col("key").isNotNull()), ["query_id"])
+    # written, so that few pairs are broadcast to the documents instead of shuffling these
+    near = cut_lineage(near.select("query_id", F.col("item").alias("id")).distinct(), "near")
+    wordless = cut_lineage(asked.filter(F.size("inner") == 0).select("query_id", "text"), "wordless")
+    texts = documents.select("id", "raw_content")
+    pairs = texts.join(near, "id").join(asked.select("query_id", "text"), "query_id")
+    pairs = pairs.unionByName(texts.crossJoin(wordless))
+    return pairs.filter(F.contains("raw_content", "text")).select("query_id", "id")
+
+
 def recall_at_k(questions: DataFrame, results: DataFrame, expected: DataFrame | None = None) -> DataFrame:
     """Share of questions with at least one expected document among the results.
 

@@ -9,12 +9,12 @@ from lorehouse.operators import history as H
 from lorehouse.operators import reports as R
 from lorehouse.operators.hybrid import rank_in_list as number_lists
 from lorehouse.operators.hybrid import search_chunks
-from lorehouse.operators.lexical import match, token_table
 from lorehouse.plans.catalog import query
 from lorehouse.plans.prelude import AS_OF, PRELUDE
 from lorehouse.plans.search_queries import DIM, embedded_chunks
 from lorehouse.plans.views import AS_OF as MOMENT
 from lorehouse.plans.views import Tables
+from lorehouse.session import cut_lineage
 
 
 def _moment():
@@ -248,8 +248,9 @@ def attribute_completeness(t: Tables) -> DataFrame:
     return out.withColumn("attribute_completeness", F.round("attribute_completeness", 6))
 
 
-def _search_results(t: Tables) -> DataFrame:
-    found = search_chunks(t.questions(), embedded_chunks(t), t.documents(), dim=DIM)
+def _search_results(t: Tables, chunks: DataFrame | None = None) -> DataFrame:
+    chunks = embedded_chunks(t) if chunks is None else chunks
+    found = search_chunks(t.questions(), chunks, t.documents(), dim=DIM)
     return found.withColumnRenamed("query_id", "question_id")
 
 
@@ -263,18 +264,13 @@ _HOLDERS = """holders AS (SELECT item_id, id FROM benchmark b JOIN base_document
 )
 def recall_at_4(t: Tables) -> DataFrame:
     """Passages that occur word for word in documents are the questions with known answers."""
-    passages = t.raw("benchmark")
-    # documents holding every word of a passage are few; their whole texts are then compared
-    whole = token_table(t.documents().select(F.col("id").alias("chunk_id"), F.col("raw_content").alias("content")))
-    close = match(t.questions(), whole)
-    holders = (
-        close.join(passages.select(F.col("item_id").alias("query_id"), "text"), "query_id")
-        .join(t.documents().select(F.col("id").alias("chunk_id"), "raw_content", "title"), "chunk_id")
-        .filter(F.contains("raw_content", "text"))
-    )
-    expected = holders.select(F.col("query_id").alias("question_id"), F.col("title").alias("want"))
+    chunks = embedded_chunks(t)
+    passages = t.questions().withColumnRenamed("query", "text")
+    holders = E.passage_holders(passages, t.documents(), chunks).join(t.documents().select("id", "title"), "id")
+    # written, as the questions and both forms of an expected document are read from it
+    expected = cut_lineage(holders.select(F.col("query_id").alias("question_id"), F.col("title").alias("want")), "expected")
     questions = expected.select("question_id").distinct()
-    return E.recall_at_k(questions, _search_results(t), expected).withColumn("recall_at_4", F.round("recall_at_4", 6))
+    return E.recall_at_k(questions, _search_results(t, chunks), expected).withColumn("recall_at_4", F.round("recall_at_4", 6))
 
 
 @query(

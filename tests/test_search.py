@@ -10,6 +10,7 @@ from lorehouse.functions.embedding import embed
 from lorehouse.functions.jsonb import contains
 from lorehouse.operators import filters, lexical
 from lorehouse.operators.chunking import chunk_documents
+from lorehouse.operators.evaluation import passage_holders
 from lorehouse.operators.filters import document_predicate
 from lorehouse.operators.hybrid import reciprocal_rank_fusion, search_chunks
 
@@ -91,6 +92,28 @@ def test_cover_density_matches_brute_force(spark):
         assert got[i] == pytest.approx(model_rank(text.split(), clauses)), (text, clauses)
 
 
+def test_single_words_are_counted(spark):
+    # the long clause has words that do not occur; what stands between the others is no noise
+    rows = [(["a", "x", "b", "a", "y"], ["a", "b", "c", "d"], [[0], [1, 2, 3]], 0.2), (["x"], ["a"], [[0]], 0.0),
+            (["a", "x", "b", "a"], ["a", "b", "c"], [[0, 1], [2]], 0.15)]
+    frame = spark.createDataFrame(rows, "tokens array<string>, terms array<string>, clauses array<array<int>>, want double")
+    score = lexical.cover_density(F.col("tokens"), F.col("terms"), F.col("clauses"))
+    for row in frame.select("want", score.alias("got")).collect():
+        assert row.got == pytest.approx(row.want)
+
+
+def test_passage_holders(spark):
+    texts = ["one two three four", "xone two three fourx", "One two three four", "two three", "a\u03a3 b", None, "", "-two - three one two -three four",
+             "one two\nthree four"]
+    documents = spark.createDataFrame(list(enumerate(texts)), "id long, raw_content string").withColumns(
+        {"doc_type": F.lit("generic"), "attributes": F.lit("{}")})
+    passages = ["one two three four", "two", "", None, "one two -three four", "two\nthree", "a\u03a3 b", "none of these"]
+    asked = spark.createDataFrame(list(enumerate(passages)), "query_id long, text string")
+    chunks = lexical.with_tokens(chunk_documents(documents))
+    got = {(r.query_id, r.id) for r in passage_holders(asked, documents, chunks).collect()}
+    assert got == {(q, d) for q, p in enumerate(passages) for d, text in enumerate(texts) if None not in (p, text) and p in text}
+
+
 def test_rrf(spark):
     rows = [("q", 0, "a", 1), ("q", 0, "b", 2), ("q", 1, "b", 1), ("q", 1, "c", 2)]
     frame = spark.createDataFrame(rows, "query_id string, list int, item_id string, rank int")

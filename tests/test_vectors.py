@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,6 +31,16 @@ def test_hashing_vectors(spark):
     assert np.allclose(query, hashed(E.fixed.QUERY_PREFIX + "a b a", 32), atol=1e-6)
 
 
+def test_words_are_hashed_once_per_batch(monkeypatch):
+    calls = []
+    monkeypatch.setattr(E.hashlib, "md5", lambda word, real=E.hashlib.md5, **options: calls.append(word) or real(word, **options))
+    tokens = pa.array(["a", "b", "a", "a", "b"])
+    first = [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 1000 for w in tokens.to_pylist()]
+    del calls[:]
+    assert E.token_buckets(tokens, 1000).tolist() == first and calls == [b"a", b"b"]
+    assert E.token_buckets(tokens[:0], 1000).tolist() == []
+
+
 def test_custom_model_is_called_in_batches(spark):
     def factory():
         def model(texts):
