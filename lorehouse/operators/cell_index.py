@@ -6,7 +6,10 @@ the difference to it, one signed byte a dimension and a scale. A query looks int
 nearest cells until these hold enough vectors that pass the filter, so a narrow filter
 widens the search instead of emptying it. How many cells that takes depends on the vectors
 and the filter: it is measured on the exact neighbours of some of the queries. Codes give the best ``RESCORE`` * k items of a
-query, whose own vectors then give exact scores.
+query, whose own vectors, stored beside the codes, then give exact scores.
+
+Queries go by the thousand, those of near cells together, and a task reads the cells that its queries look into
+from the files of the index. Neither a query nor an item is copied for a cell, so neither memory nor disk grows with the number of cells looked into.
 """
 
 from __future__ import annotations
@@ -16,6 +19,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.dataset as ds
+import pyarrow.fs as pafs
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +31,7 @@ from pyspark.sql.window import Window
 
 from lorehouse.functions.embedding import to_matrix, unit_rows
 from lorehouse.operators.vector_search import PAIRS_AT_ONCE, SCORE_DIGITS, cosine_top_k
-from lorehouse.session import cut_lineage
+from lorehouse.session import cut_lineage, fresh_path
 
 #: Rows the centroids are trained on, centroids at most, and rounds of training.
 SAMPLE, MAX_CELLS, ROUNDS = 1 << 16, 1 << 14, 8
@@ -33,8 +39,10 @@ SAMPLE, MAX_CELLS, ROUNDS = 1 << 16, 1 << 14, 8
 PROBES, ENOUGH = 16, 64
 #: Queries that the number of cells is measured on, and the share of their exact neighbours that these cells must hold.
 MEASURED, HELD = 128, 0.96
-#: Items scored exactly, as a multiple of k; rows of one side of a group.
+#: Items scored exactly, as a multiple of k; queries that are taken together, and items read at once.
 RESCORE, GROUP_ROWS = 8, 8192
+#: Numbers of one array at most, and how far below its last cell's a similarity may lie (single precision).
+AT_ONCE, SLACK = PAIRS_AT_ONCE // 4, 1e-6
 
 
 def train(items: DataFrame, cells: int | None = None, seed: int = 7) -> np.ndarray:
@@ -56,7 +64,10 @@ def train(items: DataFrame, cells: int | None = None, seed: int = 7) -> np.ndarr
 
 
 class CellIndex:
-    """An index in a folder: ``centroids``, and ``items`` (cell, item_id, scale, code) sorted by cell."""
+    """An index in a folder: ``centroids``, and ``items`` (cell, item_id, scale, code, embedding) sorted by cell.
+
+    Workers read the items themselves: the folder is a mounted one, or one that Arrow's file systems know.
+    """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -77,60 +88,68 @@ def write_index(items: DataFrame, folder: str, cells: int | None = None) -> Cell
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centers = held.value
+        step = max(1, PAIRS_AT_ONCE // len(centers))
         for batch in batches:
             if not batch.num_rows:
                 continue
             unit = unit_rows(to_matrix(batch.column("embedding")))
-            cell = (unit @ centers.T).argmax(1)
+            cell = np.concatenate([(unit[i : i + step] @ centers.T).argmax(1) for i in range(0, len(unit), step)])
             rest = unit - centers[cell]
             scale = np.maximum(np.abs(rest).max(1), 1e-12) / 127
             codes = np.rint(rest / scale[:, None]).astype(np.int8)
             yield pa.record_batch(
-                [pa.array(cell.astype(np.int32)), batch.column("item_id"), pa.array(scale.astype(np.float32)), pa.array([c.tobytes() for c in codes], pa.binary())],
-                names=["cell", "item_id", "scale", "code"],
+                [pa.array(cell.astype(np.int32)), batch.column("item_id"), pa.array(scale.astype(np.float32)), pa.array([c.tobytes() for c in codes], pa.binary()), batch.column("embedding")],
+                names=["cell", "item_id", "scale", "code", "embedding"],
             )
 
     kinds = T.StructType(
-        [T.StructField("cell", T.IntegerType()), items.schema["item_id"], T.StructField("scale", T.FloatType()), T.StructField("code", T.BinaryType())]
+        [T.StructField("cell", T.IntegerType()), items.schema["item_id"], T.StructField("scale", T.FloatType()), T.StructField("code", T.BinaryType()), items.schema["embedding"]]
     )
-    coded = items.mapInArrow(code, kinds)
-    coded.repartitionByRange("cell", "item_id").sortWithinPartitions("cell", "item_id").write.parquet(f"{folder}/items")
+    _by_cell(items.mapInArrow(code, kinds)).write.parquet(f"{folder}/items")
     return CellIndex(spark, folder)
 
 
+def _by_cell(coded: DataFrame) -> DataFrame:
+    return coded.repartitionByRange("cell", "item_id").sortWithinPartitions("cell", "item_id")
+
+
 def _probed(queries: DataFrame, index: CellIndex, sizes: np.ndarray, probes: int, enough: int) -> DataFrame:
-    """(query_id, embedding, cell): the nearest cells of each query, ``probes`` that are not empty or as many as hold ``enough`` vectors."""
+    """(query_id, embedding, cell, least): the nearest cell of each query, and the similarity of the last one it looks into.
+
+    These are ``probes`` cells that are not empty, or as many as hold ``enough`` vectors.
+    """
     held = index.spark.sparkContext.broadcast((index.centroids, sizes))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centers, counts = held.value
-        for batch in batches:
-            if not batch.num_rows or not counts.any():
+        step = max(1, AT_ONCE // len(centers))
+        for batch in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
+            if not counts.any():
                 continue
             near = unit_rows(to_matrix(batch.column("embedding"))) @ centers.T
             near[:, counts == 0] = -np.inf
             order = np.argsort(-near, axis=1, kind="stable")
-            before = np.cumsum(counts[order], axis=1) - counts[order]
+            inside = counts[order]
+            before = np.cumsum(inside, axis=1) - inside
             place = np.arange(order.shape[1])[None, :]
-            row, at = np.nonzero(((place < probes) | (before < enough)) & (counts[order] > 0))
-            taken = pa.array(row)
+            last = (((place < probes) | (before < enough)) & (inside > 0)).sum(1) - 1
+            least = np.take_along_axis(near, np.take_along_axis(order, last[:, None], 1), 1)[:, 0]
             yield pa.record_batch(
-                [batch.column("query_id").take(taken), batch.column("embedding").take(taken), pa.array(order[row, at].astype(np.int32))],
-                names=["query_id", "embedding", "cell"],
+                [batch.column("query_id"), batch.column("embedding"), pa.array(order[:, 0].astype(np.int32)), pa.array(least.astype(np.float32))],
+                names=["query_id", "embedding", "cell", "least"],
             )
 
-    kinds = T.StructType([*queries.schema.fields, T.StructField("cell", T.IntegerType())])
+    kinds = T.StructType([*queries.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("least", T.FloatType())])
     return queries.mapInArrow(probe, kinds)
 
 
-def _needed(queries: DataFrame, index: CellIndex, items: DataFrame, inside: DataFrame, sizes: np.ndarray, k: int) -> int:
+def _needed(queries: DataFrame, index: CellIndex, inside: DataFrame, sizes: np.ndarray, k: int) -> int:
     """The number of nearest cells that hold ``HELD`` of the exact ``k`` neighbours of ``MEASURED`` queries, chosen by hash.
 
     One scan of the items; at most ``MEASURED`` * k pairs reach the driver.
     """
     some = cut_lineage(queries.orderBy(F.xxhash64("query_id"), "query_id").limit(MEASURED), "measured")
-    pool = items.select("item_id", "embedding").join(inside.select("item_id"), "item_id", "left_semi")
-    exact = cosine_top_k(some, pool, k).select("query_id", "item_id")
+    exact = cosine_top_k(some, inside.select("item_id", "embedding"), k).select("query_id", "item_id")
     pairs = inside.select("item_id", "cell").join(F.broadcast(exact), "item_id").collect()
     if not pairs:
         return PROBES
@@ -143,12 +162,6 @@ def _needed(queries: DataFrame, index: CellIndex, items: DataFrame, inside: Data
     return max(PROBES, int(places[math.ceil(HELD * len(places)) - 1]) + 1)
 
 
-def _parted(rows: DataFrame, id_column: str, part: str, parts: str) -> DataFrame:
-    """Add the part of a cell a row belongs to, and the parts of the cell: at most ``MAX_CELLS`` numbers are broadcast."""
-    sizes = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias(parts))
-    return rows.join(F.broadcast(sizes), "cell").withColumn(part, F.pmod(F.xxhash64(id_column), F.col(parts)).cast("int"))
-
-
 def _best(scores: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, score) of the ``keep`` best of every row; of equal ones the first."""
     keep = min(keep, scores.shape[1])
@@ -160,37 +173,106 @@ def _best(scores: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return rows, at, scores[rows, at]
 
 
-def _met(probed: DataFrame, items: DataFrame, index: CellIndex, keep: int) -> DataFrame:
-    """(query_id, item_id, score): the best ``keep`` items of every query in every group, by codes.
-
-    A group is a part of a cell's queries and a part of its items, so no group
-    grows with a popular cell.
-    """
-    left, right = _parted(probed, "query_id", "_qp", "_qs"), _parted(items, "item_id", "_ip", "_is")
-    left = left.join(F.broadcast(right.select("cell", "_is").distinct()), "cell")
-    right = right.join(F.broadcast(left.select("cell", "_qs").distinct()), "cell")
-    left = left.select(F.col("cell").alias("_c"), "_qp", F.explode(F.sequence(F.lit(0), F.col("_is") - 1)).alias("_ip"), "query_id", "embedding")
-    right = right.select("cell", F.explode(F.sequence(F.lit(0), F.col("_qs") - 1)).alias("_qp"), "_ip", "item_id", "scale", "code")
-    held = index.spark.sparkContext.broadcast(index.centroids)
-    kinds = T.StructType([probed.schema["query_id"], items.schema["item_id"], T.StructField("score", T.FloatType())])
-
-    def meet(one: pa.Table, other: pa.Table) -> pa.Table:
-        if one.num_rows and other.num_rows:
-            other = other.sort_by("item_id")
-            center = held.value[one["_c"][0].as_py()]
-            unit = unit_rows(to_matrix(one["embedding"].combine_chunks()))
-            codes = np.frombuffer(b"".join(other["code"].to_pylist()), np.int8).reshape(other.num_rows, -1).astype(np.float32)
-            codes *= other["scale"].to_numpy()[:, None]
-            step = max(1, PAIRS_AT_ONCE // len(codes))
-            found = [_best(unit[i : i + step] @ codes.T + (unit[i : i + step] @ center)[:, None], keep) for i in range(0, len(unit), step)]
-            rows = np.concatenate([r + n * step for n, (r, _, _) in enumerate(found)])
-            at, scores = (np.concatenate([f[k] for f in found]) for k in (1, 2))
-            columns = [one["query_id"].take(pa.array(rows)), other["item_id"].take(pa.array(at)), pa.array(scores.astype(np.float32))]
+def _stored(path: str, columns: list[str], cells: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows of some cells, in the order of the files."""
+    fs, root = pafs.FileSystem.from_uri(path)
+    files = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(root)) if f.base_name.endswith(".parquet") and f.base_name[0] not in "._")
+    if files:
+        chosen = pc.field("cell").isin(pa.array(cells.astype(np.int32)))
+        rows = ds.dataset(files, filesystem=fs, format="parquet")
+        for batch in rows.to_batches(columns=columns, filter=chosen, batch_size=GROUP_ROWS, batch_readahead=1, fragment_readahead=1, use_threads=False):
+            if batch.num_rows:
+                yield batch
+
+
+class _Nearest:
+    """The best ``keep`` items of each of some queries, by number; of equal scores the first numbers."""
+
+    def __init__(self, queries: int, keep: int) -> None:
+        self.keep, self.waiting = keep, 0
+        #: What an item must exceed to be among the best of a query.
+        self.least = np.full(queries, -np.inf, np.float32)
+        self.parts = [(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+
+    def add(self, rows: np.ndarray, first: int, scores: np.ndarray) -> None:
+        """``scores`` of some queries with the items from number ``first`` on."""
+        better = scores > self.least[rows, None]
+        if np.count_nonzero(better) > len(rows) * self.keep:
+            at, item, score = _best(scores, self.keep)
+            chosen = score > self.least[rows[at]]
+            at, item, score = at[chosen], item[chosen], score[chosen]
         else:
-            columns = [one["query_id"].slice(0, 0), other["item_id"].slice(0, 0), pa.array([], pa.float32())]
-        return pa.table(columns, names=["query_id", "item_id", "score"])
-
-    return left.groupBy("_c", "_qp", "_ip").cogroup(right.groupBy("cell", "_qp", "_ip")).applyInArrow(meet, kinds)
+            at, item = np.nonzero(better)
+            score = scores[at, item]
+        self.parts.append((rows[at].astype(np.int32), item + first, score))
+        self.waiting += len(at)
+        if self.waiting > AT_ONCE:
+            self.best()
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, number, score), sorted by query."""
+        query, item, score = (np.concatenate(p) for p in zip(*self.parts, strict=True))
+        order = np.lexsort((item, -score, query))
+        query, item, score = query[order], item[order], score[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        full = place == self.keep - 1
+        self.least[query[full]] = score[full]
+        kept = place < self.keep
+        self.parts, self.waiting = [(query[kept], item[kept], score[kept])], 0
+        return self.parts[0]
+
+
+def _near(unit: np.ndarray, least: np.ndarray, path: str, centers: np.ndarray, cells: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, item): numbers of the best ``keep`` items by code in the cells each query looks into."""
+    found, first = _Nearest(len(unit), keep), 0
+    for batch in _stored(path, ["cell", "scale", "code"], cells):
+        cell = batch.column("cell").to_numpy()
+        codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.int8).reshape(batch.num_rows, -1)
+        scale = batch.column("scale").to_numpy()
+        starts = [0, *(np.nonzero(np.diff(cell))[0] + 1).tolist(), len(cell)]
+        for a, b in zip(starts, starts[1:], strict=False):
+            near = unit @ centers[cell[a]]
+            rows = np.nonzero(near >= least)[0]
+            rest = codes[a:b].astype(np.float32) * scale[a:b, None]
+            step = max(1, AT_ONCE // (b - a))
+            for some in (rows[i : i + step] for i in range(0, len(rows), step)):
+                found.add(some, first + a, unit[some] @ rest.T + near[some, None])
+        first += len(cell)
+    return found.best()[:2]
+
+
+def _searched(queries: pa.RecordBatch, path: str, centers: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """(query_id, item_id, score): the best ``k`` of each query, and those with the k-th score."""
+    whole = unit_rows(to_matrix(queries.column("embedding"), np.float64))
+    unit, least = unit_rows(to_matrix(queries.column("embedding"))), queries.column("least").to_numpy() - SLACK
+    step = max(1, AT_ONCE // len(unit))
+    cells = np.concatenate([i + np.nonzero((unit @ centers[i : i + step].T >= least[:, None]).any(0))[0] for i in range(0, len(centers), step)])
+    query, item = _near(unit, least, path, centers, cells, RESCORE * k)
+    order = np.argsort(item, kind="stable")
+    query, item = query[order], item[order]
+    scores, names, first, done = [], [], 0, 0
+    for batch in _stored(path, ["item_id", "embedding"], cells):
+        to = np.searchsorted(item, first + batch.num_rows)
+        at = item[done:to] - first
+        # each vector once
+        which, back = np.unique(at, return_inverse=True)
+        taken = batch.take(pa.array(which))
+        other = unit_rows(to_matrix(taken.column("embedding"), np.float64))
+        pairs = max(1, AT_ONCE // max(1, whole.shape[1]))
+        for i in range(0, len(at), pairs):
+            scores.append(np.einsum("ij,ij->i", whole[query[done + i : min(to, done + i + pairs)]], other[back[i : i + pairs]]).round(SCORE_DIGITS))
+        names.append(taken.column("item_id").take(pa.array(back)))
+        first, done = first + batch.num_rows, to
+    if not done:
+        return
+    score = np.concatenate(scores)
+    best = np.lexsort((-score, query))
+    place = np.arange(done) - np.searchsorted(query[best], query[best])
+    kth = np.full(len(unit), -np.inf)
+    kth[query[best[place == k - 1]]] = score[best[place == k - 1]]
+    kept = pa.array(np.nonzero(score >= kth[query])[0])
+    columns = [queries.column("query_id").take(pa.array(query)).take(kept), pa.concat_arrays(names).take(kept), pa.array(score).take(kept)]
+    yield pa.record_batch(columns, names=["query_id", "item_id", "score"])
 
 
 def _first(pairs: DataFrame, k: int) -> DataFrame:
@@ -207,25 +289,27 @@ def search_cells(queries: DataFrame, index: CellIndex, items: DataFrame, k: int,
     pass a filter; only these are looked at, and cells are counted by them. Equal
     scores go by item id. An empty index or filter finds nothing.
     """
-    queries = queries.select("query_id", "embedding").filter("embedding IS NOT NULL")
-    inside = index.items
+    spark = index.spark
+    queries = queries.select("query_id", "embedding").filter("query_id IS NOT NULL AND embedding IS NOT NULL")
+    inside, path = index.items, f"{index.folder}/items"
     if within is not None:
-        inside = cut_lineage(inside.join(within.select("item_id"), "item_id", "left_semi"), "within")
+        path = fresh_path(spark, "within")
+        _by_cell(inside.join(within.select("item_id"), "item_id", "left_semi").select(*inside.columns)).write.parquet(path)
+        inside = spark.read.schema(inside.schema).parquet(path)
     sizes = np.zeros(len(index.centroids), np.int64)
     for cell, n in inside.groupBy("cell").count().collect():
         sizes[cell] = n
     if probes is None:
         few = np.count_nonzero(sizes) <= PROBES
-        probes = PROBES if few else _needed(queries, index, items, inside, sizes, k)
+        probes = PROBES if few else _needed(queries, index, inside, sizes, k)
     probed = cut_lineage(_probed(queries, index, sizes, probes, ENOUGH * k), "probed")
-    best = cut_lineage(_first(_met(probed, inside, index, RESCORE * k), RESCORE * k).select("query_id", "item_id"), "near")
-    pairs = best.join(items.select("item_id", F.col("embedding").alias("_item")), "item_id").join(queries, "query_id")
+    asked = probed.count()
+    tasks = max(math.ceil(asked / GROUP_ROWS), min(spark.sparkContext.defaultParallelism, math.ceil(asked / PROBES)), 1)
+    held = spark.sparkContext.broadcast(index.centroids)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            one, other = (unit_rows(to_matrix(batch.column(c), np.float64)) for c in ("embedding", "_item"))
-            scores = np.einsum("ij,ij->i", one, other).round(SCORE_DIGITS) if batch.num_rows else np.zeros(0)
-            yield pa.record_batch([batch.column("query_id"), batch.column("item_id"), pa.array(scores)], names=["query_id", "item_id", "score"])
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, GROUP_ROWS) for b in batches for i in range(0, b.num_rows, GROUP_ROWS)):
+            yield from _searched(batch, path, held.value, k)
 
     kinds = T.StructType([queries.schema["query_id"], items.schema["item_id"], T.StructField("score", T.DoubleType())])
-    return _first(pairs.select("query_id", "item_id", "embedding", "_item").mapInArrow(score, kinds), k)
+    return _first(probed.repartitionByRange(tasks, "cell", "query_id").mapInArrow(search, kinds), k)

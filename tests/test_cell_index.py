@@ -80,3 +80,41 @@ def test_recall_without_clusters(spark, tmp_path, step):
     queries = queries_of(items)
     found = C.search_cells(queries, index, items, 10, within=None if step == 1 else pool)
     assert recall_against(found, cosine_top_k(queries, pool, 10)).first()["recall"] >= 0.9
+
+
+def test_a_query_is_not_copied_for_its_cells(items, index):
+    sizes = np.zeros(len(index.centroids), np.int64)
+    for cell, n in index.items.groupBy("cell").count().collect():
+        sizes[cell] = n
+    probed = C._probed(queries_of(items), index, sizes, len(sizes), 1).collect()
+    assert sorted(r.query_id for r in probed) == sorted(r.query_id for r in queries_of(items).collect())
+
+
+@pytest.mark.parametrize("at_once", [50, 1000])
+def test_small_slices_find_the_same(monkeypatch, items, index, at_once):
+    """Called here and not in a worker, which has constants of its own."""
+    sizes = np.zeros(len(index.centroids), np.int64)
+    for cell, n in index.items.groupBy("cell").count().collect():
+        sizes[cell] = n
+    asked = C._probed(queries_of(items), index, sizes, 9, 1).toArrow().combine_chunks().to_batches()[0]
+
+    def found():
+        return sorted(tuple(r.values()) for b in C._searched(asked, f"{index.folder}/items", index.centroids, 7) for r in b.to_pylist())
+
+    want = found()
+    assert len(want) >= 7 * asked.num_rows
+    monkeypatch.setattr(C, "GROUP_ROWS", 32)
+    monkeypatch.setattr(C, "AT_ONCE", at_once)
+    assert found() == want
+
+
+def test_nearest_keeps_the_first_of_equal_scores(monkeypatch):
+    monkeypatch.setattr(C, "AT_ONCE", 40)
+    rng = np.random.default_rng(1)
+    scores = rng.integers(0, 6, size=(5, 300)).astype(np.float32)
+    nearest = C._Nearest(5, 8)
+    for first in range(0, 300, 20):
+        nearest.add(np.arange(5), first, scores[:, first : first + 20])
+    query, item, _ = nearest.best()
+    for n in range(5):
+        assert item[query == n].tolist() == np.lexsort((np.arange(300), -scores[n]))[:8].tolist()
