@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lorehouse import fixed_values as fixed
+from lorehouse.functions.text import let
 from lorehouse.operators.lexical import Analyzer, holding, needed_keys, parse_queries, ranked, scored_matches
 from lorehouse.operators.rare_key import EVERYTHING
 from lorehouse.session import cut_lineage
@@ -27,6 +28,8 @@ from lorehouse.session import cut_lineage
 BLOCK = 128
 #: Chunks a query reads in its first round, as a multiple of k, and how much larger each round may be.
 FIRST, GROWTH = 4, 8
+#: Words of all queries together up to which the token table is reduced to them.
+WORDS = 4096
 #: Scores are rounded to nine digits.
 MARGIN = 1e-8
 
@@ -45,14 +48,33 @@ def posting_blocks(tokens: DataFrame, block: int = BLOCK) -> DataFrame:
     return _in_blocks(_placed(tokens, block))
 
 
+def _counts(words: Column) -> Column:
+    """(term, tf) of every distinct word, from the runs of the sorted words."""
+
+    def runs(ordered: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+        return let(F.when(F.size(ordered) > 0, begins), lambda at: entries(ordered, at))
+
+    def entries(ordered: Column, begins: Column) -> Column:
+        end = lambda n: F.coalesce(F.get(begins, n + 1), F.size(ordered))
+        return F.transform(begins, lambda at, n: F.struct(F.get(ordered, at).alias("term"), (end(n) - at).cast("int").alias("tf")))
+
+    return let(F.sort_array(words), runs)
+
+
 def _placed(tokens: DataFrame, block: int) -> DataFrame:
-    """``(term, chunk_id, tf, level, part)``: the block of every posting."""
-    words = F.array_compact("tokens")
-    counted = tokens.select("chunk_id", F.explode(words).alias("term")).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    every = tokens.select(F.lit(EVERYTHING).alias("term"), "chunk_id", F.lit(0).alias("tf"))
-    counted = cut_lineage(counted.unionByName(every).withColumn("level", _level(F.col("tf"))), "term-counts")
-    sizes = counted.groupBy("term", "level").agg(F.ceil(F.count(F.lit(1)) / block).alias("_parts"))
-    return counted.join(sizes, ["term", "level"]).withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.col("_parts")).cast("int"))
+    """``(term, chunk_id, tf, level, part)``: the block of every posting.
+
+    The words of a chunk are counted where it is. Only terms of more than one block are looked up for
+    their number of blocks: they are few, so all postings meet for the first time in their block.
+    """
+    found = F.concat(F.coalesce(_counts(F.array_compact("tokens")), F.array()), F.array(F.struct(F.lit(EVERYTHING).alias("term"), F.lit(0).alias("tf"))))
+    # the outer form keeps the optimizer from adding a filter that counts again
+    counted = tokens.select("chunk_id", F.inline_outer(found)).withColumn("level", _level(F.col("tf")))
+    parts = F.ceil(F.count(F.lit(1)) / block)
+    sizes = cut_lineage(counted.groupBy("term", "level").agg(parts.alias("_parts")).filter(F.col("_parts") > 1), "sizes")
+    part = F.pmod(F.xxhash64("chunk_id"), F.coalesce("_parts", F.lit(1)))
+    return counted.join(sizes, ["term", "level"], "left").withColumn("part", part.cast("int"))
 
 
 def _in_blocks(placed: DataFrame) -> DataFrame:
@@ -99,6 +121,19 @@ def _kth(scored: DataFrame, k: int) -> DataFrame:
     return ranked(scored, k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
 
 
+def _asked_words(tokens: DataFrame, clauses: DataFrame) -> DataFrame:
+    """The token table with nothing but the words of the queries, each at its place: no other word counts for a match or a score.
+
+    Written once, it is what the rounds meet, and not all words of all chunks again in each. Queries of more than ``WORDS`` words leave the table as it is.
+    """
+    words = clauses.select(F.explode(F.flatten(F.transform("atoms", lambda a: F.transform(a["words"], lambda w: w["term"])))).alias("term")).distinct()
+    asked = [r["term"] for r in words.limit(WORDS + 1).collect()]
+    if len(asked) > WORDS:
+        return tokens.select("chunk_id", "tokens")
+    kept = F.transform("tokens", lambda t: F.when(t.isin(asked), t))
+    return cut_lineage(tokens.select("chunk_id", kept.alias("tokens")), "asked-words")
+
+
 def top_k_by_blocks(
     queries: DataFrame,
     blocks: DataFrame,
@@ -114,6 +149,7 @@ def top_k_by_blocks(
     are few of them even if a query has to read everything.
     """
     clauses = cut_lineage(parse_queries(queries, analyzer), "clauses")
+    tokens = _asked_words(tokens, clauses)
     unread = cut_lineage(_levels(clauses, blocks), "levels")
     total = unread.groupBy("query_id").agg(F.sum("blocks").alias("blocks"))
     scored, taken, budget = None, None, FIRST * k
@@ -126,6 +162,8 @@ def top_k_by_blocks(
         if not now.take(1):
             break
         known = now.withColumn("kth", F.lit(None).cast("double")) if scored is None else now.join(_kth(scored, k), "query_id", "left")
+        # written, so that it is broadcast to the blocks instead of shuffling them
+        known = cut_lineage(known, "known")
         found = blocks.join(known, ["term", "level"]).select("query_id", "clause", "weight", "other", "kth", F.inline("items"))
         may = F.col("weight") * F.col("tf") + F.col("other") + MARGIN >= F.coalesce("kth", F.lit(0.0))
         found = found.filter(may).select("query_id", "clause", "chunk_id")

@@ -86,3 +86,22 @@ def test_blocks_are_made_once(spark):
     assert "rangepartitioning(term" in plan
     exchanges = [line for line in plan.splitlines() if "hashpartitioning" in line and "part#" in line]
     assert not exchanges
+
+
+def test_postings_meet_first_in_their_block(spark):
+    """They were exchanged to be counted, and again to look up the number of blocks."""
+    tokens = spark.createDataFrame([(n, ["a", "b", None, "a"] * (n % 5)) for n in range(50)] + [(60, None)], "chunk_id bigint, tokens array<string>")
+    placed = B._placed(tokens, 4)
+    rows = {(r.term, r.chunk_id): (r.tf, r.level, r.part) for r in placed.collect()}
+    assert rows["a", 4][:2] == (8, 8) and rows["b", 1] == (1, 1, rows["b", 1][2]) and rows["", 60][0] == 0 and ("a", 60) not in rows
+    assert len(rows) == 51 + 2 * 40
+    assert "hashpartitioning" not in placed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rounds_meet_the_asked_words_only(spark, monkeypatch):
+    tokens = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["c"]), (3, None)], "chunk_id bigint, tokens array<string>")
+    clauses = B.parse_queries(spark.createDataFrame([(1, "a -c"), (2, "x")], "query_id bigint, query string"))
+    kept = {r.chunk_id: r.tokens for r in B._asked_words(tokens, clauses).collect()}
+    assert kept == {1: ["a", None, "c"], 2: ["c"], 3: None}
+    monkeypatch.setattr(B, "WORDS", 2)
+    assert {r.chunk_id: r.tokens for r in B._asked_words(tokens, clauses).collect()}[1] == ["a", "b", "c"]
