@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -18,6 +20,8 @@ from lorehouse.sources import pages as page_rules
 
 #: Folders that files written one by one are dealt over: few to list, and each listed by a task of its own.
 FOLDERS = 64
+#: Bytes and files that a task hands over at once; tasks that read files, as a multiple of the cores.
+READ_BYTES, READ_FILES, READERS = 4 << 20, 512, 4
 
 
 def file_name(path: Column) -> Column:
@@ -47,11 +51,100 @@ def _whole_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
+def _local_roots(spark: SparkSession, path: str | list[str]) -> list[str] | None:
+    """The paths as the operating system has them; None if one is not local, is a pattern, or does not exist."""
+    conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    roots = []
+    for one in [path] if isinstance(path, str) else path:
+        if re.search(r"[*?\[\]{}\\]", one):
+            return None
+        found = jvm.org.apache.hadoop.fs.Path(one)
+        fs = found.getFileSystem(conf)
+        if fs.getUri().getScheme() != "file" or not fs.exists(found):
+            return None
+        roots.append(fs.makeQualified(found).toUri().getPath())
+    return sorted(set(roots))
+
+
+def _hidden(name: str) -> bool:
+    """What Spark's readers pass over: names that begin with a dot or an underscore, and unfinished copies."""
+    if name.startswith(("_metadata", "_common_metadata")):
+        return False
+    return name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name)
+
+
+def _listed(roots: list[str]) -> Iterator[str]:
+    """The files that are not empty, below folders or given by name."""
+    waiting = list(roots)
+    while waiting:
+        at = waiting.pop()
+        if os.path.isfile(at):
+            yield from _data(at, os.path.getsize(at))
+            continue
+        with os.scandir(at) as entries:
+            for entry in entries:
+                if entry.is_dir() and not _hidden(entry.name):
+                    waiting.append(entry.path)
+                elif entry.is_file():
+                    yield from _data(entry.path, entry.stat().st_size)
+
+
+def _data(path: str, length: int) -> list[str]:
+    name = os.path.basename(path)
+    return [path] if length and not _hidden(name) and (not name.startswith("_") or "=" in name) else []
+
+
+def _list_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    paths: list[str] = []
+    for batch in batches:
+        for path in _listed(batch.column("root").to_pylist()):
+            paths.append(path)
+            if len(paths) == 1 << 13:
+                yield pa.record_batch([pa.array(paths, pa.string())], names=["source_path"])
+                paths = []
+    yield pa.record_batch([pa.array(paths, pa.string())], names=["source_path"])
+
+
+def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names, texts, held = [], [], 0
+
+    def taken() -> pa.RecordBatch:
+        return pa.record_batch([pa.array(names, pa.string()), pa.array(texts, pa.binary())], names=["source_path", "text"])
+
+    for batch in batches:
+        for path in batch.column("source_path").to_pylist():
+            with open(path, "rb") as file:
+                texts.append(file.read())
+            names.append(path)
+            held += len(texts[-1])
+            if held >= READ_BYTES or len(names) >= READ_FILES:
+                yield taken()
+                names, texts, held = [], [], 0
+    yield taken()
+
+
+def _files_of(spark: SparkSession, path: str | list[str], extensions: tuple[str, ...]) -> DataFrame:
+    """Whole files with one of some extensions: source_path, text.
+
+    Local and mounted folders are listed by tasks, one for each given path, and the
+    driver never holds a list of files. Other stores and patterns go through Spark's reader, which lists on the driver.
+    """
+    wanted = file_suffix(F.col("source_path")).isin(*extensions)
+    roots = _local_roots(spark, path)
+    if roots is None:
+        return _whole_files(spark, path).filter(wanted)
+    cores = spark.sparkContext.defaultParallelism
+    given = spark.createDataFrame([(r,) for r in roots], "root string").repartition(min(len(roots), READERS * cores))
+    files = given.mapInArrow(_list_files, "source_path string").filter(wanted)
+    if any(a != b and f"{a}/".startswith(f"{b.rstrip('/')}/") for b in roots for a in roots):
+        files = files.distinct()
+    read = files.repartition(READERS * cores).mapInArrow(_read_files, "source_path string, text binary")
+    return read.select("source_path", F.col("text").cast("string").alias("text"))
+
+
 def read_text_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Text and Markdown files, one row per file: source_path, title, text, source_kind."""
-    files = _whole_files(spark, path)
-    wanted = file_suffix(F.col("source_path")).isin(*fixed.TEXT_EXTENSIONS)
-    return files.filter(wanted).select(
+    return _files_of(spark, path, fixed.TEXT_EXTENSIONS).select(
         "source_path",
         file_stem(F.col("source_path")).alias("title"),
         "text",
@@ -61,8 +154,7 @@ def read_text_documents(spark: SparkSession, path: str | list[str]) -> DataFrame
 
 def read_html_documents(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """HTML files as readable text; files without text come back as rejects."""
-    files = _whole_files(spark, path)
-    html = files.filter(file_suffix(F.col("source_path")).isin(*fixed.HTML_EXTENSIONS))
+    html = _files_of(spark, path, fixed.HTML_EXTENSIONS)
     loaded = page_rules.with_text(html.withColumnRenamed("text", "html"), "html").select(
         "source_path",
         file_stem(F.col("source_path")).alias("title"),

@@ -5,6 +5,7 @@ import random
 import re
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from lorehouse.functions import text as X
@@ -181,3 +182,18 @@ def test_facts_block_and_costs(spark):
     later = F.lit(datetime(2024, 3, 1)).cast("timestamp")
     assert tuple(R.budget_state(messages, later).first()) == (0.0, False)
     assert {(r.model, r.cost, r.calls) for r in R.cost_by_model(messages).collect()} == {("m", 1.5, 1), (None, None, 1)}
+
+
+def test_files_are_listed_by_tasks(spark, tmp_path):
+    """The driver held every file of a folder; what is read is what Spark's reader finds."""
+    for name in ("a b+c%20.txt", ".x.txt", "_x.txt", "_k=v.txt", "empty.txt", "deep/er/ü.MD", "_tmp/y.txt", "_k=v/z.txt", "bad.txt", "no.bin", "_metadata.txt", "w.txt._COPYING_"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"" if name == "empty.txt" else b"\xff\xfe\n" if name == "bad.txt" else f"{name}\r\n".encode())
+    for path in (str(tmp_path), f"file://{tmp_path}", [str(tmp_path), str(tmp_path / "deep"), str(tmp_path)], [str(tmp_path / "deep/er/ü.MD"), str(tmp_path / "_tmp")], str(tmp_path / "d*p")):
+        frame = D.read_text_documents(spark, path)
+        assert bool(frame.inputFiles()) == (path == str(tmp_path / "d*p"))
+        wanted = D._whole_files(spark, path).filter(D.file_suffix(F.col("source_path")).isin(".txt", ".md"))
+        pairs = [sorted((r.source_path, bytes(r.b)) for r in f.select("source_path", F.col("text").cast("binary").alias("b")).collect()) for f in (frame, wanted)]
+        assert pairs[0] == pairs[1] and pairs[0]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        D.read_text_documents(spark, str(tmp_path / "none"))
